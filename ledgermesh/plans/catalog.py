@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermesh.plans import people_queries, projection_queries  # noqa: F401
+from ledgermesh.plans import (  # noqa: F401
+    company_queries, graph_queries, market_queries, people_queries, projection_queries,
+)
 from ledgermesh.plans.registry import CHECKS, QUERIES
 
 
