@@ -7,14 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
 
 # Whitespace as Unicode text handling sees it; Spark's trim knows only blanks.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_EDGES = f"^{SPACE}+|{SPACE}+$"
+_OTHER_SPACE = SPACE.replace(r"[\s", r"[\t\n\x0b\f\r")
+_UNEVEN = f"{SPACE}{{2,}}|{_OTHER_SPACE}"
+_SPACE_CHARS = "".join(
+    chr(code) for code in
+    [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 _LINE_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
@@ -29,11 +34,12 @@ def any_word(words: list[str]) -> str:
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(py_strip(c), f"{SPACE}+", " ")
+    """Whitespace runs as one blank, none at the ends; even text is left as it is."""
+    return F.btrim(F.regexp_replace(c, _UNEVEN, " "))
 
 
 def clean_text(c: Column) -> Column:
@@ -231,6 +237,17 @@ def is_10k(form: Column) -> Column:
     return F.regexp_replace(F.upper(form), "[^A-Z0-9]", "") == "10K"
 
 
+def exploded(df: DataFrame, columns: list, array: Column, pos: str, value: str) -> DataFrame:
+    """One row per array element, with its place.
+
+    An outer explode and a filter on the place: a plain explode would push
+    a size test of the array, and with it the whole expression, down to the
+    scan, and evaluate it once more there.
+    """
+    rows = df.select(*columns, F.posexplode_outer(array).alias(pos, value))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) for every match; offsets count from 0."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
 from ledgermesh.functions.numbers import cost_usd
-from ledgermesh.functions.text import blank_to_null, person_key, py_strip, text_or_empty, unwrap_fence, upper_key
+from ledgermesh.functions.text import (
+    blank_to_null, exploded, person_key, py_strip, text_or_empty, unwrap_fence, upper_key,
+)
 from ledgermesh.operators.merge import latest_per_key, update_by_key
 from ledgermesh.schemas import ANSWER_PAYLOAD
 
@@ -41,17 +43,22 @@ def _outcome() -> Column:
     )
 
 
-def _readable(df: DataFrame) -> DataFrame:
-    return _payload(df).filter(_outcome().isNull())
+def _companies(df: DataFrame) -> DataFrame:
+    """Answers with the companies they hold, none where they cannot be read.
+
+    An empty array rather than a filter keeps the parsed text from being
+    evaluated again for every condition.
+    """
+    read = F.when(_outcome().isNull(), F.col("_payload.companies"))
+    return _payload(df).withColumn("_companies", F.coalesce(read, F.array()))
 
 
 def parse_answers(df: DataFrame) -> DataFrame:
     """Relationship rows of the readable answers, invalid ones left out."""
-    companies = _readable(df).select("batch_id", F.posexplode("_payload.companies").alias("company_pos", "company"))
-    rows = companies.select(
-        "batch_id", "company_pos", upper_key(F.col("company.ticker")).alias("ticker"),
-        F.posexplode("company.relationships").alias("person_pos", "person"),
-    ).select(
+    companies = exploded(_companies(df), ["batch_id"], F.col("_companies"), "company_pos", "company")
+    ticker = upper_key(F.col("company.ticker")).alias("ticker")
+    people = exploded(companies, ["batch_id", "company_pos", ticker], F.col("company.relationships"), "person_pos", "person")
+    rows = people.select(
         "batch_id", "company_pos", "person_pos", "ticker",
         py_strip(text_or_empty(F.col("person.person_name"))).alias("person_name"),
         py_strip(text_or_empty(F.col("person.role"))).alias("role"),
@@ -70,8 +77,9 @@ def valid_answer_rows(rows: DataFrame) -> DataFrame:
 
 def returned_tickers(df: DataFrame) -> DataFrame:
     """Distinct (batch, ticker) answered, with or without relationships."""
-    tickers = F.array_distinct(F.transform("_payload.companies", lambda c: upper_key(c["ticker"])))
-    return _readable(df).select("batch_id", F.explode(tickers).alias("ticker")).filter("ticker <> ''")
+    tickers = F.array_distinct(F.transform("_companies", lambda c: upper_key(c["ticker"])))
+    rows = exploded(_companies(df), ["batch_id"], tickers, "pos", "ticker")
+    return rows.filter("ticker <> ''").drop("pos")
 
 
 def answer_status(df: DataFrame) -> DataFrame:
@@ -92,17 +100,17 @@ def answer_status(df: DataFrame) -> DataFrame:
 
 def missing_rows(status: DataFrame, created_at: str) -> DataFrame:
     """One row per ticker a readable answer left out."""
-    return status.filter("status = 'partial'").select(
-        F.explode("missing").alias("ticker"), "batch_id",
-        F.lit("missing_from_response").alias("reason"), F.lit(created_at).alias("created_at"),
+    wanted = F.when(F.col("status") == "partial", F.col("missing"))
+    return exploded(status, ["batch_id"], wanted, "pos", "ticker").select(
+        "ticker", "batch_id", F.lit("missing_from_response").alias("reason"), F.lit(created_at).alias("created_at")
     )
 
 
 def retry_events(requests: DataFrame, status: DataFrame) -> DataFrame:
     """Tickers to ask again: all of a failed batch, the missing of a partial one."""
-    joined = requests.join(status, "batch_id").filter("status <> 'success'")
-    again = F.when(F.col("status") == "failed", F.col("tickers")).otherwise(F.col("missing"))
-    return joined.select("batch_id", "seq", F.explode(again).alias("ticker"), "reason")
+    joined = requests.join(status, "batch_id")
+    again = F.when(F.col("status") == "failed", F.col("tickers")).when(F.col("status") == "partial", F.col("missing"))
+    return exploded(joined, ["batch_id", "seq", "reason"], again, "pos", "ticker").drop("pos")
 
 
 def merge_retry(events: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from ledgermesh.functions.names import (
     NAMES, canonical_name, is_person_name, name_rejection_reason, normalize_name, signature_candidate,
     signature_names, signer_title_edges,
 )
-from ledgermesh.functions.text import any_word, char_slice, clean_text, let, match_spans, title_relationships
+from ledgermesh.functions.text import any_word, char_slice, clean_text, exploded, let, match_spans, title_relationships
 from ledgermesh.operators.merge import latest_per_key
+from ledgermesh.session import stage
 from ledgermesh.sources.html import CELL, HIDDEN, ROW, TABLE, cell_lines, cell_text, html_text
 
 EDGE_COLUMNS = ["doc_id", "name", "relationship_type", "source", "pos"]
@@ -241,30 +242,35 @@ def signer_in_cell(lines: Column) -> Column:
 
 def signature_table_edges(tables: DataFrame) -> DataFrame:
     """Signers of the candidate tables with the edge types of their own row's title."""
-    one = tables.select("doc_id", F.explode("tables").alias("t")).filter(F.col("t.text").rlike(fixed.SIGNER_TITLE))
+    one = exploded(tables, ["doc_id"], F.col("tables"), "pos", "t").filter(F.col("t.text").rlike(fixed.SIGNER_TITLE))
     rows = one.select("doc_id", F.col("t.table_no").alias("table_no"), _line_rows(F.col("t.markup")).alias("rows"))
     heads = rows.withColumn("heads", F.transform(F.slice("rows", 1, 3), signature_pairs))
     first = F.get(_places(F.col("heads"), lambda p: F.size(p) > 0), F.lit(0))
-    data = heads.select(
-        "doc_id", "table_no", F.coalesce(first + 1, F.lit(0)).alias("first_row"),
-        F.get("heads", first).alias("header_pairs"), F.posexplode("rows").alias("row_no", "cells"),
-    ).filter("row_no >= first_row")
+    headed = heads.select(
+        "doc_id", "table_no", "rows", F.coalesce(first + 1, F.lit(0)).alias("first_row"),
+        F.get("heads", first).alias("header_pairs"),
+    )
+    data = exploded(headed, ["doc_id", "table_no", "first_row", "header_pairs"], F.col("rows"), "row_no", "cells").filter(
+        "row_no >= first_row"
+    )
     read = data.select(
         "doc_id", "table_no", "row_no", "header_pairs",
         F.transform("cells", _flat).alias("titles"), F.transform("cells", signer_in_cell).alias("names"),
     )
     pairs = F.coalesce("header_pairs", inferred_pairs(F.col("names"), F.col("titles")))
-    met = read.select("doc_id", "table_no", "row_no", "names", "titles", F.posexplode(pairs).alias("pair_no", "pair"))
-    signers = met.select(
+    read = exploded(read, ["doc_id", "table_no", "row_no", "names", "titles"], pairs, "pair_no", "pair")
+    signers = read.select(
         "doc_id", "table_no", "row_no", "pair_no",
         F.get("names", F.col("pair.signer")).alias("name"), F.get("titles", F.col("pair.title")).alias("title"),
-    ).filter(F.col("title").rlike(fixed.SIGNER_TITLE) & (F.col("name") != ""))
-    own = canonical_name(F.col("name"))
-    others = F.exists(signature_names(F.col("title")), lambda n: canonical_name(n) != own)
-    edges = signers.filter(~others).select(
-        "doc_id", "name", "table_no", "row_no", "pair_no",
-        F.posexplode(signer_title_edges(F.col("title"))).alias("edge_no", "relationship_type"),
     )
+
+    def other_signer(own: Column) -> Column:
+        return F.exists(signature_names(F.col("title")), lambda n: canonical_name(n) != own)
+
+    clear = F.col("title").rlike(fixed.SIGNER_TITLE) & (F.col("name") != "")
+    kinds = F.when(clear & ~let(canonical_name(F.col("name")), other_signer), signer_title_edges(F.col("title")))
+    places = ["table_no", "row_no", "pair_no"]
+    edges = exploded(signers, ["doc_id", "name", *places], kinds, "edge_no", "relationship_type")
     return edges.select(
         "doc_id", "name", "relationship_type", F.lit("signature_table").alias("source"),
         F.array("table_no", "row_no", "pair_no", "edge_no").alias("pos"),
@@ -281,7 +287,7 @@ def signature_text_edges(sections: DataFrame) -> DataFrame:
     not cross another title; the title ends where the next signer's begins.
     """
     spans = sections.withColumn("spans", match_spans(F.col("section"), fixed.SIGNER_TITLE))
-    titles = spans.select("doc_id", "section", "spans", F.posexplode("spans").alias("title_no", "span"))
+    titles = exploded(spans, ["doc_id", "section", "spans"], F.col("spans"), "title_no", "span")
     text, start, end = F.col("section"), F.col("span.start"), F.col("span.end")
     until = F.least(end + fixed.SIGNER_LOOKAHEAD_CHARS, F.length(text))
     following = F.get("spans", F.col("title_no") + 1)["start"]
@@ -302,22 +308,24 @@ def signature_text_edges(sections: DataFrame) -> DataFrame:
     )
     crossed = F.expr("substring_index(before, behind, -1)")
     chosen = F.when(F.col("behind").isNotNull() & ~crossed.rlike(fixed.SIGNER_TITLE), F.col("behind")).otherwise(F.col("ahead"))
-    edges = named.select("doc_id", "title_no", chosen.alias("name"), "title").filter("name is not null").select(
-        "doc_id", "name", "title_no", F.posexplode(signer_title_edges(F.col("title"))).alias("edge_no", "relationship_type")
-    )
+    signers = named.select("doc_id", "title_no", chosen.alias("name"), "title")
+    kinds = F.when(F.col("name").isNotNull(), signer_title_edges(F.col("title")))
+    edges = exploded(signers, ["doc_id", "name", "title_no"], kinds, "edge_no", "relationship_type")
     return edges.select(
         "doc_id", "name", "relationship_type", F.lit("signature_free_text").alias("source"),
         F.array("title_no", "edge_no").alias("pos"),
     )
 
 
-def signature_edges(docs: DataFrame) -> DataFrame:
-    """Signers from tables; free text only for documents whose tables name none."""
-    tables = signature_tables(docs)
+def signature_edges(texts: DataFrame) -> DataFrame:
+    """Signers from tables; free text only for documents whose tables name none.
+
+    ``texts`` is (doc_id, html, text).
+    """
+    tables = signature_tables(texts)
     from_tables = dedupe_relationships(signature_table_edges(tables))
     without = tables.filter(~F.col("has_evidence")).select("doc_id")
-    texts = filing_texts(docs).join(without, "doc_id", "left_semi")
-    sections = texts.select("doc_id", signature_section(F.col("text")).alias("section")).filter("section <> ''")
+    sections = texts.join(without, "doc_id", "left_semi").select("doc_id", signature_section(F.col("text")).alias("section"))
     return from_tables.unionByName(dedupe_relationships(signature_text_edges(sections)))
 
 
@@ -342,7 +350,8 @@ def officers(texts: DataFrame, source: str = "item_10") -> DataFrame:
         F.struct(F.lit("CEO_OF").alias("kind"), names_near_title(F.col("text"), fixed.CEO_TITLE).alias("names")),
         F.struct(F.lit("CFO_OF").alias("kind"), names_near_title(F.col("text"), fixed.CFO_TITLE).alias("names")),
     )
-    mentions = texts.select("doc_id", F.inline(kinds)).select("doc_id", "kind", F.posexplode("names").alias("pos", "name"))
+    kinds = exploded(texts, ["doc_id"], kinds, "kind_no", "k")
+    mentions = exploded(kinds, ["doc_id", F.col("k.kind").alias("kind")], F.col("k.names"), "pos", "name")
     best = most_common_name(mentions, ["doc_id", "kind"])
     ceo = best.filter("kind = 'CEO_OF'").select("doc_id", "canonical")
     cfo = best.filter("kind = 'CFO_OF'").join(ceo, ["doc_id", "canonical"], "left_anti")
@@ -355,7 +364,7 @@ def officers(texts: DataFrame, source: str = "item_10") -> DataFrame:
 
 def _tables_with_rows(docs: DataFrame) -> DataFrame:
     visible = docs.select("doc_id", F.regexp_replace("html", HIDDEN, " ").alias("visible"))
-    tables = visible.select("doc_id", F.posexplode(F.regexp_extract_all("visible", F.lit(f"({TABLE})"), F.lit(1))).alias("table_no", "markup"))
+    tables = exploded(visible, ["doc_id"], F.regexp_extract_all("visible", F.lit(f"({TABLE})"), F.lit(1)), "table_no", "markup")
     return tables.select("doc_id", "table_no", cell_text(F.col("markup")).alias("table_text"), _text_rows(F.col("markup")).alias("rows"))
 
 
@@ -363,15 +372,12 @@ def _named_rows(tables: DataFrame, header_test, last: bool) -> DataFrame:
     """Rows below the header with the name column's cell, or the second cell if that is no name."""
     places = _places(F.transform(F.get("rows", F.lit(0)), F.lower), header_test)
     at = F.try_element_at(places, F.lit(-1 if last else 1))
-    body = tables.filter(F.size("rows") >= 2).select(
-        "doc_id", "table_no", F.coalesce(at, F.lit(0)).alias("at"),
-        F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_no", "cells"),
-    ).filter("at < size(cells)")
-    first, second = normalize_name(F.get("cells", F.col("at"))), normalize_name(F.get("cells", F.lit(1)))
-    tried = body.withColumn("first_name", first)
-    name = F.when(is_person_name(F.col("first_name")) | (F.size("cells") < 2), F.col("first_name")).otherwise(second)
-    named = tried.withColumn("name", name)
-    return named.filter(is_person_name(F.col("name"))).drop("first_name")
+    headed = tables.withColumn("at", F.coalesce(at, F.lit(0)))
+    body = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
+    rows = exploded(headed, ["doc_id", "table_no", "at"], body, "row_no", "cells").filter("at < size(cells)")
+    tried = F.transform(F.array(F.get("cells", F.col("at")), F.get("cells", F.lit(1))), lambda c: normalize_name(F.coalesce(c, F.lit(""))))
+    names = F.slice(F.filter(tried, is_person_name), 1, 1)
+    return exploded(rows, ["doc_id", "table_no", "row_no", "at", "cells"], names, "_pos", "name").drop("_pos")
 
 
 def executives_from_tables(docs: DataFrame, source: str = "item_10") -> DataFrame:
@@ -379,9 +385,7 @@ def executives_from_tables(docs: DataFrame, source: str = "item_10") -> DataFram
     rows = _named_rows(tables, lambda c: c.contains("name") | c.contains("executive officer"), last=True)
     others = F.filter("cells", lambda c, i: i != F.col("at"))
     title = F.concat(F.array_join(others, " "), F.lit(" executive officer"))
-    edges = rows.select(
-        "doc_id", "name", "table_no", "row_no", F.posexplode(title_relationships(title)).alias("edge_no", "relationship_type")
-    )
+    edges = exploded(rows, ["doc_id", "name", "table_no", "row_no"], title_relationships(title), "edge_no", "relationship_type")
     return edges.select(
         "doc_id", "name", "relationship_type", F.lit(source).alias("source"),
         F.array("table_no", "row_no", "edge_no").alias("pos"),
@@ -398,12 +402,12 @@ def executives_from_text(texts: DataFrame, source: str = "item_10") -> DataFrame
         F.regexp_extract_all("near", F.lit(pattern), F.lit(1)).alias("name"),
         F.regexp_extract_all("near", F.lit(pattern), F.lit(2)).alias("title"),
     )
-    rows = near.filter("near <> ''").select("doc_id", F.posexplode(found).alias("row_no", "hit")).select(
-        "doc_id", "row_no", normalize_name(F.col("hit")["name"]).alias("name"), clean_text(F.col("hit")["title"]).alias("title")
-    )
-    edges = rows.filter(is_person_name(F.col("name"))).select(
-        "doc_id", "name", "row_no", F.posexplode(title_relationships(F.col("title"))).alias("edge_no", "relationship_type")
+    cleaned = F.transform(
+        found, lambda h: F.struct(normalize_name(h["name"]).alias("name"), clean_text(h["title"]).alias("title"))
     )
+    rows = exploded(near, ["doc_id"], F.filter(cleaned, lambda h: is_person_name(h["name"])), "row_no", "hit")
+    kinds = title_relationships(F.col("hit.title"))
+    edges = exploded(rows, ["doc_id", F.col("hit.name").alias("name"), "row_no"], kinds, "edge_no", "relationship_type")
     return edges.select(
         "doc_id", "name", "relationship_type", F.lit(source).alias("source"), F.array("row_no", "edge_no").alias("pos")
     )
@@ -446,10 +450,8 @@ def board_from_text(texts: DataFrame) -> DataFrame:
     phrases = F.regexp_extract_all("text", F.lit(sentence), F.lit(1))
     listed = F.flatten(F.transform(phrases, lambda p: F.regexp_extract_all(p, F.lit(NAMES), F.lit(1))))
     found = F.concat(F.regexp_extract_all("text", F.lit(line), F.lit(1)), listed)
-    rows = texts.select("doc_id", F.posexplode(found).alias("name_no", "found")).select(
-        "doc_id", "name_no", normalize_name(F.col("found")).alias("name")
-    )
-    return _board(rows.filter(is_person_name(F.col("name"))), "name_no")
+    names = F.filter(F.transform(found, normalize_name), is_person_name)
+    return _board(exploded(texts, ["doc_id"], names, "name_no", "name"), "name_no")
 
 
 def board_members(texts: DataFrame) -> DataFrame:
@@ -457,18 +459,23 @@ def board_members(texts: DataFrame) -> DataFrame:
     return dedupe_relationships(_staged([board_from_tables(texts), board_from_text(texts)]))
 
 
-def item10_edges(docs: DataFrame) -> DataFrame:
+def item10_edges(texts: DataFrame) -> DataFrame:
     """Officers, executives and directors of the governance item or the whole filing.
 
-    An item section is plain text, so board tables count only without one.
+    ``texts`` is (doc_id, html, text). An item section is plain text, so board
+    tables count only without one.
     """
-    texts = filing_texts(docs).withColumn("section", item_section(F.col("text"), "10"))
+    texts = texts.withColumn("section", item_section(F.col("text"), "10"))
     part = F.when(F.col("section") != "", F.col("section")).otherwise(F.col("text"))
     scoped = texts.select("doc_id", F.when(F.col("section") == "", F.col("html")).otherwise("").alias("html"), part.alias("text"))
     return dedupe_relationships(_staged([officers(scoped), executive_officers(texts), board_members(scoped)]))
 
 
 def extract_filings(docs: DataFrame, signature_only: bool = False) -> DataFrame:
-    """Relationships of every document: signature pages first, item 10 as fallback."""
-    signatures = signature_edges(docs)
-    return signatures if signature_only else merge_sources(signatures, item10_edges(docs))
+    """Relationships of every document: signature pages first, item 10 as fallback.
+
+    The flat text is written once, as several passes read it.
+    """
+    texts = stage(filing_texts(docs.select("doc_id", "html")), "filing-texts")
+    signatures = signature_edges(texts)
+    return signatures if signature_only else merge_sources(signatures, item10_edges(texts))

@@ -137,4 +137,41 @@ CHECK_VIEWS = {
         select person_id, ticker, coalesce('["'||string_agg(distinct nullif(role,''),'","' order by nullif(role,''))||'"]','[]') as r,
           coalesce('["'||string_agg(distinct nullif(role_category,''),'","' order by nullif(role_category,''))||'"]','[]') as c
         from o_canon group by 1,2""",
+    "o_body": """
+        select batch_id, k, t1, t2, raw_response, case when starts_with(trim(raw_response,' '||chr(10)),'```')
+            then regexp_extract(raw_response,'(?s)```json\n(.*)\n```',1) else trim(raw_response,' '||chr(10)) end as body
+        from v_answers""",
+    "o_read": """
+        select * from o_body where body<>'' and json_valid(body) and json_type(body)='OBJECT' and json_type(body,'$.companies')='ARRAY'""",
+    "o_company": "select batch_id, unnest(cast(json_extract(body,'$.companies') as json[])) as c from o_read",
+    "o_returned": "select distinct batch_id, upper(trim(json_extract_string(c,'$.ticker'))) as ticker from o_company",
+    "o_answer_rows": """
+        select batch_id, ticker, person_name, role, role_category,
+          regexp_replace(trim(regexp_replace(upper(person_name),'[^A-Z0-9\\s]','','g')),'\\s+','_','g') as person_key
+        from (select batch_id, upper(trim(json_extract_string(c,'$.ticker'))) as ticker,
+            trim(json_extract_string(r,'$.person_name')) as person_name, trim(json_extract_string(r,'$.role')) as role,
+            upper(trim(json_extract_string(r,'$.role_category'))) as role_category
+          from (select batch_id, c, unnest(cast(json_extract(c,'$.relationships') as json[])) as r from o_company))
+        where ticker<>'' and person_name<>'' and role<>'' and role_category in ('EXECUTIVE','BOARD')""",
+    "o_status": """
+        select a.batch_id, a.k, a.t1, a.t2, case when trim(raw_response,' '||chr(10))='' then 'no_final_text' when not json_valid(body) then 'invalid_json'
+            when r.batch_id is null then 'parse_exception' when len(missing)>0 then 'missing_from_response' end as reason,
+          case when r.batch_id is null then 'failed' when len(missing)>0 then 'partial' else 'success' end as status,
+          coalesce(missing,[]) as missing
+        from o_body a left join (select b.batch_id, list_sort(list_filter(list_distinct([any_value(t1),any_value(t2)]),
+            lambda t: not list_contains(list(x.ticker), t))) as missing
+          from o_read b join o_returned x using (batch_id) group by 1) r using (batch_id)""",
+    # Expected signers, from the way the filings are written.
+    "o_signed": """
+        select k as doc_id, n1 as name, 'CEO_OF' as relationship_type, 'signature_table' as source from v_signers where layout in (0,2,6)
+        union all select k, n1, 'BOARD_OF', 'signature_table' from v_signers where layout in (0,1,6,8)
+        union all select k, n2, 'CFO_OF', 'signature_table' from v_signers where layout in (0,1,2)
+        union all select k, n2, 'BOARD_OF', 'signature_table' from v_signers where layout=9
+        union all select k, n3, 'BOARD_OF', 'signature_table' from v_signers where layout=0
+        union all select k, n1, 'CFO_OF', 'signature_table' from v_signers where layout=9
+        union all select k, n1, 'CFO_OF', 'signature_free_text' from v_signers where layout=3
+        union all select k, n1, 'BOARD_OF', 'signature_free_text' from v_signers where layout in (3,5)""",
+    "o_filed": """
+        select k, 'P-'||cast(k as varchar) as ticker, case when k%11<>0 then cast(k as varchar) end as cik, n1||' Works' as company_name,
+          case when k%13<>0 and k%11<>0 then '2024-02-0'||cast(k%9+1 as varchar) end as filing_date from v_signers""",
 }

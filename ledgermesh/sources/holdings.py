@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
-from ledgermesh.functions.text import any_word, collapse_spaces, header_label, normalize_ticker, py_strip
+from ledgermesh.functions.text import any_word, collapse_spaces, exploded, header_label, normalize_ticker, py_strip
 from ledgermesh.sources.html import decode_entities
 
 HEADER_ROWS = 20
@@ -104,7 +104,8 @@ def read_sheet_rows(df: DataFrame, file: str = "file", xml: str = "xml") -> Data
     sheet = r"(?s)<(?:\w+:)?Worksheet\b.*?(?:</(?:\w+:)?Worksheet>|\z)"
     row = r"(?s)(<(?:\w+:)?Row\b(?:[^>]*/>|.*?</(?:\w+:)?Row>))"
     cell = r"(?s)(<(?:\w+:)?Cell\b(?:[^>]*/>|.*?</(?:\w+:)?Cell>))"
-    sheets = df.select(file, F.posexplode(F.regexp_extract_all(sanitize_xml(F.col(xml)), F.lit(f"({sheet})"), F.lit(1))).alias("sheet_no", "_sheet"))
+    found = F.regexp_extract_all(sanitize_xml(F.col(xml)), F.lit(f"({sheet})"), F.lit(1))
+    sheets = exploded(df, [file], found, "sheet_no", "_sheet")
     named = sheets.withColumn("_name", F.lower(decode_entities(F.regexp_extract("_sheet", r'^<[^>]*?:Name="([^"]*)"', 1))))
 
     def add(acc: Column, markup: Column) -> Column:
@@ -113,9 +114,8 @@ def read_sheet_rows(df: DataFrame, file: str = "file", xml: str = "xml") -> Data
         value = py_strip(decode_entities(F.regexp_replace(markup, "(?s)<[^>]*>", "")))
         return F.concat(acc, F.array_repeat(F.lit(""), gap), F.array(value))
 
-    rows = named.select(
-        file, "sheet_no", "_name", F.posexplode(F.regexp_extract_all("_sheet", F.lit(row), F.lit(1))).alias("idx", "_row")
-    ).withColumn(
+    markup = F.regexp_extract_all("_sheet", F.lit(row), F.lit(1))
+    rows = exploded(named, [file, "sheet_no", "_name"], markup, "idx", "_row").withColumn(
         "cells", F.aggregate(F.regexp_extract_all("_row", F.lit(cell), F.lit(1)), F.array().cast("array<string>"), add)
     )
     has_ticker = F.exists("cells", lambda c: header_label(c) == "ticker") & (F.col("idx") < HEADER_ROWS)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
-from ledgermesh.functions.text import clean_text, header_label, match_spans, normalize_ticker
+from ledgermesh.functions.text import clean_text, exploded, header_label, match_spans, normalize_ticker
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>"
 TAG = r"(?s)<[^>]*>"
@@ -49,7 +49,7 @@ def cell_lines(cell: Column) -> Column:
 def html_tables(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
     """One row per table: (doc, table_no, start, markup); comments are dropped."""
     visible = df.select(doc, F.regexp_replace(html, HIDDEN, " ").alias("_html"))
-    spans = visible.select(doc, F.posexplode(match_spans(F.col("_html"), TABLE)).alias("table_no", "_span"))
+    spans = exploded(visible, [doc], match_spans(F.col("_html"), TABLE), "table_no", "_span")
     return spans.select(doc, "table_no", F.col("_span.start").alias("start"), F.col("_span.text").alias("markup"))
 
 
@@ -57,11 +57,20 @@ def _cells(markup: Column, each) -> Column:
     return F.transform(F.regexp_extract_all(markup, F.lit(CELL), F.lit(1)), each)
 
 
+def _markup_rows(tables: DataFrame, doc: str) -> DataFrame:
+    return exploded(tables, [doc, "table_no"], F.regexp_extract_all("markup", F.lit(ROW), F.lit(1)), "row_no", "_row")
+
+
+def _filled(rows: DataFrame, doc: str, cells: Column) -> DataFrame:
+    """Rows with at least one cell."""
+    kept = F.array_compact(F.array(F.when(F.size(cells) > 0, cells)))
+    return exploded(rows, [doc, "table_no", "row_no"], kept, "_pos", "cells").drop("_pos")
+
+
 def table_rows(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows of cleaned, non-empty cells; rows without any are left out."""
-    rows = tables.select(doc, "table_no", F.posexplode(F.regexp_extract_all("markup", F.lit(ROW), F.lit(1))).alias("raw_row", "_row"))
     cells = F.filter(_cells(F.col("_row"), cell_text), lambda c: c != "")
-    return rows.select(doc, "table_no", F.col("raw_row").alias("row_no"), cells.alias("cells")).filter(F.size("cells") > 0)
+    return _filled(_markup_rows(tables, doc), doc, cells)
 
 
 def html_table_rows(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
@@ -70,9 +79,8 @@ def html_table_rows(df: DataFrame, doc: str = "doc_id", html: str = "html") -> D
 
 def table_cell_lines(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows whose cells are arrays of lines; empty cells and rows are left out."""
-    rows = tables.select(doc, "table_no", F.posexplode(F.regexp_extract_all("markup", F.lit(ROW), F.lit(1))).alias("raw_row", "_row"))
     cells = F.filter(_cells(F.col("_row"), cell_lines), lambda c: F.size(c) > 0)
-    return rows.select(doc, "table_no", F.col("raw_row").alias("row_no"), cells.alias("cells")).filter(F.size("cells") > 0)
+    return _filled(_markup_rows(tables, doc), doc, cells)
 
 
 def html_table_cell_lines(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
@@ -81,8 +89,7 @@ def html_table_cell_lines(df: DataFrame, doc: str = "doc_id", html: str = "html"
 
 def all_table_rows(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
     """Rows with every cell in place, empty ones included."""
-    tables = html_tables(df, doc, html)
-    rows = tables.select(doc, "table_no", F.posexplode(F.regexp_extract_all("markup", F.lit(ROW), F.lit(1))).alias("row_no", "_row"))
+    rows = _markup_rows(html_tables(df, doc, html), doc)
     return rows.select(doc, "table_no", "row_no", _cells(F.col("_row"), cell_text).alias("cells"))
 
 
