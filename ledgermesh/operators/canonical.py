@@ -67,10 +67,14 @@ def _cleaned(df: DataFrame) -> DataFrame:
 
 
 def split_incomplete(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cleaned rows that have all four key fields, and those that do not."""
-    rows = _cleaned(df)
-    complete = "ticker <> '' and person_name <> '' and role <> '' and role_category <> ''"
-    return rows.filter(complete), rows.filter(f"not ({complete})")
+    """Cleaned rows that have all four key fields, and those that do not.
+
+    The test needs no more than a trim, so it is cheap where the optimizer
+    runs it early, on rows that later joins drop.
+    """
+    filled = [py_strip(text_or_empty(F.col(c))) != "" for c in ("ticker", "person_name", "role", "role_category")]
+    complete = filled[0] & filled[1] & filled[2] & filled[3]
+    return _cleaned(df.filter(complete)), _cleaned(df.filter(~complete))
 
 
 def dedupe_latest(df: DataFrame) -> DataFrame:

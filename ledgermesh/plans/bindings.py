@@ -6,6 +6,7 @@ stands for an input table; a view may name other views.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ TABLES = (
     " benchmark labels conversations"
 ).split()
 
+LARGE_TABLES = ["lineitem", "orders", "events", "documents", "pages"]
+SPREAD_BYTES = 2_000_000
+
 VIEWS = {
     # Raw relationships: company = supplier, person = customer, years as stamps.
     "v_raw": """
@@ -214,19 +218,36 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; one stored in fewer splits than there are cores is spread out.
+
+        A file of one row group is read by one task, which would then run all
+        of the work before the first shuffle. Tables that already come in
+        enough splits, and small ones, are left as they are.
+        """
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in LARGE_TABLES and _size_in_bytes(df) >= SPREAD_BYTES and len(df.inputFiles()) < cores:
+            return df.repartition(cores)
+        return df
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over views; tables are read from the folder."""
         full = with_views(text)
+        prefix = "t" + hashlib.md5(self.folder.encode()).hexdigest()[:12]
         for name in TABLES:
-            full = full.replace("{" + name + "}", f"parquet.`{self.folder}/{name}.parquet`")
+            if "{" + name + "}" in full:
+                self.table(name).createOrReplaceTempView(f"{prefix}_{name}")
+                full = full.replace("{" + name + "}", f"{prefix}_{name}")
         return self.spark.sql(full)
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
 
+def _size_in_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def plain(sql: str, extra: dict[str, str]) -> str:
     """The same SQL for a database where the tables are registered by name."""
     full = with_views(sql, extra, "with recursive")

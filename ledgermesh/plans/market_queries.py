@@ -50,14 +50,14 @@ def stored_snapshot(i: Inputs) -> DataFrame:
 
 _FIGURES = """ticker, cast(as_of_date as varchar) as as_of_date, close, round(return_1d,9) as return_1d,
     round(return_5d,9) as return_5d, round(return_30d,9) as return_30d, round(avg_volume_30d,6) as avg_volume_30d,
-    round(avg_dollar_volume_30d,2) as avg_dollar_volume_30d"""
+    round(avg_dollar_volume_30d,6) as avg_dollar_volume_30d"""
 
 
 def figures(df: DataFrame) -> DataFrame:
     return df.select(
         "ticker", F.col("as_of_date").cast("string").alias("as_of_date"), "close",
         *[F.round(c, 9).alias(c) for c in ("return_1d", "return_5d", "return_30d")],
-        F.round("avg_volume_30d", 6).alias("avg_volume_30d"), F.round("avg_dollar_volume_30d", 2).alias("avg_dollar_volume_30d"),
+        F.round("avg_volume_30d", 6).alias("avg_volume_30d"), F.round("avg_dollar_volume_30d", 6).alias("avg_dollar_volume_30d"),
     )
 
 
