@@ -15,7 +15,8 @@ from ledgermesh.functions import fixed_values as fixed
 # Whitespace as Unicode text handling sees it; Spark's trim knows only blanks.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _OTHER_SPACE = SPACE.replace(r"[\s", r"[\t\n\x0b\f\r")
-_UNEVEN = f"{SPACE}{{2,}}|{_OTHER_SPACE}"
+# The look-ahead rejects printable ASCII at once, before the long class is tried.
+_UNEVEN = f"(?=[^!-~])(?:{SPACE}{{2,}}|{_OTHER_SPACE})"
 _SPACE_CHARS = "".join(
     chr(code) for code in
     [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

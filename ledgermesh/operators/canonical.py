@@ -18,10 +18,12 @@ def latest_snapshot(raw: DataFrame) -> DataFrame:
 
     A ticker with any update stamp is cut at its latest one, the others at
     their latest creation stamp. The times are aggregated first and joined
-    back, so no ticker's rows have to meet in one task.
+    back, so no ticker's rows have to meet in one task. Rows share few stamps,
+    so distinct stamps are hashed out before the maximum, which has to sort.
     """
     keyed = raw.withColumn("_ticker", upper_key(F.col("ticker"))).filter("_ticker <> ''")
-    times = keyed.groupBy("_ticker").agg(
+    stamps = keyed.select("_ticker", "updated_at", "created_at").distinct()
+    times = stamps.groupBy("_ticker").agg(
         F.max(blank_to_null(F.col("updated_at"))).alias("_updated"),
         F.max(text_or_empty(F.col("created_at"))).alias("_created"),
     )
@@ -141,7 +143,7 @@ def beside(one_row_frames: list[DataFrame]) -> DataFrame:
 def derive_people(df: DataFrame) -> DataFrame:
     """One row per person id with its smallest non-blank name."""
     require_columns(df, ["person_id", "person_name"])
-    named = df.filter(text_or_empty(F.col("person_id")) != "")
+    named = df.filter(text_or_empty(F.col("person_id")) != "").select("person_id", "person_name").distinct()
     return named.groupBy("person_id").agg(
         text_or_empty(F.min(blank_to_null(F.col("person_name")))).alias("person_name")
     )

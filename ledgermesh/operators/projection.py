@@ -66,7 +66,9 @@ def projection(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def company_names(rel: DataFrame) -> DataFrame:
     """Name of a company: the first in canonical order, which is the smallest."""
-    return rel.groupBy("ticker").agg(F.min("company_name").alias("company_name"))
+    return rel.select("ticker", "company_name").distinct().groupBy("ticker").agg(
+        F.min("company_name").alias("company_name")
+    )
 
 
 def duplicate_rows(rel: DataFrame) -> DataFrame:
