@@ -18,6 +18,7 @@ TABLES = (
 
 LARGE_TABLES = ["lineitem", "orders", "events", "documents", "pages"]
 SPREAD_BYTES = 2_000_000
+SPLIT_BYTES = 64_000_000
 
 VIEWS = {
     # Raw relationships: company = supplier, person = customer, years as stamps.
@@ -221,14 +222,13 @@ class Inputs:
         """A table; one stored in fewer splits than there are cores is spread out.
 
         A file of one row group is read by one task, which would then run all
-        of the work before the first shuffle. Tables that already come in
-        enough splits, and small ones, are left as they are.
+        of the work before the first shuffle. Small tables, and those big
+        enough to come in a split per core anyway, are left as they are.
         """
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        if name in LARGE_TABLES and _size_in_bytes(df) >= SPREAD_BYTES and len(df.inputFiles()) < cores:
-            return df.repartition(cores)
-        return df
+        middling = name in LARGE_TABLES and SPREAD_BYTES <= _size_in_bytes(df) < cores * SPLIT_BYTES
+        return df.repartition(cores) if middling and len(df.inputFiles()) < cores else df
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over views; tables are read from the folder."""
