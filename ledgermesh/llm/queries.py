@@ -7,8 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import exact_dedup, mixing
+from ledgermesh.llm import exact_dedup, mixing, packing, quality, token_files, toxicity
 from ledgermesh.llm.common import documents
+from ledgermesh.llm.tokens import public_path
+
+
+def op2_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(
+        documents(spark, folder).select("doc_id", "lang", "text"), public_path("piece_bpe_32k.model"), public_path("byte_bpe_50k.json")
+    )
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        *quality.BANDED, "failed_measure",
+    )
+
+
+def op4_packed_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_files.new_folder(spark, "token-files")
+    token_files.write_token_files(documents(spark, folder).select("doc_id", "text"), path, public_path("byte_bpe_50k.json"))
+    read = token_files.read_token_files(token_files.token_blocks(spark, path))
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
 
 
 def op5_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,13 +40,26 @@ def op5_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_sequences(documents(spark, folder).select("doc_id", "text"), public_path("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups_of_equal_texts(documents(spark, folder).select("doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    return toxicity.scored(documents(spark, folder).select("doc_id", "text"), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tokenizer_fertility": op2_tokenizer_fertility,
+    "op4_packed_token_files": op4_packed_token_files,
     "op5_mixing_to_weights": op5_mixing_to_weights,
+    "op7_best_two_fit": op7_best_two_fit,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 CHECKS: dict[str, str] = {
