@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import exact_dedup, mixing, packing, quality, token_files, toxicity
-from ledgermesh.llm.common import documents
+from ledgermesh.llm import exact_dedup, mixing, near_duplicates, packing, quality, token_files, toxicity, warc
+from ledgermesh.llm.common import documents, stage
 from ledgermesh.llm.tokens import public_path
 
 
@@ -22,6 +22,17 @@ def op2_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_salvaged_archives(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_files.new_folder(spark, "archives")
+    warc.write_archives(spark.read.parquet(f"{folder.rstrip('/')}/pages.parquet"), path)
+    read = stage(warc.read_archives(spark, path, payloads=False), "archive-records")
+    warc.log_gaps(read, token_files.new_folder(spark, "archive-gaps"))
+    return read.filter("kind = 'record'").select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
 def op4_packed_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = token_files.new_folder(spark, "token-files")
     token_files.write_token_files(documents(spark, folder).select("doc_id", "text"), path, public_path("byte_bpe_50k.json"))
@@ -40,6 +51,10 @@ def op5_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes(documents(spark, folder).select("doc_id", "text"))
+
+
 def op7_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_sequences(documents(spark, folder).select("doc_id", "text"), public_path("word_bpe_49k.json"))
 
@@ -55,14 +70,28 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
+    "op3_salvaged_archives": op3_salvaged_archives,
     "op4_packed_token_files": op4_packed_token_files,
     "op5_mixing_to_weights": op5_mixing_to_weights,
+    "op6_near_duplicate_classes": op6_near_duplicate_classes,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FOUR = "||".join(f"substr('{_LETTERS}', 1 + (c // {d}) % 32, 1)" for d in (32768, 1024, 32, 1))
+
 CHECKS: dict[str, str] = {
+    "op3_salvaged_archives": f"""
+        with payloads as (select page_id, coalesce(html, '') as html from pages),
+        coded as (select page_id, html, strlen(html) as payload_bytes, sha1(html) as code, max(page_id) over (partition by html) as kept from payloads)
+        select page_id, payload_bytes,
+               array_to_string(list_transform(list_transform(range(0, 8), lambda k: ('0x' || substr(code, 1 + 5 * k, 5))::int), lambda c: {_FOUR}), '') as payload_digest,
+               case when page_id = kept then 'response' else 'revisit' end as record_type,
+               case when page_id < kept then kept end as refers_to
+        from coded
+    """,
     "op8_exact_dedup": r"""
         with texts as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
