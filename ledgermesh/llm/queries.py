@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import exact_dedup, mixing, near_duplicates, packing, quality, token_files, toxicity, warc
+from ledgermesh.llm import exact_dedup, mixing, near_duplicates, packing, quality, repeats, token_files, toxicity, warc
 from ledgermesh.llm.common import documents, stage
 from ledgermesh.llm.tokens import public_path
 
 
+def op1_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(documents(spark, folder).select("doc_id", "text"), with_bytes=False)
+    return kept.drop("kept")
+
+
 def op2_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(
         documents(spark, folder).select("doc_id", "lang", "text"), public_path("piece_bpe_32k.model"), public_path("byte_bpe_50k.json")
@@ -69,6 +74,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_strings": op1_repeated_strings,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op3_salvaged_archives": op3_salvaged_archives,
     "op4_packed_token_files": op4_packed_token_files,
