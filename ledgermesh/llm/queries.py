@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import exact_dedup, mixing, near_duplicates, packing, quality, repeats, token_files, toxicity, warc
+from ledgermesh.llm import exact_dedup, language_model, mixing, near_duplicates, packing, quality, repeats, token_files, toxicity, warc
 from ledgermesh.llm.common import documents, stage
 from ledgermesh.llm.tokens import public_path
 
@@ -68,6 +68,13 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups_of_equal_texts(documents(spark, folder).select("doc_id", "text"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+    return language_model.cross_entropy_difference(
+        documents(spark, folder).select("doc_id", "text"), labels.filter("quality = 1"), public_path("piece_bpe_32k.model")
+    )
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
     return toxicity.scored(documents(spark, folder).select("doc_id", "text"), labels)
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicate_classes": op6_near_duplicate_classes,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_toxicity": op10_toxicity,
 }
 

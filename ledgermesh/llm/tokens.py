@@ -82,3 +82,37 @@ def public_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+class WordPieces:
+    """Piece ids of single words by a sentencepiece vocabulary, remembered per worker."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = self.library.get_piece_size()
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        import numpy as np
+
+        if len(self.known) > _KEPT:
+            self.known.clear()
+        known = self.known
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        for at in range(0, len(fresh), 8192):
+            some = fresh[at : at + 8192]
+            for w, i in zip(some, self.library.encode(some, num_threads=1), strict=True):
+                known[w] = np.array(i, "<u4").tobytes()
+        found = [known[w] for w in words]
+        for w in fresh:
+            if len(w) > _LONGEST:
+                del known[w]
+        return found
+
+
+@lru_cache(maxsize=2)
+def word_pieces(path: str) -> WordPieces:
+    return WordPieces(path)
