@@ -100,6 +100,9 @@ def _plain_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if end < 0:
         raise ValueError("header without end")
     fields = _fields(data[at:end])
+    names = [line.partition(b":")[0].strip().lower() for line in data[at:end].split(b"\n")[1:] if line[:1] not in b" \t"]
+    if len(names) != len(fields):  # a line without a colon, or a field told twice: the header runs into another
+        raise ValueError("header of more than one record")
     length = fields.get("content-length", "")
     if not length.isdigit():
         raise ValueError("no content length")
