@@ -90,7 +90,7 @@ BOARD_TABLE_MARKS = ["nominee", "board", "election", "committee", "age"]
 # --- Fixed values: patterns (Java regular expressions) ---------------------
 NAME_CAPTURE = r"[A-Z][a-zA-Z'’.-]+(?:\s+(?:[A-Z]\.|[A-Z][a-zA-Z'’.-]+)){1,4}"
 TAXONOMY_TAG = (
-    r"(?i)^(?:[a-z][a-z0-9-]*:)?[a-z][a-z0-9]*(?:_[a-z0-9]+)+$"
+    r"(?i)^(?:[a-z][a-z0-9-]*:)?[a-z][a-z0-9]*(?:_[a-z0-9]++)++$"
     r"|^(?:us-gaap|dei|srt|country|currency):"
 )
 ITEM_HEADING = r"(?i)\bItem\s+([0-9]{1,2}[A-Z]?)\s*[.:\-–—]"
@@ -124,10 +124,3 @@ INCREMENTAL_DAYS = 14
 SEARCH_ROWS = 25
 
 # --- Fixed values: HTML entities decoded by name ----------------------------
-NAMED_ENTITIES = {
-    "&nbsp;": " ", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">",
-    "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”",
-    "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&middot;": "·",
-    "&reg;": "®", "&trade;": "™", "&copy;": "©", "&sect;": "§",
-    "&eacute;": "é", "&amp;": "&",
-}

@@ -10,8 +10,8 @@ from ledgermesh.functions.text import any_word, clean_text, let
 
 _WORD_EDGE_MARKS = r"(?:(?<=^)|(?<= ))[,.;:()\[\]]+|[,.;:()\[\]]+(?= |$)"
 _LABEL_EDGES = r"^[ .:\-–—]+|[ .:\-–—]+$"
-_PREFIXES = f"(?i)^(?:(?:{any_word(fixed.HONORIFIC_PREFIXES)})(?: |$))+"
-_SUFFIXES = f"(?i)(?:(?:^| )(?:{any_word(fixed.HONORIFIC_SUFFIXES)}))+$"
+_PREFIXES = f"(?i)^(?:(?:{any_word(fixed.HONORIFIC_PREFIXES)})(?: |$))++"
+_SUFFIXES = f"(?i)(?:(?:^| )(?:{any_word(fixed.HONORIFIC_SUFFIXES)})(?= |$))++$"
 _VOCABULARY = sorted({word for label in fixed.FILING_LABELS for word in label.split()})
 NAMES = rf"(?U)\b({fixed.NAME_CAPTURE})\b"
 
@@ -21,7 +21,7 @@ def _has_word(words: list[str]) -> str:
 
 
 def _only_words(words: list[str]) -> str:
-    return rf"^(?:\.*(?:{any_word(words)})\.*(?: |$))+$"
+    return rf"^(?:\.*+(?:{any_word(words)})\.*+(?: |$))++$"
 
 
 def normalize_name(c: Column) -> Column:
@@ -40,7 +40,7 @@ def canonical_name(c: Column) -> Column:
 
 def is_taxonomy_tag(c: Column) -> Column:
     text = clean_text(c)
-    return text.rlike(fixed.TAXONOMY_TAG) | text.rlike("^[A-Za-z]+(?:[A-Z][a-z0-9]+)+$")
+    return text.rlike(fixed.TAXONOMY_TAG) | text.rlike("^[A-Za-z]+(?:[A-Z][a-z0-9]++)++$")
 
 
 def is_filing_label(c: Column) -> Column:
@@ -88,7 +88,7 @@ def name_rejection_reason(c: Column) -> Column:
             .when(lowered.rlike(_has_word(fixed.DOCUMENT_TERMS)), "document_name_term")
             .when(lowered.rlike(_has_word(fixed.CONNECTOR_WORDS)), "blocked_connector_token")
             .when(lowered.rlike(_has_word(fixed.ORGANIZATION_TERMS)), "organization_term")
-            .when(~name.rlike("^(?:[A-Z][a-zA-Z'’.-]*(?: |$))+$"), "invalid_name_casing_or_characters")
+            .when(~name.rlike("^(?:[A-Z][a-zA-Z'’.-]*+(?: |$))++$"), "invalid_name_casing_or_characters")
             .when(lowered.rlike(_only_words(_VOCABULARY)), "all_filing_vocabulary")
         )
 
@@ -114,9 +114,18 @@ def _title_case(name: Column) -> Column:
 
 def signature_name(c: Column) -> Column:
     """Signer name: doubled names halved, titles cut off, capitals title-cased."""
-    starters = any_word(fixed.SIGNER_TITLE_STARTERS)
-    name = F.regexp_replace(normalize_name(c), r"^(\S+(?: \S+)*) \1$", "$1")
-    name = F.regexp_replace(name, rf"^(\S+ \S+(?: \S+)*?) \.*(?i:{starters})\.*(?: .*)?$", "$1")
+    titled = rf"(?s) \.*(?i:{any_word(fixed.SIGNER_TITLE_STARTERS)})\.*(?: .*)?$"
+
+    def halved(name: Column) -> Column:
+        at = F.floor(F.length(name) / 2).cast("int")  # the blank between two equal halves
+        first = F.substring(name, F.lit(1), at)
+        return F.when(name == F.concat(first, F.lit(" "), first), first).otherwise(name)
+
+    def untitled(name: Column) -> Column:
+        two = F.regexp_extract(name, r"^\S+ \S+", 0)
+        return F.concat(two, F.regexp_replace(F.substr(name, F.length(two) + 1), titled, ""))
+
+    name = let(let(normalize_name(c), halved), untitled)
     return let(name, lambda n: F.when(n.rlike("[A-Z]") & ~n.rlike("[a-z]"), _title_case(n)).otherwise(n))
 
 

@@ -81,8 +81,9 @@ def _spelled(words: list[str]) -> str:
     return "|".join(other + other.join(word) + other for word in words)
 
 
-_ID_PREFIX = f"(?i)^(?:(?:{_spelled(fixed.ID_PREFIXES)})(?: |$))+"
-_ID_SUFFIX = f"(?i)(?:(?:^| )(?:{_spelled(fixed.ID_SUFFIXES)}))+$"
+# Repeated groups are possessive throughout: the others recurse once per repetition on the task's stack.
+_ID_PREFIX = f"(?i)^(?:(?:{_spelled(fixed.ID_PREFIXES)})(?: |$))++"
+_ID_SUFFIX = f"(?i)(?:(?:^| )(?:{_spelled(fixed.ID_SUFFIXES)})(?= |$))++$"
 
 
 def person_id_for(c: Column) -> Column:
@@ -197,7 +198,7 @@ def extract_urls(c: Column, base_url: str) -> Column:
 
     Relative spreadsheet links are resolved against ``base_url``.
     """
-    literals = F.regexp_extract_all(c, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), F.lit(1))
+    literals = F.regexp_extract_all(c, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?)'), F.lit(1))
     values = F.filter(literals, lambda s: ~s.endswith(":"))
     strings = F.from_json(
         F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>"

@@ -21,20 +21,27 @@ RESPONSE = (
 
 
 def _payload(df: DataFrame) -> DataFrame:
-    """Answers with their parsed payload and the shape of the JSON."""
+    """Answers with their parsed payload and the shapes of the parts that are read."""
     body = df.withColumn("_body", unwrap_fence(text_or_empty(F.col("raw_response"))))
-    typed = body.withColumn("_shape", F.schema_of_variant(F.try_parse_json("_body")))
+    json = body.withColumn("_json", F.try_parse_json("_body"))
+    typed = json.withColumns({
+        "_shape": F.schema_of_variant("_json"),
+        "_companies_shape": F.schema_of_variant(F.try_variant_get("_json", "$.companies", "variant")),
+        "_relationship_shapes": F.transform(
+            F.try_variant_get("_json", "$.companies", "array<variant>"),
+            lambda c: F.schema_of_variant(F.try_variant_get(c, "$.relationships", "variant")),
+        ),
+    }).drop("_json")
     return typed.withColumn("_payload", F.from_json("_body", ANSWER_PAYLOAD))
 
 
 def _outcome() -> Column:
     """Why an answer cannot be read, or null."""
-    companies = F.regexp_extract("_shape", r"^OBJECT<(?:.*, )?companies: (.*)>$", 1)
-    bad_relationships = F.col("_shape").rlike(r"relationships: (?!ARRAY<(?:OBJECT<|VOID>))")
+    rows = "^ARRAY<(?:OBJECT<|VOID>)"
     wrong_shape = (
         ~F.col("_shape").startswith("OBJECT<")
-        | ((companies != "") & ~companies.rlike("^ARRAY<(?:OBJECT<|VOID>)"))
-        | bad_relationships
+        | F.coalesce(~F.col("_companies_shape").rlike(rows), F.lit(False))
+        | F.coalesce(F.exists("_relationship_shapes", lambda s: s.isNotNull() & ~s.rlike(rows)), F.lit(False))
     )
     return (
         F.when(py_strip(text_or_empty(F.col("raw_response"))) == "", "no_final_text")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgermesh.session import stage
 
-MAX_ROUNDS = 64
-
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
@@ -41,15 +39,13 @@ def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
         *keys, F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")
     )
     current = stage(pairs.distinct(), "links")
-    for _ in range(MAX_ROUNDS):
+    while True:
         linked = stage(_small_star(_large_star(current, keys), keys), "links")
         same_size = linked.count() == current.count()
         columns = [*keys, "src", "dst"]
         if same_size and linked.join(current, columns, "left_anti").isEmpty():
             break
         current = linked
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     members = linked.select(*keys, F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = linked.select(*keys, F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return members.unionByName(roots)

@@ -107,10 +107,10 @@ def context_windows(text: Column, pattern: str, window: int) -> Column:
     return F.array_join(F.transform(match_spans(text, pattern), around), " ")
 
 
-def signature_section(text: Column) -> Column:
-    """Text from the last SIGNATURES heading on."""
+def signature_section(text: Column, chars: int | None = fixed.SIGNATURE_SECTION_CHARS) -> Column:
+    """Text from the last SIGNATURES heading on, its first ``chars`` characters (None: all of it)."""
     tail = F.regexp_extract(text, r"(?is)\A.*\b(SIGNATURES\b.*)\z", 1)
-    return F.substring(tail, 1, fixed.SIGNATURE_SECTION_CHARS)
+    return tail if chars is None else F.substring(tail, 1, chars)
 
 
 # --- signature tables --------------------------------------------------------

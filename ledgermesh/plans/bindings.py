@@ -16,10 +16,6 @@ TABLES = (
     " benchmark labels conversations"
 ).split()
 
-LARGE_TABLES = ["lineitem", "orders", "events", "documents", "pages"]
-SPREAD_BYTES = 2_000_000
-SPLIT_BYTES = 64_000_000
-
 VIEWS = {
     # Raw relationships: company = supplier, person = customer, years as stamps.
     "v_raw": """
@@ -49,7 +45,7 @@ VIEWS = {
     # Index membership.
     "v_mem": """
         select distinct 'S'||lpad(cast(l_suppkey as varchar(20)),6,'0') as ticker, p_brand as universe
-        from {lineitem} join {part} on l_partkey=p_partkey where l_quantity>=48""",
+        from {lineitem} join {part} on l_partkey=p_partkey""",
     # Metadata; every 17th company has none, every 5th no sector.
     "v_meta": """
         select 'S'||lpad(cast(s_suppkey as varchar(20)),6,'0') as ticker,
@@ -62,17 +58,15 @@ VIEWS = {
     # Company master: listed tickers, one in ten left out.
     "v_master": """
         select distinct ticker from v_mem where cast(substr(ticker,2,6) as integer)%10 <> 3""",
-    # Bipartite links with eight components, and with many of uneven size.
+    # Bipartite links with eight components, and with twenty of uneven size.
     "v_islands": """
         select distinct 'S'||lpad(cast(l_suppkey as varchar(20)),6,'0') as ticker,
-          'P'||cast(o_custkey as varchar(20)) as person_id
-        from {lineitem} join {orders} on l_orderkey=o_orderkey
-        where l_suppkey%8=o_custkey%8 and l_quantity>=40""",
+          'P'||cast(o_custkey-o_custkey%8+l_suppkey%8 as varchar(20)) as person_id
+        from {lineitem} join {orders} on l_orderkey=o_orderkey""",
     "v_ragged": """
-        select distinct 'S'||lpad(cast(l_suppkey as varchar(20)),6,'0') as ticker,
+        select distinct 'S'||lpad(cast(l_suppkey as varchar(20)),6,'0')||'/'||cast(cast(floor(sqrt(o_custkey%400)) as integer) as varchar(20)) as ticker,
           'P'||cast(o_custkey as varchar(20)) as person_id
-        from {lineitem} join {orders} on l_orderkey=o_orderkey
-        where l_quantity>=50 and l_returnflag='R'""",
+        from {lineitem} join {orders} on l_orderkey=o_orderkey""",
     # Late bars: the last 14 days of each ticker, one percent up.
     "v_increment": """
         select b.ticker, b.trade_date, b.close*1.01 as close, b.adjusted_close*1.01 as adjusted_close,
@@ -219,16 +213,7 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A table; one stored in fewer splits than there are cores is spread out.
-
-        A file of one row group is read by one task, which would then run all
-        of the work before the first shuffle. Small tables, and those big
-        enough to come in a split per core anyway, are left as they are.
-        """
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        middling = name in LARGE_TABLES and SPREAD_BYTES <= _size_in_bytes(df) < cores * SPLIT_BYTES
-        return df.repartition(cores) if middling and len(df.inputFiles()) < cores else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL over views; tables are read from the folder."""
@@ -244,10 +229,6 @@ class Inputs:
         return self.sql(f"select * from {name}")
 
 
-def _size_in_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def plain(sql: str, extra: dict[str, str]) -> str:
     """The same SQL for a database where the tables are registered by name."""
     full = with_views(sql, extra, "with recursive")

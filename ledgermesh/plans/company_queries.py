@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.functions import text as t
 from ledgermesh.operators import companies as co
+from ledgermesh.operators.merge import numbered
 from ledgermesh.plans.bindings import Inputs
 from ledgermesh.plans.registry import query
 from ledgermesh.session import stage
@@ -51,10 +52,10 @@ def _(i):
     return members(i)
 
 
-@query("union_universes", "select ticker, 'Q'||cast(cast(l_linenumber as int) as varchar) as universe from (select distinct 'S'||cast(l_suppkey as varchar) as ticker, l_linenumber from lineitem where l_linenumber<=3)")
+@query("union_universes", "select ticker, 'Q'||cast(cast(l_linenumber as int) as varchar) as universe from (select distinct 'S'||cast(l_suppkey as varchar) as ticker, l_linenumber from lineitem)")
 def _(i):
     lines = i.table("lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "l_linenumber")
-    return co.union_universes({f"Q{n}": lines.filter(F.col("l_linenumber") == n) for n in (1, 2, 3)})
+    return co.union_universes({f"Q{n}": lines.filter(F.col("l_linenumber") == n) for n in range(1, 8)})
 
 
 @query("company_metadata", "select ticker, universe, company_name, sector, industry, description from o_known")
@@ -135,10 +136,14 @@ def _(i):
     return co.check_companies(rows)
 
 
-@query("unsorted_export_rows", "select ticker, idx from (select 'S'||cast(o_custkey as varchar) as ticker, o_orderkey as idx from orders) where false")
+@query("unsorted_export_rows", """
+    select ticker, idx from (select *, row_number() over (order by ticker, idx)-1 as place from (
+      select 'O'||lpad(cast(o_orderkey - case when o_orderkey%50=7 then 3 else 0 end as varchar),12,'0') as ticker,
+        row_number() over (order by o_orderkey)-1 as idx from orders)) where place<>idx""")
 def _(i):
-    named = F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
-    export = i.table("orders").select(named.alias("ticker"), F.col("o_orderkey").alias("idx"))
+    moved = F.col("o_orderkey") - F.when(F.col("o_orderkey") % 50 == 7, 3).otherwise(0)
+    named = F.concat(F.lit("O"), F.lpad(moved.cast("string"), 12, "0"))
+    export = numbered(i.table("orders").select("o_orderkey"), ["o_orderkey"], "idx").select(named.alias("ticker"), "idx")
     return co.unsorted_rows(export)
 
 

@@ -205,8 +205,7 @@ def _(i):
 @query("latest_available_date", "select max(cast(o_orderdate as date)) as trade_date from orders where o_orderstatus='F' and cast(o_orderdate as date) between (select max(cast(o_orderdate as date)) from orders)-7 and (select max(cast(o_orderdate as date)) from orders)")
 def _(i):
     days = i.table("orders").select(F.col("o_orderdate").cast("date").alias("trade_date"), "o_orderstatus")
-    today = days.agg(F.max("trade_date")).first()[0]
-    return h.latest_available(days.filter("o_orderstatus = 'F'"), F.lit(today))
+    return h.latest_available(days.filter("o_orderstatus = 'F'"), days.agg(F.max("trade_date")).scalar())
 
 
 # --- names -------------------------------------------------------------------
@@ -290,31 +289,33 @@ def _(i):
 
 def documents(i: Inputs, view: str = "v_docs") -> DataFrame:
     """Filing documents, spread evenly: parsing them is the costly part."""
-    return i.view(view).repartition(i.spark.sparkContext.defaultParallelism, "doc_id")
+    return i.view(view).repartition("doc_id")
 
 
 def texts(i: Inputs, view: str = "v_docs") -> DataFrame:
     return stage(x.filing_texts(documents(i, view)), "filing-texts")
 
 
-@query("item_sections", "select doc_id, 'Item 10. Directors and Officers' as head, 'there.' as tail, true as long_enough from v_item10_docs")
+@query("item_sections", """
+    select k as doc_id, md5('Item 10. Directors and Officers In charge is '||n1||', Chief Financial Officer since 2001; and '||n2
+      ||', Director; the directors are '||n2||' and '||n3||'. '||trim(repeat('filler words stand here and there. ',20))) as digest from v_signers""")
 def _(i):
     section = t.py_strip(x.item_section(F.col("text"), "10"))
-    return texts(i, "v_item10_docs").select(
-        "doc_id", F.substring(section, 1, 31).alias("head"), F.right(section, F.lit(6)).alias("tail"), (F.length(section) >= 500).alias("long_enough")
-    )
+    return texts(i, "v_item10_docs").select("doc_id", F.md5(section.cast("binary")).alias("digest"))
 
 
-@query("context_windows", "select k as doc_id, 'executive officers are '||substr(n1||' and '||n2,1,8) as near from v_signers")
+@query("context_windows", "select k as doc_id, 'x. executive officers are '||substr(n1||' and '||n2,1,8) as near from v_signers")
 def _(i):
     text = F.concat(F.lit("x. executive officers are "), "n1", F.lit(" and "), "n2")
     near = x.context_windows(text, r"(?i)executive\s+officers?", 13)
-    return i.view("v_signers").select(F.col("k").alias("doc_id"), F.substring(near, 4, 31).alias("near"))
+    return i.view("v_signers").select(F.col("k").alias("doc_id"), near.alias("near"))
 
 
-@query("signature_sections", "select doc_id, 'SIGNATURES' as head from v_docs")
+@query("signature_sections", """
+    select doc_id, md5(trim(regexp_replace(replace(regexp_replace(html,'<[^>]*>',' ','g'),'&nbsp;',' '),'\\s+',' ','g'))) as digest from v_docs""")
 def _(i):
-    return texts(i).select("doc_id", F.substring(x.signature_section(F.col("text")), 1, 10).alias("head"))
+    section = x.signature_section(F.col("text"))
+    return texts(i).select("doc_id", F.md5(section.cast("binary")).alias("digest"))
 
 
 @query("signature_table_candidates", "select k as doc_id, true as has_evidence, 1 as tables from v_signers where layout not in (3,5,7)")

@@ -75,16 +75,16 @@ def _(i):
 @query("person_neighbourhood_1", f"select {EDGE} from o_edges where person_id=(select min(person_id) from o_edges where person_id>='{PERSON}')")
 def _(i):
     found = graph(i)
-    person = found.edges.filter(F.col("person_id") >= PERSON).agg(F.min("person_id")).first()[0]
-    return g.person_graph(found, person or PERSON, 1)
+    person = found.edges.filter(F.col("person_id") >= PERSON).agg(F.min("person_id")).scalar()
+    return g.person_graph(found, person, 1)
 
 
 @query("person_neighbourhood_2", f"""select {EDGE} from o_edges where ticker in (
     select ticker from o_edges where person_id=(select min(person_id) from o_edges where person_id>='{PERSON}'))""")
 def _(i):
     found = graph(i)
-    person = found.edges.filter(F.col("person_id") >= PERSON).agg(F.min("person_id")).first()[0]
-    return g.person_graph(found, person or PERSON, 2)
+    person = found.edges.filter(F.col("person_id") >= PERSON).agg(F.min("person_id")).scalar()
+    return g.person_graph(found, person, 2)
 
 
 @query("cross_company_edges", f"select {EDGE} from o_edges where person_id in (select person_id from o_edges group by 1 having count(distinct ticker)>1)")

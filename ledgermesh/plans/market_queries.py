@@ -147,7 +147,7 @@ def _(i):
 @query(
     "valid_bars",
     """select 'S'||cast(l_suppkey as varchar) as ticker, cast(cast(l_shipdate as date) as varchar) as trade_date, count(*) as bars
-       from lineitem where l_linenumber<>1 and l_linenumber<>2 and l_linenumber<>3 and l_discount>0 group by 1,2""",
+       from lineitem where l_linenumber<>1 and l_linenumber<>2 and l_linenumber<>3 and (l_tax=0 or l_discount>0) group by 1,2""",
 )
 def _(i):
     day = F.col("l_shipdate").cast("date").cast("string")
@@ -158,7 +158,7 @@ def _(i):
         F.when(F.col("l_tax") == 0, None).otherwise(F.col("l_discount")).alias("close"),
         F.when(n_ == 3, -1).when(n_ == 4, None).otherwise(F.lit(5)).alias("volume"), "l_discount",
     )
-    kept = m.valid_bar(bars).filter("l_discount > 0")
+    kept = m.valid_bar(bars)
     return kept.groupBy("ticker", F.col("trade_date").cast("string").alias("trade_date")).agg(F.count("*").alias("bars"))
 
 
@@ -239,22 +239,29 @@ def _(i):
     return m.merge_failures(old, rows)
 
 
-@query("missing_price_tickers", "select ticker from v_master except select ticker from v_bars where volume>=148")
+_ASKED = "select t1 as ticker from v_asked union select t2 from v_asked"
+
+
+def asked(i: Inputs) -> DataFrame:
+    return i.sql(_ASKED)
+
+
+@query("missing_price_tickers", f"({_ASKED}) except select ticker from v_bars")
 def _(i):
-    return m.missing_tickers(i.view("v_master"), i.view("v_bars").filter("volume >= 148"))
+    return m.missing_tickers(asked(i), i.view("v_bars"))
 
 
 @query(
     "price_run_summary",
     """select case when f>0 then 'PARTIAL' else 'PASS' end as status, t as tickers, b as price_rows_upserted, f as failures,
          false as dry_run, '2024-01-01' as start, '2024-01-31' as "end" from (
-         select (select count(*) from v_master) as t, (select count(*) from v_increment) as b,
-           (select count(*) from (select ticker from v_master except select ticker from v_bars where volume>=148)) as f)""",
+         select (select count(*) from (select t1 as ticker from v_asked union select t2 from v_asked)) as t, (select count(*) from v_increment) as b,
+           (select count(*) from ((select t1 as ticker from v_asked union select t2 from v_asked) except select ticker from v_bars)) as f)""",
 )
 def _(i):
-    missing = m.missing_tickers(i.view("v_master"), i.view("v_bars").filter("volume >= 148"))
+    missing = m.missing_tickers(asked(i), i.view("v_bars"))
     failures = m.failure_rows(missing, "price", "no_bars_returned", STAMP)
-    return m.run_summary(i.view("v_master"), i.view("v_increment"), failures, "2024-01-01", "2024-01-31")
+    return m.run_summary(asked(i), i.view("v_increment"), failures, "2024-01-01", "2024-01-31")
 
 
 @query(

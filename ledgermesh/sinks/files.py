@@ -10,26 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.operators import projection as p
-from ledgermesh.operators.components import components
 from ledgermesh.operators.extraction import gate_edges
 from ledgermesh.operators.filings import filing_company_nodes, filing_person_nodes
 from ledgermesh.schemas import FILING_EDGES, MISSING_COMPANIES, PARSE_LOG, RELATIONSHIPS
 from ledgermesh.session import stage
 
 
+#: Doubled quotes, and cells as they are: the writer would strip blanks and line breaks at their ends.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write ``df`` as the whole table; it may be computed from the old one."""
-    stage(df, "replacement").write.mode("overwrite").parquet(path)
+    """Write ``df`` as the whole table; it may be computed from the old one.
+
+    The rows are written aside first. Should the table then fail to be written, the error
+    names the files that hold them.
+    """
+    held = stage(df, "replacement")
+    try:
+        held.write.mode("overwrite").parquet(path)
+    except Exception as error:
+        kept = ", ".join(held.inputFiles()[:1])
+        raise RuntimeError(f"{path} was not written; its new rows are kept beside {kept}") from error
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str], order: list) -> None:
     """CSV with exactly these columns, in this order of rows."""
-    df.orderBy(*order).select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.orderBy(*order).select(*columns).write.mode("overwrite").csv(path, **CSV)
 
 
 def append_missing(df: DataFrame, path: str) -> None:
     """Append tickers that an answer left out."""
-    df.select(*MISSING_COMPANIES.names).write.mode("append").csv(path, header=True, escape='"')
+    df.select(*MISSING_COMPANIES.names).write.mode("append").csv(path, **CSV)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -54,7 +66,7 @@ def write_reports(rel: DataFrame, folder: str, top: tuple[int, int, int] = (50,
     names = p.company_names(rel)
     degrees = p.person_degrees(pairs)
     distribution = stage(p.company_distribution(edges, names), "distribution")
-    labels = components(edges.select(F.col("source_ticker").alias("a"), F.col("target_ticker").alias("b")))
+    labels = p.projection_components(pairs)
     people, companies, strongest = top
     write_json(p.projection_summary(rel, pairs, edges, distribution, labels), f"{folder}/summary")
     write_json(p.concentration(degrees), f"{folder}/projection_concentration")
@@ -80,7 +92,7 @@ def write_reports(rel: DataFrame, folder: str, top: tuple[int, int, int] = (50,
         reports["complete_company_projection"] = (edges, ["source_ticker", "target_ticker"])
     for name, (df, order) in reports.items():
         ordered = df.orderBy(*order) if order else df
-        ordered.write.mode("overwrite").csv(f"{folder}/{name}", header=True, escape='"')
+        ordered.write.mode("overwrite").csv(f"{folder}/{name}", **CSV)
 
 
 def write_filing_outputs(companies: DataFrame, edges: DataFrame, log: DataFrame, folder: str) -> None:

@@ -12,44 +12,75 @@ from ledgermesh.sources.html import decode_entities
 HEADER_ROWS = 20
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their place in the file: (file, idx, line)."""
+#: A quoted part of a cell. Possessive, so that a long one does not recurse on the task's stack.
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+
+
+def _literal(separator: str) -> str:
+    if len(separator) != 1 or separator in '"\r\n':
+        raise ValueError("a separator is one character, neither a quote nor a line break")
+    return f"\\x{{{ord(separator):x}}}"
+
+
+def csv_records(text: Column, separator: str = ",") -> Column:
+    """Records of a CSV text: its lines, but a line break inside a quoted cell does not end one."""
+    mark = _literal(separator)
+    cell = rf"(?:{QUOTED})?+[^{mark}\r\n]*+"
+    found = F.regexp_extract_all(text, F.lit(rf"({cell}(?:{mark}{cell})*+)(?:\r\n|[\r\n]|\z)"), F.lit(1))
+    ended = text.rlike(r"[\r\n]\z") | (text == "")
+    return F.when(ended, found).otherwise(F.slice(found, 1, F.size(found) - 1))  # the empty match behind the last record
+
+
+def text_lines(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """Records of delimited text files with their place in the file: (file, idx, line).
+
+    A file is one row here; quotes cannot be followed across splits of a file.
+    """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     text = F.regexp_replace("value", "^\\x{feff}", "")
-    return files.select("file", F.posexplode(F.split(text, r"\r\n|[\r\n]")).alias("idx", "line"))
+    return files.select("file", F.posexplode(csv_records(text, separator)).alias("idx", "line"))
 
 
-def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line; quotes may hold commas and doubled quotes."""
-    pattern = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
-    whole = F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))
+def csv_cells(line: Column, separator: str = ",") -> Column:
+    """Cells of one record; quotes may hold separators, line breaks and doubled quotes."""
+    mark = _literal(separator)
+    whole = F.regexp_extract_all(
+        F.concat(F.lit(separator), line), F.lit(rf"{mark}((?:{QUOTED})?+[^{mark}]*+)"), F.lit(1)
+    )
+    quoted = f"(?s)^({QUOTED})(.*)$"
 
     def bare(cell: Column) -> Column:
-        inner = F.regexp_replace(cell, "^,", "")
-        quoted = F.regexp_replace(F.regexp_replace(inner, '^"|"$', ""), '""', '"')
-        return F.when(inner.startswith('"'), quoted).otherwise(inner)
+        inner = F.regexp_replace(F.regexp_extract(cell, quoted, 1), '^"|"$', "")
+        return F.when(
+            cell.rlike(quoted), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), F.regexp_extract(cell, quoted, 2))
+        ).otherwise(cell)
 
     return F.transform(whole, bare)
 
 
-def read_preamble_csv(lines: DataFrame, column: str) -> DataFrame:
+def read_preamble_csv(lines: DataFrame, column: str, separator: str = ",") -> DataFrame:
     """Cells from the first line with the wanted column on; all lines if none has it."""
-    cells = lines.filter(py_strip(F.col("line")) != "").select("file", "idx", csv_cells(F.col("line")).alias("cells"))
+    cells = lines.filter(py_strip(F.col("line")) != "").select(
+        "file", "idx", csv_cells(F.col("line"), separator).alias("cells")
+    )
     named = F.exists("cells", lambda c: F.lower(py_strip(c)) == column.lower())
     starts = cells.filter(named).groupBy("file").agg(F.min("idx").alias("start"))
     joined = cells.join(starts, "file", "left").filter("start is null or idx >= start")
     return joined.select("file", "idx", "cells")
 
 
-def promote_header(rows: DataFrame, labels: list[str], file: str = "file", idx: str = "idx") -> DataFrame:
-    """Rows after the best header among the first 20, with that header.
+def promote_header(
+    rows: DataFrame, labels: list[str], file: str = "file", idx: str = "idx", header_rows: int | None = HEADER_ROWS
+) -> DataFrame:
+    """Rows after the best header among the first ``header_rows`` (20; None: all rows), with that header.
 
     The best header has the most accepted labels; the first one wins a tie.
     All-empty rows are dropped. Columns: (file, idx, header, header_idx, cells).
     """
     wanted = F.array(*[F.lit(label) for label in labels])
     score = F.size(F.array_intersect(wanted, F.transform("cells", header_label)))
-    tried = rows.filter(F.col(idx) < HEADER_ROWS).withColumn("_score", score).filter("_score > 0")
+    first = rows if header_rows is None else rows.filter(F.col(idx) < header_rows)
+    tried = first.withColumn("_score", score).filter("_score > 0")
     best = tried.groupBy(file).agg(
         F.max_by(F.struct(F.col(idx).alias("at"), F.col("cells").alias("names")), F.struct("_score", -F.col(idx))).alias("_best")
     )

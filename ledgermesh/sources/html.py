@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.functions import fixed_values as fixed
 from ledgermesh.functions.text import clean_text, exploded, header_label, match_spans, normalize_ticker
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>"
-TAG = r"(?s)<[^>]*>"
+#: A tag; a quoted attribute value may hold ">".
+TAG = r"""(?s)<(?:[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
+#: Named entities by the code point they stand for, the standard set of Python's library.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 TABLE = r"(?is)<table\b.*?(?:</table\s*>|\z)"
 ROW = r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|</table|\z)"
 CELL = r"(?is)<t[hd]\b[^>]*>(.*?)(?=</t[hd]\s*>|<t[hd]\b|</tr|\z)"
 
 
 def decode_entities(c: Column) -> Column:
-    """Named entities of the fixed list and all numeric ones as characters."""
+    """Named and numeric entities as characters; unknown names and codes beyond Unicode stay as they are."""
+    named = F.create_map(*[F.lit(part) for entity in ENTITIES.items() for part in entity])
 
     def decode(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
-        hexed = F.regexp_extract(piece, r"(?i)^&#x([0-9a-f]{1,6});", 1)
-        code = F.when(digits != "", F.hex(digits.try_cast("long"))).when(hexed != "", hexed)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        return F.when(code.isNotNull(), F.concat(char, F.regexp_replace(piece, "^&#[^;]*;", ""))).otherwise(piece)
-
-    text = F.when(c.contains("&#"), F.array_join(F.transform(F.split(c, "(?=&#)"), decode), "")).otherwise(c)
-    for entity, char in fixed.NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        digits = F.regexp_extract(piece, r"^&#0*+([0-9]{1,7});", 1)
+        hexed = F.regexp_extract(piece, r"(?i)^&#x0*+([0-9a-f]{1,6});", 1)
+        number = F.when(digits != "", digits.try_cast("int")).when(hexed != "", F.conv(hexed, 16, 10).try_cast("int"))
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        char = F.coalesce(code, F.try_element_at(named, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*+);", 1)))
+        return F.coalesce(F.concat(char, F.regexp_replace(piece, "^&[^;]*;", "")), piece)
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "(?=&)"), decode), "")).otherwise(c)
 
 
 def html_text(c: Column) -> Column:

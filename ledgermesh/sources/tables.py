@@ -20,9 +20,13 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
-def read_csv_table(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """CSV with a header; blanks are empty text, extra columns are allowed."""
-    df = spark.read.csv(path, header=True, multiLine=False, escape='"')
+def read_csv_table(spark: SparkSession, path: str, required: list[str], one_line_records: bool = False) -> DataFrame:
+    """CSV with a header; blanks are empty text, extra columns are allowed.
+
+    Cells may hold line breaks, as ``export_csv`` writes them. A file is then read by one
+    task; ``one_line_records`` says that no cell holds one, so that files can be split.
+    """
+    df = spark.read.csv(path, header=True, multiLine=not one_line_records, escape='"')
     return require_columns(df, required).na.fill("")
 
 
