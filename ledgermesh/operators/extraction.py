@@ -18,7 +18,7 @@ from ledgermesh.functions.names import (
 from ledgermesh.functions.text import any_word, char_slice, clean_text, exploded, let, match_spans, title_relationships
 from ledgermesh.operators.merge import latest_per_key
 from ledgermesh.session import stage
-from ledgermesh.sources.html import CELL, HIDDEN, ROW, TABLE, cell_lines, cell_text, html_text
+from ledgermesh.sources.html import cell_lines, cell_markup, cell_text, html_text, row_markup, table_spans, with_levels
 
 EDGE_COLUMNS = ["doc_id", "name", "relationship_type", "source", "pos"]
 _ANCHOR = fixed.EXCHANGE_ACT_ANCHOR.replace(r"\s+", r"(?:\s|\xa0|&nbsp;|&#160;)+")
@@ -117,13 +117,13 @@ def signature_section(text: Column, chars: int | None = fixed.SIGNATURE_SECTION_
 
 
 def _cells(markup: Column, each) -> Column:
-    return F.transform(F.regexp_extract_all(markup, F.lit(CELL), F.lit(1)), each)
+    return F.transform(cell_markup(markup), each)
 
 
 def _line_rows(markup: Column) -> Column:
     """Non-empty rows of non-empty cells, each cell an array of lines."""
     rows = F.transform(
-        F.regexp_extract_all(markup, F.lit(ROW), F.lit(1)),
+        row_markup(markup),
         lambda row: F.filter(_cells(row, cell_lines), lambda cell: F.size(cell) > 0),
     )
     return F.filter(rows, lambda row: F.size(row) > 0)
@@ -132,7 +132,7 @@ def _line_rows(markup: Column) -> Column:
 def _text_rows(markup: Column) -> Column:
     """Non-empty rows of non-empty cell texts."""
     rows = F.transform(
-        F.regexp_extract_all(markup, F.lit(ROW), F.lit(1)),
+        row_markup(markup),
         lambda row: F.filter(_cells(row, cell_text), lambda cell: cell != ""),
     )
     return F.filter(rows, lambda row: F.size(row) > 0)
@@ -155,11 +155,11 @@ def signature_tables(docs: DataFrame) -> DataFrame:
     ``/s/`` or "signature" in their text. ``has_evidence`` tells whether a
     candidate names a signer title.
     """
-    visible = docs.select("doc_id", F.regexp_replace("html", HIDDEN, " ").alias("visible"))
+    visible = docs.select("doc_id", with_levels(F.col("html")).alias("visible"))
     spans = visible.select(
         "doc_id", F.regexp_instr("visible", F.lit(f"({_ANCHOR})")).alias("anchor"),
         F.transform(
-            match_spans(F.col("visible"), TABLE),
+            table_spans(F.col("visible")),
             lambda s, i: F.struct(
                 i.cast("int").alias("table_no"), s["start"].alias("start"), s["text"].alias("markup"),
                 cell_text(s["text"]).alias("text"),
@@ -363,8 +363,8 @@ def officers(texts: DataFrame, source: str = "item_10") -> DataFrame:
 
 
 def _tables_with_rows(docs: DataFrame) -> DataFrame:
-    visible = docs.select("doc_id", F.regexp_replace("html", HIDDEN, " ").alias("visible"))
-    tables = exploded(visible, ["doc_id"], F.regexp_extract_all("visible", F.lit(f"({TABLE})"), F.lit(1)), "table_no", "markup")
+    visible = docs.select("doc_id", with_levels(F.col("html")).alias("visible"))
+    tables = exploded(visible, ["doc_id"], F.transform(table_spans(F.col("visible")), lambda s: s["text"]), "table_no", "markup")
     return tables.select("doc_id", "table_no", cell_text(F.col("markup")).alias("table_text"), _text_rows(F.col("markup")).alias("rows"))
 
 

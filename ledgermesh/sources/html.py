@@ -7,16 +7,15 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.functions.text import clean_text, exploded, header_label, match_spans, normalize_ticker
+from ledgermesh.functions.text import clean_text, exploded, header_label, let, normalize_ticker
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>"
 #: A tag; a quoted attribute value may hold ">".
 TAG = r"""(?s)<(?:[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 #: Named entities by the code point they stand for, the standard set of Python's library.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
-TABLE = r"(?is)<table\b.*?(?:</table\s*>|\z)"
-ROW = r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|</table|\z)"
-CELL = r"(?is)<t[hd]\b[^>]*>(.*?)(?=</t[hd]\s*>|<t[hd]\b|</tr|\z)"
+_TABLE_TAG = r"(?i)^(</?)(table|tr|t[hd])\b"
+_REST_OF_TAG = r"""\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
 
 
 def decode_entities(c: Column) -> Column:
@@ -50,19 +49,115 @@ def cell_lines(cell: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r\n|[\r\n]"), clean_text), lambda line: line != "")
 
 
+def with_levels(html: Column) -> Column:
+    """Visible markup whose table, row and cell tags tell how many tables they are in, as in ``<tr#2>``.
+
+    With the level in the tag, an element ends at its own closing tag, whatever it holds.
+    """
+    pieces = F.split(F.regexp_replace(html, HIDDEN, " "), r"(?i)(?=</?(?:table|tr|t[hd])\b)")
+
+    def step(piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, _TABLE_TAG, 0))
+        return F.when(name == "<table", 1).when(name == "</table", -1).otherwise(0)
+
+    def levels(steps: Column) -> Column:
+        def add(acc: Column, by: Column) -> Column:
+            return F.concat(acc, F.array(F.greatest(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + by, F.lit(0))))
+
+        return F.aggregate(steps, F.array().cast("array<int>"), add)
+
+    def mark(both: Column) -> Column:
+        closing = F.when(step(both["piece"]) < 0, 1).otherwise(0)
+        to = F.concat(F.lit("$1$2#"), (both["level"] + closing).cast("string"))
+        return F.regexp_replace(both["piece"], F.lit(_TABLE_TAG), to)
+
+    def marked(pieces: Column) -> Column:
+        level = levels(F.transform(pieces, step))
+        both = F.zip_with(pieces, level, lambda p, n: F.struct(p.alias("piece"), n.alias("level")))
+        return F.array_join(F.transform(both, mark), "")
+
+    return F.when(html.rlike(r"(?i)<table\b"), let(pieces, marked)).otherwise(F.array_join(pieces, ""))
+
+
+def _elements(markup: Column, opening: str, content) -> Column:
+    """(start, text) of the elements of all levels that open with ``opening``, in the order of the document.
+
+    Elements of one level come in order, and their start is then left at 0.
+    """
+    told = F.transform(F.regexp_extract_all(markup, F.lit(rf"(?i)<(?:{opening})#(\d+)"), F.lit(1)), lambda n: n.cast("int"))
+
+    def texts(level: Column) -> Column:
+        pattern = F.concat(F.lit("("), content(level.cast("string")), F.lit(")"))
+        return F.regexp_extract_all(markup, pattern, F.lit(1))
+
+    def placed(level: Column) -> Column:
+        gaps = F.split(markup, content(level.cast("string")), -1)
+
+        def start(_: Column, k: Column) -> Column:
+            before = F.aggregate(F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda n, g: n + F.length(g))
+            return F.aggregate(F.slice(texts(level), F.lit(1), k), before, lambda n, t: n + F.length(t))
+
+        return F.transform(texts(level), lambda t, k: F.struct(start(t, k).alias("start"), t.alias("text")))
+
+    def all_levels(levels: Column) -> Column:
+        alone = F.transform(texts(levels[0]), lambda t: F.struct(F.lit(0).alias("start"), t.alias("text")))
+        return F.when(F.size(levels) == 1, alone).otherwise(F.array_sort(F.flatten(F.transform(levels, placed))))
+
+    return let(F.array_distinct(told), lambda levels: F.when(F.size(levels) > 0, all_levels(levels)).otherwise(
+        F.array().cast("array<struct<start:int,text:string>>")
+    ))
+
+
+def table_spans(marked: Column) -> Column:
+    """(start, text) of every table, nested ones after the table they are in."""
+
+    def content(n: Column) -> Column:
+        return F.concat(F.lit(r"(?is)<table#"), n, F.lit(r"\b.*?(?:</table#"), n, F.lit(r"\s*>|\z)"))
+
+    def start(t: Column, k: Column) -> Column:  # the table's own place: that of its k-th opening tag
+        return F.aggregate(
+            F.slice(F.split(marked, r"(?i)(?=<table#)", -1), F.lit(1), k), F.lit(0), lambda n, g: n + F.length(g)
+        )
+
+    found = _elements(marked, "table", content)
+    # Every piece after the first begins with a table; tables are numbered in the order of their opening tags.
+    first = F.when(F.rlike(marked, F.lit(r"(?is)\A<table#")), 0).otherwise(1)
+    return F.transform(found, lambda e, k: F.struct(start(e, k + first).alias("start"), e["text"].alias("text")))
+
+
+def _inner(markup: Column, opening: str, ends: list[str]) -> Column:
+    def content(n: Column) -> Column:
+        stops = [part for end in ends for part in (F.lit(f"{end}#"), n, F.lit(r"\b|"))]
+        return F.concat(F.lit(rf"(?is)<(?:{opening})#"), n, F.lit(_REST_OF_TAG + ".*?(?="), *stops, F.lit(r"\z)"))
+
+    return F.transform(
+        _elements(markup, opening, content), lambda e: F.regexp_replace(e["text"], r"(?s)\A<[^#>]*#\d+" + _REST_OF_TAG, "")
+    )
+
+
+def row_markup(table: Column) -> Column:
+    """Content of all rows of a table, rows of nested tables included."""
+    return _inner(table, "tr", ["</?tr", "</table"])
+
+
+def cell_markup(row: Column) -> Column:
+    """Content of all cells of a row, cells of nested tables included."""
+    return _inner(row, "t[hd]", ["</?t[hd]", "</?tr", "</table"])
+
+
 def html_tables(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
     """One row per table: (doc, table_no, start, markup); comments are dropped."""
-    visible = df.select(doc, F.regexp_replace(html, HIDDEN, " ").alias("_html"))
-    spans = exploded(visible, [doc], match_spans(F.col("_html"), TABLE), "table_no", "_span")
+    marked = df.select(doc, with_levels(F.col(html)).alias("_html"))
+    spans = exploded(marked, [doc], table_spans(F.col("_html")), "table_no", "_span")
     return spans.select(doc, "table_no", F.col("_span.start").alias("start"), F.col("_span.text").alias("markup"))
 
 
 def _cells(markup: Column, each) -> Column:
-    return F.transform(F.regexp_extract_all(markup, F.lit(CELL), F.lit(1)), each)
+    return F.transform(cell_markup(markup), each)
 
 
 def _markup_rows(tables: DataFrame, doc: str) -> DataFrame:
-    return exploded(tables, [doc, "table_no"], F.regexp_extract_all("markup", F.lit(ROW), F.lit(1)), "row_no", "_row")
+    return exploded(tables, [doc, "table_no"], row_markup(F.col("markup")), "row_no", "_row")
 
 
 def _filled(rows: DataFrame, doc: str, cells: Column) -> DataFrame:
