@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import batches_of_rows, running_totals, stage, text_of
-from ledgermesh.llm.tokens import encoder
+from ledgermesh.llm.tokens import encoder, slices
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_ARROW = pa.schema([
@@ -28,9 +28,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int, end_id: int) -> Da
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    for doc, own in zip(some.column(0).to_pylist(), encode.encode(some.column(1).to_pylist()), strict=True):
+                for at, n in slices(batch.column(1)):
+                    some = batch.slice(at, n)
+                    for doc, own in zip(some.column(0).to_pylist(), encode.encode(some.column(1)), strict=True):
                         ids = own + end
                         for k, cut in enumerate(range(0, len(ids), 4 * limit)):
                             part = ids[cut : cut + 4 * limit]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import batches_of_rows, text_of
-from ledgermesh.llm.tokens import encoder
+from ledgermesh.llm.tokens import encoder, slices
 from ledgermesh.session import shared_folder
 
 BLOCK = "shard int, block int, first long, n_ids int, bits int, packed binary, doc_ids array<long>, doc_firsts array<int>"
@@ -75,9 +75,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 return number, block, first, held, bits, pack(np.frombuffer(b"".join(parts), "<u4"), bits), ids, firsts
 
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    for doc, own in zip(some.column(0).to_pylist(), encode.encode(some.column(1).to_pylist()), strict=True):
+                for at, n in slices(batch.column(1)):
+                    some = batch.slice(at, n)
+                    for doc, own in zip(some.column(0).to_pylist(), encode.encode(some.column(1)), strict=True):
                         ids.append(doc)
                         firsts.append(held)
                         parts.append(own + end)

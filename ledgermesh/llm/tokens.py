@@ -5,23 +5,53 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: Two white-space characters in a row, one of them a space; and a space between two others.
-_RUN = re.compile(r"\s | \s")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: A space between two other characters.
 _LONE = re.compile(r"(?<=\S) (?=\S)")
-_KEPT, _LONGEST = 1_000_000, 256
+#: White space in RE2's notation, and two such characters in a row of which one is a space.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUN = f"{_SPACE} | {_SPACE}"
+_KEPT, _LONGEST, _SLICE = 500_000, 256, 4 << 20
+
+
+def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts that hold about ``size`` bytes together, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        past = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, past + size, "right")))
+        yield at, stop - at
+        at = stop
+
+
+def joined(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the coded parts one after another, and how many each contributes."""
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    begins = np.cumsum(sizes) - sizes
+    own = sizes[codes]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(begins[codes] - (ends - own), own) + np.arange(total)], own
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, without special tokens.
 
     A text is cut where the tokenizer's own rules always begin a new piece, so the ids of
-    the cuts joined are the ids of the text; each distinct cut is encoded once and
-    remembered. Byte-level tokenizers attach one space to the word after it: the cut is
-    before a space that stands between two other characters. Tokenizers that drop white
-    space are cut at it. Any other tokenizer, and a text that may hold a special token,
-    is encoded whole.
+    the cuts joined are the ids of the text; each distinct cut of a batch is looked up once,
+    and encoded once per worker. Byte-level tokenizers attach one space to the word after
+    it: the cut is before a space that stands between two other characters. Tokenizers that
+    drop white space are cut at it. Any other tokenizer, and a text that may hold a special
+    token, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,35 +72,67 @@ class Encoder:
         elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern")):
             self.mode = "dropped"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before, given up when the next half million is
+        self.lead = " " if self.mode == "attached" else ""
 
-    def _cuts(self, text: str) -> list[str]:
-        if self.mode == "whole" or any(s in text for s in self.special):
-            return [text]
-        if self.mode == "dropped":
-            for c in "\t\n\x0b\x0c\r":
-                text = text.replace(c, " ")
-            return text.split(" ")
-        first, *rest = _LONE.split(text) if _RUN.search(text) else text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        import numpy as np
+    def _ids(self, cuts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(cuts, add_special_tokens=False)]
 
+    def _remembered(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, with a space before it where the mode is to attach one."""
         if len(self.known) > _KEPT:
-            self.known.clear()
-        known, cuts = self.known, [self._cuts(t) for t in texts]
-        new = list({c for own in cuts for c in own if c not in known})
+            self.older, self.known = self.known, {}
+        known, lead = self.known, self.lead
+        found = list(map(known.get, words))
+        missing = [k for k, b in enumerate(found) if b is None]
+        for k, b in zip(missing, list(map(self.older.get, [words[k] for k in missing])), strict=True):
+            if b is not None:
+                found[k] = known[words[k]] = b
+        new = [k for k in missing if found[k] is None]
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        found = [b"".join(map(known.__getitem__, own)) for own in cuts]
-        for c in new:
-            if len(c) > _LONGEST:
-                del known[c]
+            for k, b in zip(some, self._ids([lead + words[k] for k in some]), strict=True):
+                found[k] = b
+                if len(words[k]) <= _LONGEST:
+                    known[words[k]] = b
         return found
 
+    def _apart(self, text: str) -> bytes:
+        if self.mode == "whole" or any(s in text for s in self.special):
+            return self._ids([text])[0]
+        first, *rest = _LONE.split(text)
+        return self._ids([first])[0] + b"".join(self._remembered(rest))
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        attached = self.mode == "attached"
+        lists = pc.split_pattern(texts, " ") if attached else pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(lists.flatten())
+        codes = coded.indices.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        parts = self._remembered(coded.dictionary.to_pylist())
+        if attached:  # the first cut of a text has no space before it
+            firsts, own = np.unique(codes[bounds[:-1]], return_inverse=True)
+            codes[bounds[:-1]] = len(parts) + own
+            parts += self._ids(coded.dictionary.take(pa.array(firsts)).to_pylist())
+        ids, sizes = joined(parts, codes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for at, n in slices(texts):
+            some = texts.slice(at, n)
+            apart = np.full(n, self.mode == "whole")
+            for s in self.special:
+                apart |= pc.match_substring(some, s).to_numpy(zero_copy_only=False)
+            if self.mode == "attached":
+                apart |= pc.match_substring_regex(some, _RUN).to_numpy(zero_copy_only=False)
+            found = iter(self._together(some.filter(pa.array(~apart))) if not apart.all() else ())
+            out += [self._apart(some[k].as_py()) if alone else next(found) for k, alone in enumerate(apart.tolist())]
+        return out
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
@@ -96,8 +158,6 @@ class WordPieces:
 
     def ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         if len(self.known) > _KEPT:
             self.known.clear()
         known = self.known
