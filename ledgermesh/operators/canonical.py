@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.functions.text import (
@@ -10,6 +10,7 @@ from ledgermesh.functions.text import (
 )
 from ledgermesh.operators.merge import latest_per_key
 from ledgermesh.schemas import RELATIONSHIPS
+from ledgermesh.session import stage
 from ledgermesh.sources.tables import require_columns
 
 
@@ -68,15 +69,18 @@ def _cleaned(df: DataFrame) -> DataFrame:
     )
 
 
+def is_complete() -> Column:
+    filled = [py_strip(text_or_empty(F.col(c))) != "" for c in ("ticker", "person_name", "role", "role_category")]
+    return filled[0] & filled[1] & filled[2] & filled[3]
+
+
 def split_incomplete(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cleaned rows that have all four key fields, and those that do not.
 
     The test needs no more than a trim, so it is cheap where the optimizer
     runs it early, on rows that later joins drop.
     """
-    filled = [py_strip(text_or_empty(F.col(c))) != "" for c in ("ticker", "person_name", "role", "role_category")]
-    complete = filled[0] & filled[1] & filled[2] & filled[3]
-    return _cleaned(df.filter(complete)), _cleaned(df.filter(~complete))
+    return _cleaned(df.filter(is_complete())), _cleaned(df.filter(~is_complete()))
 
 
 def dedupe_latest(df: DataFrame) -> DataFrame:
@@ -107,28 +111,32 @@ def normalize(raw: DataFrame, master: DataFrame) -> DataFrame:
     return canonicalize(filter_to_master(latest_snapshot(raw), master))
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count("*").alias(name))
-
-
 def normalize_summary(raw: DataFrame, master: DataFrame, canonical: DataFrame) -> DataFrame:
-    """One row of counts; ``canonical`` is the written result of ``normalize``."""
-    snapshot = latest_snapshot(raw)
-    _, incomplete = split_incomplete(filter_to_master(snapshot, master))
-    skipped = blank_ticker_rows(raw).select("ticker").unionByName(incomplete.select("ticker"))
-    parts = [
-        _count(raw, "source_row_count"),
-        _count(snapshot, "selected_latest_snapshot_row_count"),
-        _count(master, "company_master_ticker_count"),
-        _count(snapshot_tickers(snapshot), "raw_snapshot_distinct_ticker_count"),
-        _count(excluded_tickers(snapshot, master), "excluded_ticker_count"),
+    """One row of counts; ``canonical`` is the written result of ``normalize``.
+
+    The snapshot is reduced to its tickers once, and the master joined to those.
+    """
+    wanted = stage(master.select("ticker"), "master")
+    snapshot = latest_snapshot(raw).select(upper_key(F.col("ticker")).alias("_ticker"), is_complete().alias("_complete"))
+    tickers = snapshot.groupBy("_ticker").agg(F.count("*").alias("_rows"), F.count_if(~F.col("_complete")).alias("_incomplete"))
+    known = tickers.join(wanted.select(F.col("ticker").alias("_known")).distinct(), F.col("_ticker") == F.col("_known"), "left")
+    row = beside([
+        raw.agg(
+            F.count("*").alias("source_row_count"), F.count_if(upper_key(F.col("ticker")) == "").alias("_blank"),
+        ),
+        known.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("selected_latest_snapshot_row_count"),
+            F.count("*").alias("raw_snapshot_distinct_ticker_count"),
+            F.count_if(F.col("_known").isNull()).alias("excluded_ticker_count"),
+            F.coalesce(F.sum(F.when(F.col("_known").isNotNull(), F.col("_incomplete"))), F.lit(0)).alias("_left_out"),
+        ),
+        wanted.agg(F.count("*").alias("company_master_ticker_count")),
         canonical.agg(
             F.count_distinct("ticker").alias("canonical_ticker_count"),
             F.count("*").alias("canonical_relationship_count"),
         ),
-        _count(skipped, "skipped_row_count"),
-    ]
-    return beside(parts)
+    ])
+    return row.withColumn("skipped_row_count", F.col("_blank") + F.col("_left_out")).drop("_blank", "_left_out")
 
 
 def beside(one_row_frames: list[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from ledgermesh.functions.text import (
 )
 from ledgermesh.operators.canonical import beside
 from ledgermesh.operators.merge import duplicate_keys, latest_per_key
+from ledgermesh.session import stage
 
 EDGE_KEY = ["person_id", "ticker", "relationship_type", "role", "role_category"]
 COMPANY_FIELDS = ["ticker", "company_name", "universe", "sector", "industry", "description_short"]
@@ -226,6 +227,7 @@ def counts_by_type(edges: DataFrame) -> DataFrame:
 
 def reconcile(companies: DataFrame, people: DataFrame, rel: DataFrame, g: Graph) -> DataFrame:
     """Input and graph counts side by side, one row per check."""
+    g = Graph(*[stage(df, "reconcile") for df in (g.companies, g.people, g.edges)])
     types = [F.count_if(F.col("relationship_type") == t) for t in fixed.EDGE_TYPES]
     typed = types[0]
     for t in types[1:]:
