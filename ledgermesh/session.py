@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_cleared_at_exit: set[str] = set()
+
+
 def get_spark(app: str = "ledgermesh", cpus: int | None = None) -> SparkSession:
     """A session with adaptive execution; ``cpus`` sets a local master."""
     builder = (
@@ -40,9 +44,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's staged tables, inside the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back without lineage."""
+    """Write ``df`` once to the shared folder and read it back without lineage.
+
+    Staged tables live until ``clear_stages``, or until the application ends in good order.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if spark.sparkContext.applicationId not in _cleared_at_exit:
+        _cleared_at_exit.add(spark.sparkContext.applicationId)
+        atexit.register(_clear_if_alive, spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; results that read them are void afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_if_alive(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        clear_stages(spark)
