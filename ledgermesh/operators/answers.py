@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgermesh.functions import fixed_values as fixed
 from ledgermesh.functions.numbers import cost_usd
 from ledgermesh.functions.text import (
-    blank_to_null, exploded, person_key, py_strip, text_or_empty, unwrap_fence, upper_key,
+    blank_to_null, exploded, let, person_key, py_strip, text_or_empty, unwrap_fence, upper_key,
 )
 from ledgermesh.operators.merge import latest_per_key, update_by_key
 from ledgermesh.schemas import ANSWER_PAYLOAD
@@ -206,8 +206,24 @@ def _first_of(response: Column, *paths: str) -> Column:
     return F.coalesce(*[F.get_json_object(response, path) for path in paths])
 
 
+def _merged(own: Column, more: Column) -> Column:
+    """Two maps as one with its keys in order; an entry of ``more`` wins."""
+    none = F.create_map().cast("map<string,variant>")
+
+    def merge(maps: Column) -> Column:
+        keys = F.array_sort(F.array_union(F.map_keys(maps["own"]), F.map_keys(maps["more"])))
+        values = F.transform(keys, lambda k: F.coalesce(F.try_element_at(maps["more"], k), F.try_element_at(maps["own"], k)))
+        return F.map_from_arrays(keys, values)
+
+    return let(F.struct(F.coalesce(own, none).alias("own"), F.coalesce(more, none).alias("more")), merge)
+
+
 def usage(df: DataFrame, default_model: str) -> DataFrame:
-    """Token counts and diagnostics of every response (batch_id, response)."""
+    """Token counts and diagnostics of every response (batch_id, response).
+
+    ``usage_json`` is the whole usage object of the response with the diagnostics that are
+    not null, keys in order, as compact JSON.
+    """
     r = F.col("response")
     doc = F.from_json(r, RESPONSE)
     text = final_text(r)
@@ -231,11 +247,11 @@ def usage(df: DataFrame, default_model: str) -> DataFrame:
         F.length(text).alias("extracted_text_len"),
         doc["status"].alias("response_status"),
         types.alias("output_item_types"),
+        r.alias("_response"),
     )
-    diagnostics = [
-        "cached_input_tokens", "extracted_text_len", "extraction_method", "input_tokens",
-        "output_item_types", "output_tokens", "response_status", "total_tokens",
-    ]
-    return rows.withColumn("usage_json", F.to_json(F.struct(*diagnostics))).withColumn(
+    told = F.try_parse_json(F.to_json(F.struct("extracted_text_len", "extraction_method", "output_item_types", "response_status")))
+    own = F.try_variant_get(F.try_parse_json(F.get_json_object("_response", "$.usage")), "$", "map<string,variant>")
+    extended = _merged(own, F.try_variant_get(told, "$", "map<string,variant>"))
+    return rows.withColumn("usage_json", F.to_json(extended)).drop("_response").withColumn(
         "cost_usd", cost_usd(F.col("input_tokens"), F.col("output_tokens"))
     )

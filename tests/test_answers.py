@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,17 @@ def test_numbered_is_global_and_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     rows = co.assign_batches(df, 30, ["k"]).collect()
     assert all(r.row_index == r.k and r.batch_index == r.k // 30 for r in rows) and len(rows) == 1000
+
+
+def test_usage_keeps_the_whole_object(spark):
+    responses = [
+        ("a", '{"id":"r","output_text":"hello","status":"done","output":[{"type":"message"}],"usage":{"input_tokens":5,"zeta":{"b":[1,null]},"extraction_method":"x","note":"é \\"q\\""}}'),
+        ("b", '{"output":null,"usage":null}'), ("c", '{"usage":[1]}'),
+    ]
+    got = {r.batch_id: r.usage_json for r in a.usage(spark.createDataFrame(responses, "batch_id string, response string"), "m").collect()}
+    assert list(json.loads(got["a"])) == sorted(json.loads(got["a"]))
+    assert json.loads(got["a"]) == {
+        "extracted_text_len": 5, "extraction_method": "output_text", "input_tokens": 5, "note": 'é "q"', "output_item_types": ["message"],
+        "response_status": "done", "zeta": {"b": [1, None]},
+    }
+    assert json.loads(got["b"]) == json.loads(got["c"]) == {"output_item_types": []}
