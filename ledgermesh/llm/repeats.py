@@ -175,14 +175,25 @@ def intervals(suffixes: list[bytes], leads: list[int], least: int) -> list[tuple
     return found
 
 
+CUT_ARROW = pa.schema([
+    ("anchor", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary()), ("n", pa.int64()),
+    ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()),
+])
+CUT = "anchor long, content long, bytes binary, n long, doc_id long, row long, at long"
 REPEAT_ARROW = pa.schema([
-    ("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("repeat_id", pa.int64()),
+    ("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()),
+    ("inner", pa.int64()), ("length", pa.int32()), ("repeat_id", pa.int64()),
 ])
-REPEAT = "anchor long, content long, start long, length int, repeat_id long"
+REPEAT = "anchor long, content long, n long, doc_id long, row long, at long, inner long, length int, repeat_id long"
+WINDOW_ARROW = pa.schema([*[f for f in CUT_ARROW if f.name != "bytes"], ("inner", pa.int64()), ("window", pa.binary())])
+WINDOW = "anchor long, content long, n long, doc_id long, row long, at long, inner long, window binary"
+
 
+def _repeats_of(group: list[tuple], window: int, covering: bool) -> Iterator[tuple]:
+    """Maximal repeats of one anchor's distinct stretches, each with its place in the stretch.
 
-def _repeats_of(group: list[tuple], window: int) -> Iterator[tuple]:
-    """Maximal repeats of one anchor's distinct stretches: rows of (anchor, content, start in the stretch, length, repeat)."""
+    ``covering`` leaves the longest repeat at every place of the stretches found once.
+    """
     blobs = [r[2] for r in group]
     flat = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs])
@@ -205,16 +216,21 @@ def _repeats_of(group: list[tuple], window: int) -> Iterator[tuple]:
     np.minimum.at(low, kinds, lead)
     np.maximum.at(high, kinds, lead)
     open_ = (low != high)[kinds] | (low < 0)[kinds]
-    place, owner, inner, lead = place[open_], owner[open_], inner[open_], lead[open_]
+    owner, inner, lead = owner[open_], inner[open_], lead[open_]
     suffixes = [blobs[o][i:] for o, i in zip(owner.tolist(), inner.tolist(), strict=True)]
-    for length, members in intervals(suffixes, lead.tolist(), window):
-        text = suffixes[members[0]][:length]
-        name = _signed(xxhash.xxh3_64_intdigest(text))
+    told: set[int] = set()
+    for length, members in intervals(suffixes, lead.tolist(), window):  # the inner ones, which are longer, come first
+        name = _signed(xxhash.xxh3_64_intdigest(suffixes[members[0]][:length]))
         for m in members:
-            yield group[owner[m]][0], group[owner[m]][1], int(inner[m]), length, name
+            anchor, content, _, n, doc, row, at = group[owner[m]]
+            if covering:
+                if n > 1 or m in told:
+                    continue
+                told.add(m)
+            yield anchor, content, n, doc, row, at, int(inner[m]), length, name
 
 
-def _tree(window: int):
+def _tree(window: int, covering: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             held: list[tuple] = []
@@ -222,30 +238,26 @@ def _tree(window: int):
                 for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if held and held[0][0] != row[0]:
                         if len(held) > 1:
-                            yield from _repeats_of(held, window)
+                            yield from _repeats_of(held, window, covering)
                         held = []
                     held.append(row)
             if len(held) > 1:
-                yield from _repeats_of(held, window)
+                yield from _repeats_of(held, window, covering)
 
         yield from batches_of_rows(each(), REPEAT_ARROW, 16_384)
 
     return rows
 
 
-CUT_ARROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary())])
-WINDOW_ARROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("window", pa.binary())])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the chosen stretches of each document."""
+    """Bytes of the chosen stretches of each document, with their place."""
 
     def each() -> Iterator[tuple]:
         for batch in batches:
             for k in range(batch.num_rows):
-                data = batch.column(0)[k].as_py()
-                for s in batch.column(1)[k].as_py():
-                    yield s["anchor"], s["content"], data[s["start"] : s["start"] + s["size"]]
+                doc, row, data, cuts = (c[k].as_py() for c in batch.columns)
+                for s in cuts:
+                    yield s["anchor"], s["content"], data[s["start"] : s["start"] + s["size"]], s["n"], doc, row, s["start"]
 
     yield from batches_of_rows(each(), CUT_ARROW, 4096)
 
@@ -254,16 +266,16 @@ def _windows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in batches:
-                for anchor, content, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for anchor, content, data, *place in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     for k in range(len(data) - window + 1):
-                        yield anchor, content, k, xxhash.xxh3_128_digest(data[k : k + window])
+                        yield anchor, content, *place, k, xxhash.xxh3_128_digest(data[k : k + window])
 
         yield from batches_of_rows(each(), WINDOW_ARROW, 65_536)
 
     return rows
 
 
-def repeats(docs: DataFrame, window: int = 400, gram: int = 128, bucket: int = 1000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 1000) -> DataFrame:
     """All maximal repeated byte strings of ``window`` bytes or more: (doc_id, row, start, length, repeat_id).
 
     Every row is an occurrence, start counted in bytes of its document; occurrences of one
@@ -271,56 +283,59 @@ def repeats(docs: DataFrame, window: int = 400, gram: int = 128, bucket: int = 1
 
     A window's anchor (its gram of ``gram`` bytes with the smallest hash) depends on the
     window alone, so equal windows meet under equal anchors. The windows of one anchor form
-    a stretch. Stretches are counted by content first, folded before the shuffle, so exact
-    copies cost one row each: a stretch found twice is a repeat as a whole. Where an anchor
-    has several distinct stretches, one copy of each is brought together, and their suffix
-    array, common-prefix intervals and left extensions give the maximal repeats. An anchor
-    with more than ``bucket`` distinct stretches (a very common passage) is not one task's
-    work: its windows are spread by content instead, counted after folding, and those found
-    twice become repeats of ``window`` bytes, which cover the same bytes.
+    a stretch. Anchors found once are dropped at once. Of the others, stretches are counted
+    by content, folded before the shuffle, so exact copies cost one row each: a stretch
+    found twice is a repeat as a whole. Where an anchor has several distinct stretches, one
+    copy of each is brought together, and their suffix array, common-prefix intervals and
+    left extensions give the maximal repeats. An anchor with more than ``bucket`` distinct
+    stretches (a very common passage) is not one task's work: its windows are spread by
+    content instead, counted after folding, and those found twice become repeats of
+    ``window`` bytes, which cover the same bytes.
     """
-    return _repeats(docs.select("doc_id", text_of().cast("binary").alias("bytes")).withColumn("row", F.xxhash64("bytes")), window, gram, bucket)
+    raw = docs.select("doc_id", text_of().cast("binary").alias("bytes")).withColumn("row", F.xxhash64("bytes"))
+    live, copies, parts = _repeats(raw, window, gram, bucket, False)
+    places = parts.select("anchor", "content", "inner", "length", "repeat_id").distinct()  # repeated rows are cut twice
+    inside = live.withColumnRenamed("start", "place").join(places, ["anchor", "content"])
+    inside = inside.select("doc_id", "row", (F.col("place") + F.col("inner")).alias("start"), "length", "repeat_id")
+    return _whole(live, copies).unionByName(inside)
+
 
+def _whole(live: DataFrame, copies: DataFrame) -> DataFrame:
+    """Stretches found twice or more."""
+    return live.join(copies, ["anchor", "content"], "left_semi").select(
+        "doc_id", "row", "start", F.col("size").alias("length"), F.col("content").alias("repeat_id")
+    )
 
-def _repeats(docs: DataFrame, window: int, gram: int, bucket: int) -> DataFrame:
+
+def _repeats(docs: DataFrame, window: int, gram: int, bucket: int, covering: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stretches whose anchor occurs twice, the contents found twice, and the repeats inside distinct stretches."""
     found = stage(stretches(docs, window, gram), "stretches")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    live = stage(found.join(stage(twice, "anchors-twice"), "anchor", "left_semi"), "stretches-met")
     place = F.struct("doc_id", "row", "start", "size")
-    kinds = stage(
-        found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("first")), "stretch-kinds"
-    )
-    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    anchors = stage(anchors, "stretch-anchors")
-    several = kinds.join(anchors, "anchor")
-    wanted = several.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).agg(
-        F.collect_list(F.struct("anchor", "content", F.col("first.start").alias("start"), F.col("first.size").alias("size"))).alias("cuts")
+    kinds = stage(live.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("first")), "stretch-kinds")
+    anchors = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "stretch-anchors")
+    wanted = kinds.join(anchors, "anchor").groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).agg(
+        F.collect_list(F.struct("anchor", "content", "n", F.col("first.start").alias("start"), F.col("first.size").alias("size"))).alias("cuts")
     )
     one = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
-    cut = one.select("bytes", "cuts").mapInArrow(_cut, "anchor long, content long, bytes binary")
-    cut = stage(cut, "stretch-bytes")
-    few = anchors.filter(F.col("kinds") <= bucket).select(F.col("anchor").alias("few_anchor"))
-    small = cut.join(few, F.col("anchor") == F.col("few_anchor"), "left_semi")
+    cut = stage(one.select("doc_id", "row", "bytes", "cuts").mapInArrow(_cut, CUT), "stretch-bytes")
+    few = anchors.filter(F.col("kinds") <= bucket).select("anchor")
     trees = (
-        small.select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_tree(window), REPEAT)
+        cut.join(few, "anchor", "left_semi").select(*CUT_ARROW.names).repartition("anchor").sortWithinPartitions("anchor")
+        .mapInArrow(_tree(window, covering), REPEAT)
     )
-    many = anchors.filter(F.col("kinds") > bucket).select(F.col("anchor").alias("many_anchor"))
-    large = cut.join(many, F.col("anchor") == F.col("many_anchor"), "left_semi")
+    many = anchors.filter(F.col("kinds") > bucket).select("anchor")
     spread = stage(
-        large.select("anchor", "content", "bytes").mapInArrow(_windows(window), "anchor long, content long, start long, window binary"),
-        "windows",
+        cut.join(many, "anchor", "left_semi").select(*CUT_ARROW.names).mapInArrow(_windows(window), WINDOW), "windows"
     )
-    twice = stage(spread.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "windows-twice")
-    single = spread.join(twice, "window", "left_semi").select(
-        "anchor", "content", "start", F.lit(window).alias("length"), F.xxhash64("window").alias("repeat_id")
-    )
-    parts = stage(trees.unionByName(single).distinct(), "repeats-in-stretches")
-    inside = found.withColumnRenamed("start", "at").join(parts, ["anchor", "content"]).select(
-        "doc_id", "row", (F.col("at") + F.col("start")).alias("start"), "length", "repeat_id"
+    repeated = stage(spread.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window"), "windows-twice")
+    asked = spread.filter("n = 1") if covering else spread
+    single = asked.join(repeated, "window", "left_semi").select(
+        *[n for n in REPEAT_ARROW.names[:7]], F.lit(window).alias("length"), F.xxhash64("window").alias("repeat_id")
     )
     copies = stage(kinds.filter("n > 1").select("anchor", "content"), "stretch-copies")
-    whole = found.join(copies, ["anchor", "content"], "left_semi").select(
-        "doc_id", "row", "start", F.col("size").alias("length"), F.col("content").alias("repeat_id")
-    )
-    return whole.unionByName(inside)
+    return live, copies, trees.unionByName(single)
 
 
 KEPT_ARROW = pa.schema([
@@ -357,7 +372,7 @@ def _remove(with_bytes: bool):
     return rows
 
 
-def without_repeats(docs: DataFrame, window: int = 400, gram: int = 128, bucket: int = 1000, with_bytes: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 1000, with_bytes: bool = True) -> DataFrame:
     """One row per input row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
     Removed is every byte covered by a string of ``window`` bytes that also starts at
@@ -369,7 +384,9 @@ def without_repeats(docs: DataFrame, window: int = 400, gram: int = 128, bucket:
     allowed. An empty table gives no rows. Other columns are ignored.
     """
     raw = docs.select("doc_id", text_of().cast("binary").alias("bytes")).withColumn("row", F.xxhash64("bytes"))
-    found = _repeats(raw, window, gram, bucket)
+    live, copies, parts = _repeats(raw, window, gram, bucket, True)
+    inside = parts.select("doc_id", "row", (F.col("at") + F.col("inner")).alias("start"), "length")
+    found = _whole(live, copies).drop("repeat_id").unionByName(inside)
     spans = found.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(
         F.collect_set(F.struct("start", "length")).alias("spans")
     )
