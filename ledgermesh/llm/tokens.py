@@ -18,7 +18,9 @@ _LONE = re.compile(r"(?<=\S) (?=\S)")
 #: White space in RE2's notation, and two such characters in a row of which one is a space.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUN = f"{_SPACE} | {_SPACE}"
-_KEPT, _LONGEST, _SLICE = 500_000, 256, 4 << 20
+#: A control character that parts words, and marks that close a word.
+_PART, _CLOSING = "\x1e", ".,;:!?"
+_KEPT, _LONGEST, _SLICE = 250_000, 256, 4 << 20
 
 
 def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int]]:
@@ -72,29 +74,85 @@ class Encoder:
         elif first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern")):
             self.mode = "dropped"
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known before, given up when the next half million is
+        self.older: dict[str, bytes] = {}  # what was known before, given up when the next ones are as many
         self.lead = " " if self.mode == "attached" else ""
+        self.tails: dict[str, bytes] = {}
+        if self.mode == "attached":
+            vocabulary = self.library.get_vocab()
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        elif self.mode == "dropped":
+            part = self.library.encode(_PART, add_special_tokens=False).ids
+            self.part = part[0] if len(part) == 1 else -1
+            self.mode = "dropped" if len(part) == 1 else "whole"
 
     def _ids(self, cuts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(cuts, add_special_tokens=False)]
 
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with their lead, sixty-four words to a text.
+
+        Where words take a space before them, exactly the first token of a word begins with
+        one. Elsewhere a control character stands between the words, and its token parts them.
+        """
+        attached = self.mode == "attached"
+        if attached:
+            plain = [k for k, w in enumerate(words) if w and " " not in w and not w[0].isspace() and not w[-1].isspace()]
+        else:
+            plain = [k for k, w in enumerate(words) if w and _PART not in w]
+        out = [b""] * len(words)
+        rest = sorted(set(range(len(words))) - set(plain))
+        for k, b in zip(rest, self._ids([self.lead + words[k] for k in rest]), strict=True):
+            out[k] = b
+        groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        texts = [("" if attached else f" {_PART}") + "".join([f" {words[k]}" if attached else f" {words[k]} {_PART}" for k in g]) for g in groups]
+        for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data = ids.tobytes()
+            if attached:
+                ends = (4 * np.flatnonzero(self.begins[ids])).tolist() + [len(data)]
+                parts = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            else:
+                ends = (4 * np.flatnonzero(ids == self.part)).tolist()
+                parts = [data[a + 4 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for k, p in zip(g, parts, strict=True):
+                out[k] = p
+        return out
+
     def _remembered(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, with a space before it where the mode is to attach one."""
+        """Ids of each word, with a space before it where the mode is to attach one.
+
+        Letters with closing marks behind them are two pieces; the letters are looked up by themselves.
+        """
         if len(self.known) > _KEPT:
             self.older, self.known = self.known, {}
-        known, lead = self.known, self.lead
+        known = self.known
         found = list(map(known.get, words))
         missing = [k for k, b in enumerate(found) if b is None]
         for k, b in zip(missing, list(map(self.older.get, [words[k] for k in missing])), strict=True):
             if b is not None:
                 found[k] = known[words[k]] = b
-        new = [k for k in missing if found[k] is None]
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for k, b in zip(some, self._ids([lead + words[k] for k in some]), strict=True):
-                found[k] = b
-                if len(words[k]) <= _LONGEST:
-                    known[words[k]] = b
+        new = [words[k] for k in missing if found[k] is None]
+        if not new:
+            return found
+        stems = [w.rstrip(_CLOSING) for w in new]
+        stems = [s if s.isalpha() else w for s, w in zip(stems, new, strict=True)]
+        fresh = [s for s in dict.fromkeys(stems) if s not in known]
+        for at in range(0, len(fresh), 8192):
+            some = fresh[at : at + 8192]
+            known.update(zip(some, self._ids_of_words(some), strict=True))
+        for s, w in zip(stems, new, strict=True):
+            if len(s) < len(w):
+                tail = w[len(s) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._ids([tail])[0]
+                known[w] = known[s] + self.tails[tail]
+        found = [known[w] if b is None else b for w, b in zip(words, found, strict=True)]
+        for w in (*fresh, *new):
+            if len(w) > _LONGEST:
+                known.pop(w, None)
+        if len(self.tails) > 4096:
+            self.tails.clear()
         return found
 
     def _apart(self, text: str) -> bytes:
