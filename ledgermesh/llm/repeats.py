@@ -275,7 +275,7 @@ def _windows(window: int):
     return rows
 
 
-def repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 1000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 16_384) -> DataFrame:
     """All maximal repeated byte strings of ``window`` bytes or more: (doc_id, row, start, length, repeat_id).
 
     Every row is an occurrence, start counted in bytes of its document; occurrences of one
@@ -288,7 +288,7 @@ def repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 10
     found twice is a repeat as a whole. Where an anchor has several distinct stretches, one
     copy of each is brought together, and their suffix array, common-prefix intervals and
     left extensions give the maximal repeats. An anchor with more than ``bucket`` distinct
-    stretches (a very common passage) is not one task's work: its windows are spread by
+    stretches (about 12 MB of a very common passage) is not one task's work: its windows are spread by
     content instead, counted after folding, and those found twice become repeats of
     ``window`` bytes, which cover the same bytes.
     """
@@ -372,7 +372,7 @@ def _remove(with_bytes: bool):
     return rows
 
 
-def without_repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 1000, with_bytes: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 16_384, with_bytes: bool = True) -> DataFrame:
     """One row per input row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
     Removed is every byte covered by a string of ``window`` bytes that also starts at
