@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.llm.common import WORD, batches_of_rows, stage, text_of
-from ledgermesh.llm.tokens import word_pieces
+from ledgermesh.llm.common import batches_of_rows, stage, text_of
+from ledgermesh.llm.tokens import joined, slices, word_pieces
 
 COUNT_ARROW = pa.schema([("pair", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
 COUNT = "pair long, background long, target long"
@@ -24,7 +24,6 @@ LOCAL_ARROW = pa.schema([
     ("rest", pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int32())]))),
 ])
 LOCAL = "row long, doc_id long, n_tokens long, background double, target double, rest array<struct<pair: long, n: int>>"
-_WORD = re.compile(WORD)
 _LOW = 0xFFFFFFFF
 
 
@@ -45,11 +44,19 @@ class Unigrams:
         return -np.log((seen + self.strength * base) / (self.contexts[:, before] + self.strength))
 
 
-def _pairs(text: str, pieces) -> np.ndarray:
-    """Token pairs of a text, the beginning of the text as the first context."""
-    ids = np.frombuffer(b"".join(pieces.ids(_WORD.findall(text))), "<u4").astype(np.int64)
-    before = np.concatenate([[pieces.size], ids[:-1]]) if len(ids) else ids
-    return (before << 32) | ids
+def _pairs(texts: pa.Array, pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Token pairs of some texts, each beginning after a mark of its own, and the number of pairs of each."""
+    lists = pc.ascii_split_whitespace(texts)
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    ids, sizes = joined(pieces.ids(coded.dictionary.to_pylist()), coded.indices.to_numpy().astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+    ids = ids.astype(np.int64)
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    lengths = np.diff(ends)
+    before[ends[:-1][lengths > 0]] = pieces.size
+    return (before << 32) | ids, lengths
 
 
 def _counted(vocabulary: str, flush: int = 4_000_000):
@@ -67,11 +74,11 @@ def _counted(vocabulary: str, flush: int = 4_000_000):
             return pa.RecordBatch.from_arrays([pa.array(every), pa.array(n.astype(np.int64)), pa.array(target)], schema=COUNT_ARROW)
 
         for batch in batches:
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pairs = _pairs(text, pieces)
+            for at, n in slices(batch.column(0)):
+                some = batch.slice(at, n)
+                pairs, lengths = _pairs(some.column(0), pieces)
                 held[0].append(pairs)
-                if chosen:
-                    held[1].append(pairs)
+                held[1].append(pairs[np.repeat(some.column(1).to_numpy(zero_copy_only=False).astype(bool), lengths)])
                 total += len(pairs)
                 if total >= flush:
                     yield table()
@@ -103,20 +110,27 @@ def _local(vocabulary: str, unigrams: Unigrams, frequent: np.ndarray, gains: np.
         def each() -> Iterator[tuple]:
             row = first
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    pairs, n = np.unique(_pairs(text, pieces), return_counts=True)
-                    rest, total = None, np.zeros(2)
-                    if len(pairs):
-                        total = unigrams.losses(pairs) @ n
-                        if len(frequent):
-                            at = np.minimum(np.searchsorted(frequent, pairs), len(frequent) - 1)
-                            known = frequent[at] == pairs
-                            total = total + gains[:, at[known]] @ n[known]
-                        else:
-                            known = np.zeros(len(pairs), bool)
-                        rest = [{"pair": p, "n": k} for p, k in zip(pairs[~known].tolist(), n[~known].tolist(), strict=True)]
-                    yield row, doc, int(n.sum()), float(total[0]), float(total[1]), rest or None
-                    row += 1
+                for at, n in slices(batch.column(1)):
+                    some = batch.slice(at, n)
+                    pairs, lengths = _pairs(some.column(1), pieces)
+                    kinds, own = np.unique(pairs, return_inverse=True)
+                    loss = unigrams.losses(kinds)
+                    known = np.zeros(len(kinds), bool)
+                    if len(frequent) and len(kinds):
+                        place = np.minimum(np.searchsorted(frequent, kinds), len(frequent) - 1)
+                        known = frequent[place] == kinds
+                        loss[:, known] += gains[:, place[known]]
+                    doc = np.repeat(np.arange(n), lengths)
+                    totals = [np.bincount(doc, weights=loss[m][own], minlength=n).tolist() for m in (0, 1)]
+                    open_ = ~known[own]
+                    size = max(1, len(kinds))
+                    rest, times = np.unique(doc[open_] * size + own[open_], return_counts=True)
+                    cuts = np.searchsorted(rest // size, np.arange(n + 1)).tolist()
+                    found, times = kinds[rest % size].tolist() if len(rest) else [], times.tolist()
+                    for k, doc_id in enumerate(some.column(0).to_pylist()):
+                        own_rest = [{"pair": p, "n": t} for p, t in zip(found[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]], strict=True)]
+                        yield row, doc_id, int(lengths[k]), totals[0][k], totals[1][k], own_rest or None
+                        row += 1
 
         yield from batches_of_rows(each(), LOCAL_ARROW, 1024)
 
@@ -149,7 +163,7 @@ def cross_entropy_difference(
     """
     texts = docs.select("doc_id", text_of().alias("text"))
     chosen = target_ids.select(F.col("doc_id").alias("_target")).distinct()
-    marked = texts.join(chosen, F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull())
+    marked = texts.join(chosen.hint("merge"), F.col("doc_id") == F.col("_target"), "left").select("text", F.col("_target").isNotNull())
     counts = marked.mapInArrow(_counted(vocabulary), COUNT).groupBy("pair").agg(
         F.sum("background").alias("background"), F.sum("target").alias("target")
     )
