@@ -17,14 +17,14 @@ from ledgermesh.operators.components import components
 TREES, DEPTH = 24, 8
 SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary()), ("shingles", pa.binary())])
 _WORD = re.compile(WORD)
-_KEPT, _CHUNK = 1_000_000, 16_384
+_KEPT, _CHUNK = 200_000, 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = (np.random.default_rng(7).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _known: dict[str, int] = {}
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words, remembered per worker."""
+    """64-bit hashes of words, remembered for a task."""
     if len(_known) > _KEPT:
         _known.clear()
     known, digest = _known, xxhash.xxh3_64_intdigest
@@ -84,6 +84,7 @@ def signed(docs: DataFrame, size: int, with_shingles: bool) -> DataFrame:
                         yield doc, xxhash.xxh3_128_digest(raw), sig.tobytes(), raw if with_shingles else None
 
         yield from batches_of_rows(each(), SIGNED_ARROW, 512)
+        _known.clear()  # the worker lives on
 
     columns = "doc_id long, set_id binary, signature binary, shingles binary"
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(rows, columns)

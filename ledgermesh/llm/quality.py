@@ -26,7 +26,7 @@ MEASURES_ARROW = pa.schema([
 ])
 BANDED = ("chars_per_token", "chars_per_token_bytes", "byte_share", "token_entropy")
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
-_KEPT, _LONGEST = 1_000_000, 256
+_KEPT, _LONGEST = 300_000, 256
 
 
 class _Vocabulary:
