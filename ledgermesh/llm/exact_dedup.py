@@ -51,8 +51,8 @@ def groups_of_equal_texts(docs: DataFrame, bits: int = 64) -> DataFrame:
     (same doc_id, same text) get the same answer each. Other columns are ignored.
 
     Recipes (8 bytes per chunk) are what is grouped and joined; long documents move only
-    as distinct chunks. A group with a third of all rows is folded before the shuffle, and
-    the join back to its rows is one adaptive execution can split.
+    as distinct chunks. A group with a third of all rows is folded before the shuffle; the
+    groups are written, so that adaptive execution can split the join back to their rows.
     """
     texts = docs.select("doc_id", normalised().alias("norm"))
     clashes = [r.chunk_id for r in unverified(texts, "norm", bits).collect()]  # none, or n * n / 2^65 of them
@@ -70,8 +70,12 @@ def groups_of_equal_texts(docs: DataFrame, bits: int = 64) -> DataFrame:
         "recipes",
     )
     groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    repeated = stage(groups.filter("group_size > 1"), "recipe-groups")
+    joined = recipes.join(repeated, "recipe", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )
 
 
