@@ -100,9 +100,14 @@ def _nearer(bins: DataFrame, cap: float) -> DataFrame:
     return both.withColumn("extra", F.col("extra") + F.coalesce("step", F.lit(0))).drop("chosen_source", "chosen", "step")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, carry: list[str] | None = None
+) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and copies in columns ``mix_*``.
 
+    ``carry`` names the columns of ``docs`` to pass through, all by default; doc_id and
+    source always do. Without the text, rows are small when they are put in order.
+
     The rates of the documents minimise the entropy distance to one copy each, between
     none and ``cap``, under one constraint per source: its tokens meet its target. The
     solution is an exponential tilt of the odds by document size with one multiplier per
@@ -118,8 +123,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     is a source of its own. Repeated rows are documents of their own. An empty table gives
     an empty table. Columns named ``mix_*`` are replaced; others pass through.
     """
-    plain = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
-    sized = docs.select(*plain).withColumn("mix_size", size_in_words())
+    own = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    plain = [c for c in docs.columns if c not in own and (carry is None or c in carry or c in ("doc_id", "source"))]
+    sized = docs.drop("mix_size").withColumn("mix_size", size_in_words()).select(*plain, "mix_size")
     bins = stage(sized.groupBy("source", F.col("mix_size").alias("size")).agg(F.count("*").alias("n")), "mix-bins")
     sources = bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goal = source_targets(sources.select("source", "source_size"), weights, share, cap)

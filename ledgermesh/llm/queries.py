@@ -48,8 +48,7 @@ def op4_packed_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).select("doc_id", "text", "source")
-    mixed = mixing.mix(docs.withColumn("text", docs["text"]))
+    mixed = mixing.mix(documents(spark, folder).select("doc_id", "text", "source"), carry=[])
     return mixed.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
