@@ -150,40 +150,71 @@ def base_failed() -> Column:
 FENCES = {"chars_per_token": 4.0, "chars_per_token_bytes": 4.0, "byte_share": 4.0, "token_entropy": 1.6}
 
 
-def bands(measured: DataFrame, fences: dict[str, float] | None = None, least_spread: float = 0.04) -> DataFrame:
-    """Lowest and highest value kept of each measure, per language (or script) and length class.
+#: The sets of documents a band may come from, nearest first: whose documents, and how many length classes to either side (None: all).
+REACH = (
+    ("band", 0), ("band", 1), ("band", 2), ("band", None), ("script", 1), ("script", 2), ("script", None),
+    ("corpus", 1), ("corpus", 2), ("corpus", None),
+)
+CELL = ("band", "script", "length_class")
+
+
+def _sets(reached: bool) -> Column:
+    """One row per set of documents a cell may take its band from, or (``reached``) that its own documents belong to."""
+    names = {"band": F.col("band"), "script": F.col("script"), "corpus": F.lit("")}
+    out = []
+    for rank, (kind, wide) in enumerate(REACH):
+        places = [F.lit(-1)] if wide is None else [F.col("length_class") + k for k in (range(-wide, wide + 1) if reached else (0,))]
+        out += [F.struct(F.lit(rank).alias("rank"), names[kind].alias("name"), p.cast("int").alias("place")) for p in places]
+    return F.explode(F.array(*out)).alias("of")
+
+
+def bands(
+    measured: DataFrame, fences: dict[str, float] | None = None, least_spread: float = 0.04, least_documents: int = 20
+) -> DataFrame:
+    """Lowest and highest value kept of each measure, per cell: language (or script), script and length class.
 
     The band is the quartiles widened by a measure's number of ``fences`` times their
     distance, which counts as ``least_spread`` of the median (of a half, if that is more)
     at least. Token entropy falls as texts grow, so bands are taken per power of two of
     characters in words. Quartiles are taken over all documents that pass the base rules;
     they are sketches that merge, so a language with most of the documents is no bottleneck.
+
+    The quartiles of a few documents span them all. So they come from the first of these
+    with ``least_documents`` documents that pass the base rules: the language's length class,
+    with one and with two classes to either side, the whole language; the same of all
+    documents of the script, then of the corpus. A corpus with fewer is one set as it is.
     """
-    held = measured.filter(~base_failed()).groupBy("band", "length_class").agg(
+    cells = stage(measured.groupBy(*CELL).agg(F.count_if(~base_failed()).alias("n")), "band-cells")
+    reached = cells.select(*CELL, "n", _sets(True))
+    sizes = reached.groupBy("of").agg(F.sum("n").alias("size"))
+    enough = (F.col("size") >= least_documents) | (F.col("of.rank") == len(REACH) - 1)
+    wanted = stage(cells.select(*CELL, _sets(False)).join(sizes, "of").filter(enough).groupBy(*CELL).agg(F.min("of").alias("of")), "band-sets")
+    members = stage(reached.drop("n").join(wanted.select("of").distinct(), "of", "left_semi"), "band-members")
+    held = measured.filter(~base_failed()).join(members, [*CELL]).groupBy("of").agg(
         *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in BANDED]
     )
-    out = [F.col("band").alias("of_band"), F.col("length_class").alias("of_class")]
+    out = [F.col(c).alias(f"of_{c}") for c in CELL]
     for m, fence in (fences or FENCES).items():
         wide = fence * F.greatest(F.col(m)[2] - F.col(m)[0], least_spread * F.greatest(F.col(m)[1], F.lit(0.5)))
         out += [(F.col(m)[0] - wide).alias(f"low_{m}"), (F.col(m)[2] + wide).alias(f"high_{m}")]
-    return held.select(*out)
+    return wanted.join(held, "of", "left").select(*out)
 
 
 def judge(docs: DataFrame, pieces: str, byte_level: str, **settings) -> DataFrame:
     """One row per input row: the measures, base_failed, failed_measure and kept.
 
     A document is kept if it passes the base rules and every measure lies in the band of
-    its language (its script where lang is null) and length class. ``failed_measure`` names the first measure
-    outside. Null texts fail the base rules. Repeated rows are judged alike; an empty table
+    its language (its script where lang is null) and length class, which ``bands`` takes from
+    more documents where these are few. ``failed_measure`` names the first measure outside. Null texts fail the base rules. Repeated rows are judged alike; an empty table
     gives no rows. Other columns are ignored.
     """
     key = F.coalesce(F.concat(F.lit("lang "), F.col("lang")), F.concat(F.lit("script "), F.col("script")))
     length = F.floor(F.log2(F.greatest(F.col("word_chars"), F.lit(1)))).cast("int")
     measured = stage(measure(docs, pieces, byte_level).withColumn("band", key).withColumn("length_class", length), "fertility")
     limits = stage(bands(measured, **settings), "bands")
-    own = measured.join(limits, (F.col("band") == F.col("of_band")) & (F.col("length_class") == F.col("of_class")), "left")
+    own = measured.join(limits, [F.col(c) == F.col(f"of_{c}") for c in CELL], "left")
     outside = [
         F.when((F.col(m) < F.col(f"low_{m}")) | (F.col(m) > F.col(f"high_{m}")), F.lit(m)) for m in BANDED
     ]
     judged = own.withColumn("base_failed", base_failed()).withColumn("failed_measure", F.coalesce(*outside))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("failed_measure").isNull()).drop("of_band", "of_class")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("failed_measure").isNull()).drop(*[f"of_{c}" for c in CELL])

@@ -135,3 +135,16 @@ def test_quality(spark):
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[200 + k] for k in range(40)) and not kept[300] and not kept[301]
     assert quality.judge(table(spark, []), PIECES, BYTES).count() == 0
+
+
+def test_few_documents_are_judged_against_more(spark):
+    """A class or language with a document or two takes its band from its neighbours."""
+    odd = " ".join(f"{w}###" for w in prose(910, 6000).split(" "))
+    rows = [(k, prose(1000 + k, 200 + 6 * k), "en", "a", 1) for k in range(60)]
+    rows += [(100, odd, "en", "a", 1), (101, prose(911, 6000), "en", "a", 1)]  # the only long ones
+    rows += [(102, " ".join(odd.split(" ")[:300]), "xx", "a", 1), (103, prose(912, 300), "yy", "a", 1)]  # languages of one document
+    rows += [(104, " ".join(odd.split(" ")[300:600]), None, "a", 1)]
+    got = {r.doc_id: r for r in quality.judge(table(spark, rows), PIECES, BYTES).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[k].kept for k in range(60)) and got[103].kept
+    assert {k: got[k].kept for k in (100, 102, 104)} == {100: False, 102: False, 104: False}
