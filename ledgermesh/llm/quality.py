@@ -71,6 +71,31 @@ def _script(letter: str) -> str:
     return unicodedata.name(letter, "NONE").split(" ")[0].split("-")[0]
 
 
+@lru_cache(maxsize=1)
+def _script_numbers() -> tuple[np.ndarray, list[str]]:
+    """Number of the script of every code point (0: not known yet, 1: no letter), and the names by number, both filled as they are met."""
+    return np.zeros(0x110000, np.uint16), ["", ""]
+
+
+def main_script(text: str) -> str:
+    """The script of most letters of the text, the first by name of equals; NONE without letters."""
+    if text.isascii():
+        return "LATIN" if any(map(str.isalpha, text)) else "NONE"
+    numbers, names = _script_numbers()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    own = numbers[codes]
+    if not own.all():
+        for code in np.unique(codes[own == 0]).tolist():
+            name = _script(chr(code)) if chr(code).isalpha() else ""
+            if name and name not in names:
+                names.append(name)
+            numbers[code] = names.index(name, 2) if name else 1
+        own = numbers[codes]
+    counts = np.bincount(own, minlength=3)[2:]
+    most = counts.max()
+    return min(names[k + 2] for k in np.flatnonzero(counts == most).tolist()) if most else "NONE"
+
+
 def repeat_words(words: list[str]) -> int:
     """Words inside 3-word windows that occur twice or more in the text."""
     n = len(words)
@@ -106,9 +131,8 @@ def _measures(doc: int | None, lang: str | None, text: str, words: list[str], kn
     counts = np.bincount(ids) if len(ids) else np.zeros(1, np.int64)
     p = counts[counts > 0] / tokens
     spread = float(-(p * np.log2(p)).sum()) / float(np.log2(tokens)) if tokens > 1 else 0.0
-    letter = next((c for c in text if c.isalpha()), "")
     return (
-        doc, lang, _script(letter) if letter else "NONE", len(words), chars, len(_SYMBOL.findall(text)), duplicate_lines(text),
+        doc, lang, main_script(text), len(words), chars, len(_SYMBOL.findall(text)), duplicate_lines(text),
         repeat_words(words), chars / tokens, chars / max(1, sum(p[1] for p in parts)),
         float(is_byte[ids].sum()) / tokens if len(ids) else 0.0, spread,
     )
@@ -121,7 +145,8 @@ def measure(docs: DataFrame, pieces: str, byte_level: str) -> DataFrame:
     one. Words are encoded one by one. chars_per_token is code points of words per piece
     (``_bytes``: per byte-level token), byte_share the share of pieces that are single bytes
     or unknown, token_entropy the entropy of the pieces over its largest value for so many.
-    A null text has no words; without words all measures are 0.
+    script is that of most letters of the whole text. A null text has no words; without
+    words all measures are 0.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

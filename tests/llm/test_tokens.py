@@ -148,3 +148,16 @@ def test_few_documents_are_judged_against_more(spark):
     assert not any(r.base_failed for r in got.values())
     assert all(got[k].kept for k in range(60)) and got[103].kept
     assert {k: got[k].kept for k in (100, 102, 104)} == {100: False, 102: False, 104: False}
+
+
+@pytest.mark.parametrize("text,script", [
+    ("http://example.com " + "Привет, мир " * 9, "CYRILLIC"), ("Heading\n" + "漢字漢字" * 9, "CJK"), ("Ж and more words", "LATIN"),
+    ("plain", "LATIN"), ("12 #", "NONE"), ("١ \u2028 \U0001F600", "NONE"), ("", "NONE"), ("aaжж", "CYRILLIC"),
+])
+def test_script_is_that_of_most_letters(text, script):
+    assert quality.main_script(text) == script
+
+
+def test_null_lang_is_judged_by_the_whole_text(spark):
+    rows = [(1, "Intro http://a.b " + "слово речь " * 40, None, "a", 1)]
+    assert [r.script for r in quality.measure(table(spark, rows), PIECES, BYTES).collect()] == ["CYRILLIC"]
