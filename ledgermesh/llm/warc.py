@@ -80,11 +80,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
 
 
 def _fields(head: bytes) -> dict[str, str]:
+    """Fields of a header. Only line feeds end its lines: a value may hold other characters that Unicode counts as line ends or spaces."""
     found: dict[str, str] = {}
-    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
         name, mark, value = line.partition(":")
         if mark:
-            found[name.strip().lower()] = value.strip()
+            found[name.strip(" \t\r").lower()] = value.strip(" \t\r")
     return found
 
 

@@ -47,6 +47,14 @@ def test_round_trip_with_revisits(spark, tmp_path):
     assert by_page[6].payload.decode() == pages()[6][2] and by_page[2].payload == b"" and by_page[7].target_uri == "u"
 
 
+def test_round_trip_of_urls_with_unicode_line_ends(spark, tmp_path):
+    urls = [f"http://a/{mark}b{rest}{mark}" for mark in ("\x85", "\u2028", "\u2029", "\xa0") for rest in ("", ":c", ": c")]
+    rows = [(k, url, f"page {k // 2}", "c") for k, url in enumerate(urls)]
+    read = rows_read(spark, written(spark, tmp_path / "w", rows))
+    assert {r.kind for r in read} == {"record"}
+    assert {r.page: r.target_uri for r in read} == {k: url.replace(" ", "") for k, url, *_ in rows}
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     read = rows_read(spark, written(spark, tmp_path / "w", pages(), least_bytes=100))
     assert {r.warc_type for r in read} == {"response"}
