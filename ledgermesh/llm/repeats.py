@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import batches_of_rows, stage, text_of
@@ -18,6 +18,9 @@ STRETCH_ARROW = pa.schema([
     ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()),
 ])
 STRETCH = "doc_id long, row long, start long, size int, anchor long, content long"
+#: With the byte before the stretch, -1 at the start of a text.
+LED_ARROW = STRETCH_ARROW.append(pa.field("lead", pa.int32()))
+LED = f"{STRETCH}, lead int"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BATCH = 1 << 20  # bytes hashed at once
@@ -117,8 +120,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def stretches(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Stretches of every text; ``row`` tells rows of one doc_id apart by their text."""
+def stretches(docs: DataFrame, window: int, gram: int, led: bool = False) -> DataFrame:
+    """Stretches of every text; ``row`` tells rows of one doc_id apart by their text. ``led`` adds the byte before them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -131,12 +134,13 @@ def stretches(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     size += len(texts[-1])
                     if size >= _BATCH or k == batch.num_rows - 1:
                         for t, start, n, anchor, content in _stretches(texts, window, gram):
-                            yield ids[t], held[t], start, n, _signed(anchor), _signed(content)
+                            lead = ((texts[t][start - 1] if start else -1),) if led else ()
+                            yield ids[t], held[t], start, n, _signed(anchor), _signed(content), *lead
                         ids, texts, held, size = [], [], [], 0
 
-        yield from batches_of_rows(each(), STRETCH_ARROW, 16_384)
+        yield from batches_of_rows(each(), LED_ARROW if led else STRETCH_ARROW, 16_384)
 
-    return docs.select("doc_id", "bytes", "row").mapInArrow(rows, STRETCH)
+    return docs.select("doc_id", "bytes", "row").mapInArrow(rows, LED if led else STRETCH)
 
 
 def intervals(suffixes: list[bytes], leads: list[int], least: int) -> list[tuple[int, list[int]]]:
@@ -189,11 +193,8 @@ WINDOW_ARROW = pa.schema([*[f for f in CUT_ARROW if f.name != "bytes"], ("inner"
 WINDOW = "anchor long, content long, n long, doc_id long, row long, at long, inner long, window binary"
 
 
-def _repeats_of(group: list[tuple], window: int, covering: bool) -> Iterator[tuple]:
-    """Maximal repeats of one anchor's distinct stretches, each with its place in the stretch.
-
-    ``covering`` leaves the longest repeat at every place of the stretches found once.
-    """
+def _repeats_of(group: list[tuple], window: int) -> Iterator[tuple]:
+    """The longest repeat at every place of one anchor's distinct stretches that are found once."""
     blobs = [r[2] for r in group]
     flat = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs])
@@ -223,14 +224,13 @@ def _repeats_of(group: list[tuple], window: int, covering: bool) -> Iterator[tup
         name = _signed(xxhash.xxh3_64_intdigest(suffixes[members[0]][:length]))
         for m in members:
             anchor, content, _, n, doc, row, at = group[owner[m]]
-            if covering:
-                if n > 1 or m in told:
-                    continue
-                told.add(m)
+            if n > 1 or m in told:
+                continue
+            told.add(m)
             yield anchor, content, n, doc, row, at, int(inner[m]), length, name
 
 
-def _tree(window: int, covering: bool):
+def _tree(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             held: list[tuple] = []
@@ -238,11 +238,11 @@ def _tree(window: int, covering: bool):
                 for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if held and held[0][0] != row[0]:
                         if len(held) > 1:
-                            yield from _repeats_of(held, window, covering)
+                            yield from _repeats_of(held, window)
                         held = []
                     held.append(row)
             if len(held) > 1:
-                yield from _repeats_of(held, window, covering)
+                yield from _repeats_of(held, window)
 
         yield from batches_of_rows(each(), REPEAT_ARROW, 16_384)
 
@@ -275,29 +275,215 @@ def _windows(window: int):
     return rows
 
 
+#: A window that starts a maximal repeat, at its place in a distinct stretch; ``class`` names its bytes, ``lead`` the byte before it in the stretch.
+OPEN_ARROW = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("inner", pa.int64()), ("class", pa.binary()), ("lead", pa.int32())])
+OPEN = "anchor long, content long, inner long, class binary, lead int"
+LED_WINDOW_ARROW = pa.schema([*list(OPEN_ARROW)[:4], ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+LED_WINDOW = "anchor long, content long, inner long, class binary, n long, low int, high int"
+#: What follows a start: at most so many bytes at once, ``ends`` where the text does.
+NEXT_ARROW = pa.schema([
+    ("class", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("n", pa.int64()),
+    ("bytes", pa.binary()),
+])
+NEXT = "class binary, doc_id long, row long, start long, lead int, n long, bytes binary"
+NODE_ARROW = pa.schema([
+    *[f for f in NEXT_ARROW if f.name not in ("lead", "bytes", "class")], ("length", pa.int64()), ("repeat_id", pa.int64()),
+])
+NODE = "doc_id long, row long, start long, n long, length long, repeat_id long"
+STEP_ARROW = pa.schema([("prefix", pa.binary()), ("length", pa.int64()), ("repeat_id", pa.int64()), ("next", pa.int32()), *list(NEXT_ARROW)[1:6]])
+STEP = "prefix binary, length long, repeat_id long, next int, doc_id long, row long, start long, lead int, n long"
+_FIRST, _MOST = 256, 1 << 20
+
+
+def _led_windows(group: list[tuple], window: int) -> Iterator[tuple]:
+    """Every window of distinct stretches (anchor, content, bytes, n, low, high), with the bytes before it: lowest and highest."""
+    for anchor, content, data, n, low, high in group:
+        for k in range(len(data) - window + 1):
+            if k:
+                low = high = data[k - 1]
+            yield anchor, content, k, xxhash.xxh3_128_digest(data[k : k + window]), n, low, high
+
+
+def _open_of(group: list[tuple], window: int) -> Iterator[tuple]:
+    """Of one anchor's windows, those found twice that different bytes come before."""
+    known: dict[bytes, list[int]] = {}
+    for *_, code, n, low, high in _led_windows(group, window):
+        held = known.setdefault(code, [0, low, high])
+        held[0], held[1], held[2] = held[0] + n, min(held[1], low), max(held[2], high)
+    for anchor, content, inner, code, _, lead, _ in _led_windows(group, window):
+        n, low, high = known[code]
+        if n > 1 and (low < high or low < 0):
+            yield anchor, content, inner, code, lead if inner else None
+
+
+def _name(code: bytes, prefix: bytes) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(code + prefix))
+
+
+def _nodes_of(group: list[tuple], depth: int, block: int) -> Iterator[tuple]:
+    """Maximal repeats of a class of starts that agree in ``depth`` bytes and end within the next ``block``."""
+    # A byte before every block makes what they all share an interval too; two places tell all that more copies would.
+    owners = [k for k, r in enumerate(group) for _ in range(min(r[5], 2))]
+    suffixes = [b"\0" + group[k][6] for k in owners]
+    for length, members in intervals(suffixes, [group[k][4] for k in owners], 1):
+        if length <= block:
+            name = _name(group[0][0], suffixes[members[0]][1:length])
+            for k in {owners[m] for m in members}:
+                yield *group[k][1:4], group[k][5], depth + length - 1, name
+
+
+def _per_group(work, schema: pa.Schema):
+    """Runs ``work`` on each run of rows that agree in the first column."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            held: list[tuple] = []
+            for batch in batches:
+                for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if held and held[0][0] != row[0]:
+                        yield from work(held)
+                        held = []
+                    held.append(row)
+            if held:
+                yield from work(held)
+
+        yield from batches_of_rows(each(), schema, 4096)
+
+    return rows
+
+
+def _next_bytes(depth: int, block: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    doc, row, data, starts = (c[k].as_py() for c in batch.columns)
+                    for s in starts:
+                        at = s["start"] + depth
+                        yield s["class"], doc, row, s["start"], s["lead"], s["n"], data[at : at + block]
+
+        yield from batches_of_rows(each(), NEXT_ARROW, 1024)
+
+    return rows
+
+
+def _steps(depth: int, block: int):
+    """Every prefix of what follows a start, with the byte after it (-1 where the text ends)."""
+
+    def work(group: list[tuple]) -> Iterator[tuple]:
+        for code, *place, data in group:
+            for k in range(min(len(data), block - 1) + 1):
+                after = data[k] if k < len(data) else -1
+                yield xxhash.xxh3_128_digest(code + data[:k]), depth + k, _name(code, data[:k]), after, *place
+
+    return _per_group(work, STEP_ARROW)
+
+
+def _is_open() -> Column:
+    """Of groups with n, low and high: two places or more that cannot all be extended to the left."""
+    return (F.col("n") > 1) & ((F.col("low") < F.col("high")) | (F.col("low") < 0))
+
+
 def repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket: int = 16_384) -> DataFrame:
     """All maximal repeated byte strings of ``window`` bytes or more: (doc_id, row, start, length, repeat_id).
 
+    A string found at two places or more is maximal if the bytes before its places differ,
+    and those after them, where the start and the end of a text differ from everything.
     Every row is an occurrence, start counted in bytes of its document; occurrences of one
-    string share the repeat_id. See ``without_repeats`` for the definitions of edge cases.
+    string share the repeat_id. Repeated rows are other places. See ``without_repeats`` for
+    the other edge cases.
 
     A window's anchor (its gram of ``gram`` bytes with the smallest hash) depends on the
     window alone, so equal windows meet under equal anchors. The windows of one anchor form
-    a stretch. Anchors found once are dropped at once. Of the others, stretches are counted
-    by content, folded before the shuffle, so exact copies cost one row each: a stretch
-    found twice is a repeat as a whole. Where an anchor has several distinct stretches, one
-    copy of each is brought together, and their suffix array, common-prefix intervals and
-    left extensions give the maximal repeats. An anchor with more than ``bucket`` distinct
-    stretches (about 12 MB of a very common passage) is not one task's work: its windows are spread by
-    content instead, counted after folding, and those found twice become repeats of
-    ``window`` bytes, which cover the same bytes.
+    a stretch; stretches are counted by content with the bytes before them, so exact copies
+    cost one row each. A maximal repeat starts at a window that is found twice behind
+    different bytes, in whichever stretch. From these starts on, the texts are compared a
+    block at a time, each round twice as long (up to 1 MB), as far as two of them agree: the
+    common-prefix intervals of a block's suffix array with diverse left extensions are the
+    maximal repeats that end in it, so their length has no limit.
+
+    Where an anchor has more than ``bucket`` distinct stretches, or a class of equal starts
+    more than ``bucket`` places, that is not one task's work: windows, or prefixes of the
+    block, are spread by content instead and counted after folding, with the same result.
+    The result is as large as the places of all maximal repeats together, which grows with
+    the square of the length of a run of one byte.
     """
     raw = docs.select("doc_id", text_of().cast("binary").alias("bytes")).withColumn("row", F.xxhash64("bytes"))
-    live, copies, parts = _repeats(raw, window, gram, bucket, False)
-    places = parts.select("anchor", "content", "inner", "length", "repeat_id").distinct()  # repeated rows are cut twice
-    inside = live.withColumnRenamed("start", "place").join(places, ["anchor", "content"])
-    inside = inside.select("doc_id", "row", (F.col("place") + F.col("inner")).alias("start"), "length", "repeat_id")
-    return _whole(live, copies).unionByName(inside)
+    texts = stage(raw.dropDuplicates(["doc_id", "row"]), "repeat-texts")
+    parts, depth, block = [], window, _FIRST
+    starts = _starts(raw, texts, window, gram, bucket)
+    while not starts.isEmpty():
+        asked = starts.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(
+            F.collect_list(F.struct("class", "start", "lead", "n")).alias("starts")
+        )
+        one = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
+        after = stage(one.select("doc_id", "row", "bytes", "starts").mapInArrow(_next_bytes(depth, block), NEXT), "repeat-blocks")
+        sizes = after.groupBy("class").agg(F.count("*").alias("places"))
+        few, many = (sizes.filter(c).select("class") for c in (F.col("places") <= bucket, F.col("places") > bucket))
+        inside = (
+            after.join(few, "class", "left_semi").select(*NEXT_ARROW.names).repartition("class").sortWithinPartitions("class")
+            .mapInArrow(_per_group(lambda g, d=depth, b=block: _nodes_of(g, d, b), NODE_ARROW), NODE)
+        )
+        hot = stage(after.join(many, "class", "left_semi").select(*NEXT_ARROW.names), "repeat-hot")
+        parts.append(stage(inside.unionByName(_spread_nodes(hot, depth, block)), "repeat-nodes"))
+        full = after.filter(F.octet_length("bytes") == block).withColumn(
+            "class", F.unhex(F.md5(F.concat("class", "bytes")))
+        ).drop("bytes")
+        open_ = full.groupBy("class").agg(F.sum("n").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high")).filter(_is_open())
+        starts = stage(full.join(open_.select("class"), "class", "left_semi"), "repeat-starts")
+        depth, block = depth + block, min(2 * block, _MOST)
+    found = parts[0] if parts else docs.sparkSession.createDataFrame([], NODE)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    every = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return every.select("doc_id", "row", "start", "length", "repeat_id")
+
+
+def _starts(raw: DataFrame, texts: DataFrame, window: int, gram: int, bucket: int) -> DataFrame:
+    """(class, doc_id, row, start, lead, n) of the windows found twice behind different bytes; n counts equal rows."""
+    found = stage(stretches(raw, window, gram, True), "stretches")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
+    live = found.join(stage(twice, "anchors-twice"), "anchor", "left_semi")
+    live = stage(live.groupBy("doc_id", "row", "start", "size", "anchor", "content", "lead").agg(F.count("*").alias("n")), "stretches-met")
+    kinds = stage(live.groupBy("anchor", "content").agg(
+        F.sum("n").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high"), F.min(F.struct("doc_id", "row", "start", "size")).alias("first"),
+    ), "stretch-kinds")
+    # A single content that one byte comes before is found longer in the stretch before.
+    anchors = stage(kinds.groupBy("anchor").agg(
+        F.count("*").alias("kinds"), F.min("low").alias("_low"), F.max("high").alias("_high")
+    ).filter("kinds > 1 or _low < _high or _low < 0").select("anchor", "kinds"), "stretch-anchors")
+    cuts = F.struct("anchor", "content", "n", "low", "high", F.col("first.start").alias("start"), F.col("first.size").alias("size"))
+    wanted = kinds.join(anchors, "anchor").groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).agg(
+        F.collect_list(cuts).alias("cuts")
+    )
+    one = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
+    one = one.select("bytes", F.explode("cuts").alias("cut")).select("cut.*", "bytes")
+    cut = stage(one.select(
+        "anchor", "content", F.expr("substring(bytes, cast(start + 1 as int), size)").alias("bytes"), "n", "low", "high"
+    ), "stretch-bytes")
+    few, many = (anchors.filter(c).select("anchor") for c in (F.col("kinds") <= bucket, F.col("kinds") > bucket))
+    near = (
+        cut.join(few, "anchor", "left_semi").repartition("anchor").sortWithinPartitions("anchor")
+        .mapInArrow(_per_group(lambda g: _open_of(g, window), OPEN_ARROW), OPEN)
+    )
+    spread = stage(
+        cut.join(many, "anchor", "left_semi").mapInArrow(_per_group(lambda g: _led_windows(g, window), LED_WINDOW_ARROW), LED_WINDOW), "windows"
+    )
+    hot = spread.groupBy("class").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter(_is_open())
+    far = spread.join(hot.select("class"), "class", "left_semi").withColumn("lead", F.when(F.col("inner") > 0, F.col("low"))).select(*OPEN_ARROW.names)
+    places = stage(near.unionByName(far), "open-windows")
+    return stage(live.withColumnRenamed("lead", "before").join(places, ["anchor", "content"]).select(
+        "class", "doc_id", "row", (F.col("start") + F.col("inner")).alias("start"), F.coalesce("lead", "before").alias("lead"), "n"
+    ), "repeat-starts")
+
+
+def _spread_nodes(hot: DataFrame, depth: int, block: int) -> DataFrame:
+    """``_nodes_of`` for classes of many places: prefixes are counted, not sorted."""
+    steps = stage(hot.mapInArrow(_steps(depth, block), STEP), "repeat-steps")
+    kept = steps.groupBy("prefix").agg(
+        F.sum("n").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high"), F.min("next").alias("_next"), F.max("next").alias("_last")
+    ).filter(_is_open() & ((F.col("_next") < F.col("_last")) | (F.col("_next") < 0)))
+    return steps.join(kept.select("prefix"), "prefix", "left_semi").select(*NODE_ARROW.names)
 
 
 def _whole(live: DataFrame, copies: DataFrame) -> DataFrame:
@@ -307,7 +493,7 @@ def _whole(live: DataFrame, copies: DataFrame) -> DataFrame:
     )
 
 
-def _repeats(docs: DataFrame, window: int, gram: int, bucket: int, covering: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _repeats(docs: DataFrame, window: int, gram: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stretches whose anchor occurs twice, the contents found twice, and the repeats inside distinct stretches."""
     found = stage(stretches(docs, window, gram), "stretches")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -323,14 +509,14 @@ def _repeats(docs: DataFrame, window: int, gram: int, bucket: int, covering: boo
     few = anchors.filter(F.col("kinds") <= bucket).select("anchor")
     trees = (
         cut.join(few, "anchor", "left_semi").select(*CUT_ARROW.names).repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_tree(window, covering), REPEAT)
+        .mapInArrow(_tree(window), REPEAT)
     )
     many = anchors.filter(F.col("kinds") > bucket).select("anchor")
     spread = stage(
         cut.join(many, "anchor", "left_semi").select(*CUT_ARROW.names).mapInArrow(_windows(window), WINDOW), "windows"
     )
     repeated = stage(spread.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window"), "windows-twice")
-    asked = spread.filter("n = 1") if covering else spread
+    asked = spread.filter("n = 1")
     single = asked.join(repeated, "window", "left_semi").select(
         *[n for n in REPEAT_ARROW.names[:7]], F.lit(window).alias("length"), F.xxhash64("window").alias("repeat_id")
     )
@@ -379,12 +565,18 @@ def without_repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket:
     another place of the table, the same document included; overlaps count, and strings are
     judged on the input. n_spans counts maximal removed runs; ``kept`` is the rest, joined.
 
+    Windows meet under their anchors as in ``repeats``. A stretch found twice is removed as
+    a whole; among distinct stretches of one anchor, one copy of each is brought together
+    and the repeats are cut off at the ends of the stretches, which covers the same bytes.
+    The windows of an anchor with more than ``bucket`` distinct stretches are spread by
+    content instead, and those found twice are removed.
+
     A null text is empty; texts shorter than ``window`` keep all their bytes. Repeated rows
     are other places, so long texts that occur in two rows go entirely. Null doc_ids are
     allowed. An empty table gives no rows. Other columns are ignored.
     """
     raw = docs.select("doc_id", text_of().cast("binary").alias("bytes")).withColumn("row", F.xxhash64("bytes"))
-    live, copies, parts = _repeats(raw, window, gram, bucket, True)
+    live, copies, parts = _repeats(raw, window, gram, bucket)
     inside = parts.select("doc_id", "row", (F.col("at") + F.col("inner")).alias("start"), "length")
     found = _whole(live, copies).drop("repeat_id").unionByName(inside)
     spans = found.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(

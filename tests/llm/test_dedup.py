@@ -116,6 +116,49 @@ def test_repeat_groups_hold_all_occurrences(spark):
     assert repeats.without_repeats(table(spark, [])).count() == 0
 
 
+def brute_maximal(texts: list[bytes], window: int) -> set[tuple[bytes, tuple]]:
+    """(string, its places) of the maximal repeats of ``window`` bytes or more."""
+    found, length = set(), window
+    places = [(k, at) for k, t in enumerate(texts) for at in range(len(t) - window + 1)]
+    while places:
+        held: dict[bytes, list] = {}
+        for k, at in places:
+            if at + length <= len(texts[k]):
+                held.setdefault(texts[k][at : at + length], []).append((k, at))
+        held = {s: p for s, p in held.items() if len(p) > 1}
+        for string, own in held.items():
+            left = [texts[k][at - 1] if at else None for k, at in own]
+            right = [texts[k][at + length] if at + length < len(texts[k]) else None for k, at in own]
+            if all(None in side or len(set(side)) > 1 for side in (left, right)):
+                found.add((string, tuple(sorted(own))))
+        places, length = [p for own in held.values() for p in own], length + 1
+    return found
+
+
+@pytest.mark.parametrize("bucket", [1000, 1])
+def test_maximal_repeats_of_any_length(spark, bucket):
+    window, passage = 24, prose(410, 180)
+    near = passage[:300] + "changed" + passage[300:]
+    texts = [f"{prose(700 + k, 15)} {passage} {prose(720 + k, 15)}" for k in range(3)]
+    texts += [passage, passage, f"{near} {passage[:100]}", "ab" * 20 + near, "z" * 60, prose(740, 30), prose(740, 30) + " more"]
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    rows += [(20, passage, "en", "a", 1)] * 2 + [(None, passage[:200], None, None, None), (21, None, None, None, None)]
+    coded = [(r[1] or "").encode() for r in rows]
+    groups: dict[int, list] = {}
+    for r in repeats.repeats(table(spark, rows), window, 8, bucket).collect():
+        groups.setdefault(r.repeat_id, []).append((r.doc_id, r.start, r.length))
+    got = []
+    for own in groups.values():
+        (length,) = {n for *_, n in own}
+        string = {next(t for r, t in zip(rows, coded, strict=True) if r[0] == d)[at : at + length] for d, at, _ in own}
+        assert len(string) == 1
+        got.append((string.pop(), by_row([(d, at) for d, at, _ in own])))
+    expected = [(s, by_row([(rows[k][0], at) for k, at in own])) for s, own in brute_maximal(coded, window)]
+    assert max(len(s) for s, _ in expected) > 2 * window + 256
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert repeats.repeats(table(spark, [])).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=3, max_size=9).map(str.encode), min_size=2, max_size=6))
 def test_intervals_are_the_maximal_repeats(texts):
