@@ -15,7 +15,7 @@ from ledgermesh.llm.common import WORD, batches_of_rows, stage, text_of
 from ledgermesh.operators.components import components
 
 TREES, DEPTH = 24, 8
-SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary()), ("shingles", pa.binary())])
+SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary()), ("shingles", pa.binary()), ("text_key", pa.int64())])
 _WORD = re.compile(WORD)
 _KEPT, _CHUNK = 200_000, 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +70,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int, with_shingles: bool) -> DataFrame:
-    """(doc_id, set_id, signature, shingles) of every row; rows with equal sets share the set_id."""
+    """(doc_id, set_id, signature, shingles, text_key) of every row; rows with equal sets share the set_id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -79,15 +79,20 @@ def signed(docs: DataFrame, size: int, with_shingles: bool) -> DataFrame:
                     some = batch.slice(at, 256)
                     sets = [shingles_of(t, size) for t in some.column(1).to_pylist()]
                     held = signatures(sets)
-                    for doc, own, sig in zip(some.column(0).to_pylist(), sets, held, strict=True):
+                    for doc, own, sig, key in zip(some.column(0).to_pylist(), sets, held, some.column(2).to_pylist(), strict=True):
                         raw = own.tobytes()
-                        yield doc, xxhash.xxh3_128_digest(raw), sig.tobytes(), raw if with_shingles else None
+                        yield doc, xxhash.xxh3_128_digest(raw), sig.tobytes(), raw if with_shingles else None, key
 
         yield from batches_of_rows(each(), SIGNED_ARROW, 512)
         _known.clear()  # the worker lives on
 
-    columns = "doc_id long, set_id binary, signature binary, shingles binary"
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(rows, columns)
+    columns = "doc_id long, set_id binary, signature binary, shingles binary, text_key long"
+    return docs.select("doc_id", text_of().alias("text"), _text_key()).mapInArrow(rows, columns)
+
+
+def _text_key() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(text_of()).alias("text_key")
 
 
 def matched_depth(similarity: float, recall: float) -> int:
@@ -252,6 +257,13 @@ def classes(
     rows are copies too. A class without any doc_id has a null class_id. An empty table
     gives no rows. Other columns are ignored.
     """
+    return _classes(docs, size, similarity, recall, bucket, cluster).select("doc_id", "class_id", "n_links")
+
+
+def _classes(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.9999, bucket: int = 256, cluster: int = 128,
+) -> DataFrame:
+    """``classes`` with text_key, and class_set, which tells classes apart that share a class_id."""
     rows = stage(signed(docs, size, False).drop("shingles"), "signatures")
     sets = stage(
         rows.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("signature").alias("signature")),
@@ -286,16 +298,23 @@ def classes(
     joined = components(links.filter("b is not null").select("a", "b"))
     named = joined.join(sets.select(F.col("set_id").alias("node"), "first_id"), "node")
     least_id = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of_set = joined.join(least_id, "component").select(F.col("node").alias("set_id"), "class_id")
+    of_set = joined.join(least_id, "component").select(F.col("node").alias("set_id"), "class_id", F.col("component").alias("class_set"))
     counts = links.filter("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n"))
     known = sets.join(of_set, "set_id", "left").join(counts, "set_id", "left").select(
-        "set_id", F.coalesce("class_id", "first_id").alias("class_id"),
+        "set_id", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_set", "set_id").alias("class_set"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    return rows.select("doc_id", "set_id").join(stage(known, "classes"), "set_id").select("doc_id", "class_id", "n_links")
+    return rows.select("doc_id", "set_id", "text_key").join(stage(known, "classes"), "set_id")
 
 
 def one_of_each_class(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their class, with its columns; rows without doc_id stay."""
-    kept = classes(docs, **settings).filter("doc_id = class_id").select(F.col("doc_id").alias("_class_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_class_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` that stand for their class, with its columns; rows without doc_id stay.
+
+    A class keeps its smallest doc_id; where different texts of the class have that doc_id,
+    one of them. Rows with equal doc_id and text are kept or dropped together.
+    """
+    known = _classes(docs, **settings).filter("doc_id is not null")
+    kept = known.groupBy("class_set").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_class_id"), F.col("first.text_key").alias("_text_key")).distinct()
+    own = (F.col("doc_id") == F.col("_class_id")) & (F.xxhash64(text_of()) == F.col("_text_key"))
+    return docs.join(kept, own, "left_semi").unionByName(docs.filter("doc_id is null"))

@@ -71,6 +71,16 @@ def test_near_duplicate_edges(spark):
     assert ids.count(None) == 2 and {1, 5, 8, 9, 10, 11, 12, 13} <= set(ids) and not {3, 4} & set(ids)
 
 
+def test_one_of_each_class_with_repeated_ids(spark):
+    """Of near copies under one doc_id one stays; other texts under it stand for their own class."""
+    base, other = prose(60, 200, 5000), prose(61, 200, 5000)
+    near = base.split(" ")
+    near[50] = "edit"
+    rows = [(1, base, "en", "a", 1), (1, " ".join(near), "en", "a", 1), (1, other, "en", "a", 1), (2, base, "en", "a", 1), (3, other, "en", "a", 1)]
+    got = [(r.doc_id, r.text == other) for r in near_duplicates.one_of_each_class(table(spark, rows)).collect()]
+    assert sorted(got) == [(1, False), (1, True)]
+
+
 def test_depth_reaches_the_recall():
     d = near_duplicates.matched_depth(0.8, 0.9999)
     assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
