@@ -1,4 +1,4 @@
-"""Near duplicates on word shingles: an LSH forest of MinHash signatures, followed by exact verification."""
+"""Near duplicates on word shingles: LSH on prefixes of MinHash signatures, followed by exact verification."""
 
 from __future__ import annotations
 
@@ -96,14 +96,17 @@ def _text_key() -> Column:
 
 
 def matched_depth(similarity: float, recall: float) -> int:
-    """How long a prefix two signatures must share in one of the tries.
+    """How long a prefix two signatures must share in one of the trees, the same for all sets.
 
     Starts at the full depth and shortens until a pair right at ``similarity`` is found
-    with probability ``recall`` at least; pairs above it are found more surely.
+    with probability ``recall`` at least; pairs above it are found more surely. ValueError
+    where a prefix of one byte does not reach that.
     """
     depth = DEPTH
     while depth > 1 and 1 - (1 - similarity**depth) ** TREES < recall:
         depth -= 1
+    if 1 - (1 - similarity**depth) ** TREES < recall:
+        raise ValueError(f"{TREES} trees do not reach a recall of {recall} at a similarity of {similarity}")
     return depth
 
 
@@ -245,8 +248,8 @@ def classes(
     smallest doc_id of everything reachable over links.
 
     Rows with equal sets are one set from the start. Each set has a signature of one byte
-    per MinHash permutation, read as the labels of ``TREES`` prefix tries; two sets meet if
-    they share a prefix of ``matched_depth`` bytes in a trie. Sets that meet and agree in
+    per MinHash permutation, ``DEPTH`` to each of ``TREES`` trees; two sets meet if they
+    share the first ``matched_depth`` bytes of a tree (a fixed depth, no sorted tries). Sets that meet and agree in
     enough bytes of the whole signature (nine standard deviations below what the threshold
     gives) fall into one cluster, and within a cluster every pair is compared exactly on its
     shingles. Tries and clusters that are large are cut into blocks and their block pairs

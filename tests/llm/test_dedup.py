@@ -86,6 +86,12 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
 
 
+def test_a_recall_that_no_depth_reaches_is_an_error():
+    assert near_duplicates.matched_depth(0.4, 0.9999) == 1
+    with pytest.raises(ValueError, match="recall"):
+        near_duplicates.matched_depth(0.2, 0.9999)
+
+
 def shared_passages() -> list[tuple]:
     draw = random.Random(5)
     passages = [prose(200 + k, 30) for k in range(4)]
