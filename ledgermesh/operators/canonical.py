@@ -164,7 +164,9 @@ def blank_person_rows(df: DataFrame) -> DataFrame:
 def people_summary(df: DataFrame, people: DataFrame) -> DataFrame:
     """Rows read, people written and rows skipped for a blank id."""
     return beside([
-        _count(df, "relationship_rows_read"),
-        _count(people, "unique_people_rows_written"),
-        _count(blank_person_rows(df), "skipped_blank_person_id_rows"),
+        df.agg(
+            F.count("*").alias("relationship_rows_read"),
+            F.count_if(text_or_empty(F.col("person_id")) == "").alias("skipped_blank_person_id_rows"),
+        ),
+        people.agg(F.count("*").alias("unique_people_rows_written")),
     ])
