@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and the SQL of those that SQL can express."""
+"""The registered queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import exact_dedup, language_model, mixing, near_duplicates, packing, quality, repeats, token_files, toxicity, warc
+from ledgermesh.llm import (
+    exact_dedup, language_model, line_dedup, merkle, mixing, near_duplicates, packing, periodic_runs, quality, repeats, token_files, toxicity,
+    warc,
+)
 from ledgermesh.llm.common import documents, stage
 from ledgermesh.llm.tokens import public_path
 
@@ -79,6 +82,20 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents(spark, folder).select("doc_id", "text"), labels)
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = periodic_runs.with_periodic_tails(documents(spark, folder).select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(tampered))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verification(documents(spark, folder))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.without_shared_lines(documents(spark, folder).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -90,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_cross_entropy_difference": op9_cross_entropy_difference,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -113,4 +133,70 @@ CHECKS: dict[str, str] = {
                doc_id is not distinct from min(doc_id) over w as kept, sha256(norm) as text_sha256
         from texts window w as (partition by norm)
     """,
+    "op12_merkle_manifest": r"""
+        with recursive coded as (
+            select doc_id, lang, crc % 3 = 0 as hit,
+                   coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head, text
+            from documents, lateral (
+                select xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+                    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, k: xor(x // 2, 3988292384 * (x % 2))))) as crc
+            )
+        ),
+        hashed as (
+            select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+                   case when hit then sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+                   else sha256(head || coalesce(strlen(text) || ':' || text, '-')) end as shown
+            from coded
+        ),
+        leaves as (
+            select *, dense_rank() over (order by lang nulls first) - 1 as tree,
+                   row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as rank
+            from hashed
+        ),
+        low(tree, height, nodes) as (
+            select tree, 0, list(leaf order by rank) from leaves group by tree
+            union all
+            select tree, height + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1 : i + 8], '')))
+            from low where len(nodes) > 1
+        ),
+        subroots as (select tree, nodes[1] as subroot, height as steps from low where len(nodes) = 1),
+        high(height, nodes) as (
+            select 0, list(subroot order by tree) from subroots
+            union all
+            select height + 1, list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1 : i + 8], '')))
+            from high where len(nodes) > 1
+        ),
+        folds(doc_id, leaf, shown, tree, steps, place, height, acc, siblings) as (
+            select doc_id, leaf, shown, tree, steps, case when steps = 0 then tree else rank end, 0, shown, '' from leaves join subroots using (tree)
+            union all
+            select f.doc_id, f.leaf, f.shown, f.tree, f.steps, case when f.height + 1 = f.steps then f.tree else f.place // 8 end, f.height + 1,
+                   sha256(array_to_string(n.nodes[f.place // 8 * 8 + 1 : f.place], '') || f.acc || array_to_string(n.nodes[f.place + 2 : f.place // 8 * 8 + 8], '')),
+                   f.siblings || array_to_string(n.nodes[f.place // 8 * 8 + 1 : f.place], '') || array_to_string(n.nodes[f.place + 2 : f.place // 8 * 8 + 8], '')
+            from folds f
+            join (select tree, height, nodes from low where len(nodes) > 1
+                  union all select tree, steps + height, nodes from high, subroots where len(nodes) > 1) n
+              on n.tree = f.tree and n.height = f.height
+        ),
+        ends as (select * from folds qualify height = max(height) over (partition by tree)),
+        top as (select nodes[1] as root from high where len(nodes) = 1)
+        select doc_id, leaf, subroot, root, sha256(siblings) as proof_sha256, acc as folded_root, acc = root as verified
+        from ends join subroots using (tree) cross join top
+    """,
+    "op13_line_dedup": r"""
+        with texts as (select row_number() over () as id, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        lines as (select id, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as place from texts),
+        keyed as (
+            select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from lines
+        ),
+        judged as (
+            select *, length(key) >= 10 and doc_id is distinct from first_value(doc_id) over (partition by key order by doc_id nulls last) as lost
+            from keyed
+        )
+        select doc_id, count(*) as n_lines, count_if(lost) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by place) filter (not lost), '')) as kept_sha256
+        from judged group by id, doc_id
+    """,
 }
