@@ -146,11 +146,15 @@ def names_in(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NAMES), F.lit(1))
 
 
-def signature_names(c: Column) -> Column:
-    """Valid names in a fragment: those after ``/s/`` first, then all others."""
+def name_candidates(c: Column) -> Column:
+    """Texts of a fragment that may be names: those after ``/s/`` first, then all others."""
     signed = F.regexp_extract_all(c, F.lit(rf"(?iU)/s/\s*({fixed.NAME_CAPTURE})"), F.lit(1))
-    found = F.transform(F.concat(signed, names_in(c)), signature_candidate)
-    return F.filter(found, lambda n: n != "")
+    return F.concat(signed, names_in(c))
+
+
+def signature_names(c: Column) -> Column:
+    """Valid names in a fragment, in the order of its candidates."""
+    return F.filter(F.transform(name_candidates(c), signature_candidate), lambda n: n != "")
 
 
 def signer_title_edges(title: Column) -> Column:

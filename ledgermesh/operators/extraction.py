@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
 from ledgermesh.functions.names import (
-    NAMES, canonical_name, is_person_name, name_rejection_reason, normalize_name, signature_candidate,
-    signature_names, signer_title_edges,
+    NAMES, canonical_name, is_person_name, name_candidates, name_rejection_reason, normalize_name, signature_candidate,
+    signer_title_edges,
 )
 from ledgermesh.functions.text import any_word, char_slice, clean_text, exploded, let, match_spans, title_relationships
 from ledgermesh.operators.merge import latest_per_key
 from ledgermesh.session import stage
-from ledgermesh.sources.html import cell_lines, cell_markup, cell_text, html_text, row_markup, table_spans, with_levels
+from ledgermesh.sources.html import cell_text, html_tables, html_text, line_cells, text_cells, with_tables
 
 EDGE_COLUMNS = ["doc_id", "name", "relationship_type", "source", "pos"]
 _ANCHOR = fixed.EXCHANGE_ACT_ANCHOR.replace(r"\s+", r"(?:\s|\xa0|&nbsp;|&#160;)+")
@@ -116,26 +116,14 @@ def signature_section(text: Column, chars: int | None = fixed.SIGNATURE_SECTION_
 # --- signature tables --------------------------------------------------------
 
 
-def _cells(markup: Column, each) -> Column:
-    return F.transform(cell_markup(markup), each)
-
-
-def _line_rows(markup: Column) -> Column:
+def _line_rows(rows: Column) -> Column:
     """Non-empty rows of non-empty cells, each cell an array of lines."""
-    rows = F.transform(
-        row_markup(markup),
-        lambda row: F.filter(_cells(row, cell_lines), lambda cell: F.size(cell) > 0),
-    )
-    return F.filter(rows, lambda row: F.size(row) > 0)
+    return F.filter(F.transform(rows, line_cells), lambda row: F.size(row) > 0)
 
 
-def _text_rows(markup: Column) -> Column:
+def _text_rows(rows: Column) -> Column:
     """Non-empty rows of non-empty cell texts."""
-    rows = F.transform(
-        row_markup(markup),
-        lambda row: F.filter(_cells(row, cell_text), lambda cell: cell != ""),
-    )
-    return F.filter(rows, lambda row: F.size(row) > 0)
+    return F.filter(F.transform(rows, text_cells), lambda row: F.size(row) > 0)
 
 
 def _flat(lines: Column) -> Column:
@@ -155,14 +143,12 @@ def signature_tables(docs: DataFrame) -> DataFrame:
     ``/s/`` or "signature" in their text. ``has_evidence`` tells whether a
     candidate names a signer title.
     """
-    visible = docs.select("doc_id", with_levels(F.col("html")).alias("visible"))
-    spans = visible.select(
+    spans = with_tables(docs).select(
         "doc_id", F.regexp_instr("visible", F.lit(f"({_ANCHOR})")).alias("anchor"),
         F.transform(
-            table_spans(F.col("visible")),
-            lambda s, i: F.struct(
-                i.cast("int").alias("table_no"), s["start"].alias("start"), s["text"].alias("markup"),
-                cell_text(s["text"]).alias("text"),
+            "tables",
+            lambda t, i: F.struct(
+                i.cast("int").alias("table_no"), t["start"].alias("start"), t["rows"].alias("rows"), cell_text(t["markup"]).alias("text"),
             ),
         ).alias("tables"),
     )
@@ -223,27 +209,60 @@ def inferred_pairs(names: Column, titles: Column) -> Column:
     return F.aggregate(_places(titles, lambda t: t.rlike(fixed.SIGNER_TITLE)), F.array().cast(_PAIRS), take)
 
 
-def signer_in_cell(lines: Column) -> Column:
-    """Signer named in a cell: the last valid name, typed lines before ``/s/`` lines."""
+#: What a text that may hold a name stands for.
+_TYPED, _SIGNED, _TITLE = 0, 1, 2
+_CANDIDATES = "array<struct<cell:int,kind:int,at:int,text:string>>"
+_FOUND = "array<struct<cell:int,kind:int,at:int,name:string,canonical:string>>"
+
+
+def _candidates(texts: Column, cell, kind: int) -> Column:
+    return F.transform(
+        texts, lambda t, at: F.struct(F.lit(cell).cast("int").alias("cell"), F.lit(kind).alias("kind"), at.cast("int").alias("at"), t.alias("text"))
+    ).cast(_CANDIDATES)
+
+
+def judged(rows: DataFrame, candidates: Column) -> DataFrame:
+    """``rows`` with ``found``: those of their candidates that are names, as (cell, kind, at, name, canonical).
+
+    Every distinct text is judged once, however many rows bring it up, by plain columns
+    over a table of texts; the verdicts are joined back. Rows are written first, as they are
+    read twice.
+    """
+    held = stage(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_candidates", candidates), "name-candidates")
+    each = exploded(held, ["_row"], F.col("_candidates"), "_pos", "_c").select("_row", "_c.*")
+    texts = each.select("text").distinct()
+    names = exploded(texts, ["text"], F.array_compact(F.array(F.nullif(signature_candidate(F.col("text")), F.lit("")))), "_pos", "name")
+    known = names.select("text", "name", canonical_name(F.col("name")).alias("canonical"))
+    hits = each.join(known, "text").groupBy("_row").agg(F.collect_list(F.struct("cell", "kind", "at", "name", "canonical")).alias("found"))
+    joined = held.drop("_candidates").join(hits, "_row", "left").drop("_row")
+    return joined.withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
+
+
+def cell_candidates(lines: Column, cell: Column) -> Column:
+    """Texts of a cell that may name its signer: typed lines, lines after ``/s/``, and its names where it holds a title."""
     slash = r"(?i)^\s*/s/\s*"
     usable = F.filter(lines, lambda line: ~line.rlike(r"(?iU)\bsignature\b"))
 
-    def names(chosen: Column) -> Column:
-        texts = F.flatten(
-            F.transform(chosen, lambda x: F.concat(F.array(x), F.regexp_extract_all(x, F.lit(NAMES), F.lit(1))))
-        )
-        return F.filter(F.transform(texts, signature_candidate), lambda n: n != "")
+    def texts(chosen: Column) -> Column:
+        return F.flatten(F.transform(chosen, lambda x: F.concat(F.array(x), F.regexp_extract_all(x, F.lit(NAMES), F.lit(1)))))
+
+    typed = texts(F.filter(usable, lambda line: ~line.rlike(slash)))
+    signed = texts(F.transform(F.filter(usable, lambda line: line.rlike(slash)), lambda line: F.regexp_replace(line, slash, "")))
+    titled = let(_flat(lines), lambda t: F.when(t.rlike(fixed.SIGNER_TITLE), name_candidates(t)).otherwise(F.array().cast("array<string>")))
+    return F.concat(_candidates(typed, cell, _TYPED), _candidates(signed, cell, _SIGNED), _candidates(titled, cell, _TITLE))
 
-    typed = names(F.filter(usable, lambda line: ~line.rlike(slash)))
-    signed = names(F.transform(F.filter(usable, lambda line: line.rlike(slash)), lambda line: F.regexp_replace(line, slash, "")))
-    last_typed = F.try_element_at(typed, F.lit(-1))
-    return F.coalesce(last_typed, F.try_element_at(signed, F.lit(-1)), F.lit(""))
+
+def signer_of_cell(found: Column, cell: Column) -> Column:
+    """Signer named in a cell: the last valid name, typed lines before ``/s/`` lines."""
+    own = F.filter(found, lambda f: (f["cell"] == cell) & (f["kind"] != _TITLE))
+    ranked = F.transform(own, lambda f: F.struct((f["kind"] == _TYPED).alias("typed"), f["at"].alias("at"), f["name"].alias("name"), f["canonical"].alias("canonical")))
+    return F.array_max(ranked)
 
 
 def signature_table_edges(tables: DataFrame) -> DataFrame:
     """Signers of the candidate tables with the edge types of their own row's title."""
     one = exploded(tables, ["doc_id"], F.col("tables"), "pos", "t").filter(F.col("t.text").rlike(fixed.SIGNER_TITLE))
-    rows = one.select("doc_id", F.col("t.table_no").alias("table_no"), _line_rows(F.col("t.markup")).alias("rows"))
+    rows = one.select("doc_id", F.col("t.table_no").alias("table_no"), _line_rows(F.col("t.rows")).alias("rows"))
     heads = rows.withColumn("heads", F.transform(F.slice("rows", 1, 3), signature_pairs))
     first = F.get(_places(F.col("heads"), lambda p: F.size(p) > 0), F.lit(0))
     headed = heads.select(
@@ -253,24 +272,22 @@ def signature_table_edges(tables: DataFrame) -> DataFrame:
     data = exploded(headed, ["doc_id", "table_no", "first_row", "header_pairs"], F.col("rows"), "row_no", "cells").filter(
         "row_no >= first_row"
     )
-    read = data.select(
-        "doc_id", "table_no", "row_no", "header_pairs",
-        F.transform("cells", _flat).alias("titles"), F.transform("cells", signer_in_cell).alias("names"),
-    )
-    pairs = F.coalesce("header_pairs", inferred_pairs(F.col("names"), F.col("titles")))
-    read = exploded(read, ["doc_id", "table_no", "row_no", "names", "titles"], pairs, "pair_no", "pair")
+    read = data.select("doc_id", "table_no", "row_no", "header_pairs", "cells", F.transform("cells", _flat).alias("titles"))
+    read = judged(read, F.flatten(F.transform("cells", cell_candidates)))
+    read = read.withColumn("signers", F.transform("cells", lambda c, i: signer_of_cell(F.col("found"), i)))
+    names = F.transform("signers", lambda s: F.coalesce(s["name"], F.lit("")))
+    pairs = F.coalesce("header_pairs", inferred_pairs(names, F.col("titles")))
+    read = exploded(read, ["doc_id", "table_no", "row_no", "signers", "titles", "found"], pairs, "pair_no", "pair")
     signers = read.select(
-        "doc_id", "table_no", "row_no", "pair_no",
-        F.get("names", F.col("pair.signer")).alias("name"), F.get("titles", F.col("pair.title")).alias("title"),
+        "doc_id", "table_no", "row_no", "pair_no", F.get("signers", F.col("pair.signer")).alias("signer"),
+        F.get("titles", F.col("pair.title")).alias("title"),
+        F.filter("found", lambda f: (f["cell"] == F.col("pair.title")) & (f["kind"] == _TITLE)).alias("named"),
     )
-
-    def other_signer(own: Column) -> Column:
-        return F.exists(signature_names(F.col("title")), lambda n: canonical_name(n) != own)
-
-    clear = F.col("title").rlike(fixed.SIGNER_TITLE) & (F.col("name") != "")
-    kinds = F.when(clear & ~let(canonical_name(F.col("name")), other_signer), signer_title_edges(F.col("title")))
+    other = F.exists("named", lambda f: f["canonical"] != F.col("signer.canonical"))
+    clear = F.col("title").rlike(fixed.SIGNER_TITLE) & F.col("signer").isNotNull()
+    kinds = F.when(clear & ~other, signer_title_edges(F.col("title")))
     places = ["table_no", "row_no", "pair_no"]
-    edges = exploded(signers, ["doc_id", "name", *places], kinds, "edge_no", "relationship_type")
+    edges = exploded(signers, ["doc_id", F.col("signer.name").alias("name"), *places], kinds, "edge_no", "relationship_type")
     return edges.select(
         "doc_id", "name", "relationship_type", F.lit("signature_table").alias("source"),
         F.array("table_no", "row_no", "pair_no", "edge_no").alias("pos"),
@@ -280,6 +297,10 @@ def signature_table_edges(tables: DataFrame) -> DataFrame:
 # --- signature free text -----------------------------------------------------
 
 
+def _placed_name(found: Column) -> Column:
+    return F.struct(found["at"].alias("at"), found["name"].alias("name"))
+
+
 def signature_text_edges(sections: DataFrame) -> DataFrame:
     """Signers in free text: the nearest name before each title, else after it.
 
@@ -301,10 +322,11 @@ def signature_text_edges(sections: DataFrame) -> DataFrame:
         char_slice(text, end, until).alias("after"),
         char_slice(text, start, context_end).alias("title"),
     )
-    named = near.select(
+    texts = F.concat(_candidates(name_candidates(F.col("before")), 0, _TYPED), _candidates(name_candidates(F.col("after")), 1, _TYPED))
+    named = judged(near, texts).select(
         "doc_id", "title_no", "before", "title",
-        F.try_element_at(signature_names(F.col("before")), F.lit(-1)).alias("behind"),
-        F.get(signature_names(F.col("after")), F.lit(0)).alias("ahead"),
+        F.array_max(F.transform(F.filter("found", lambda f: f["cell"] == 0), _placed_name))["name"].alias("behind"),
+        F.array_min(F.transform(F.filter("found", lambda f: f["cell"] == 1), _placed_name))["name"].alias("ahead"),
     )
     crossed = F.expr("substring_index(before, behind, -1)")
     chosen = F.when(F.col("behind").isNotNull() & ~crossed.rlike(fixed.SIGNER_TITLE), F.col("behind")).otherwise(F.col("ahead"))
@@ -363,9 +385,8 @@ def officers(texts: DataFrame, source: str = "item_10") -> DataFrame:
 
 
 def _tables_with_rows(docs: DataFrame) -> DataFrame:
-    visible = docs.select("doc_id", with_levels(F.col("html")).alias("visible"))
-    tables = exploded(visible, ["doc_id"], F.transform(table_spans(F.col("visible")), lambda s: s["text"]), "table_no", "markup")
-    return tables.select("doc_id", "table_no", cell_text(F.col("markup")).alias("table_text"), _text_rows(F.col("markup")).alias("rows"))
+    tables = html_tables(docs)
+    return tables.select("doc_id", "table_no", cell_text(F.col("markup")).alias("table_text"), _text_rows(F.col("rows")).alias("rows"))
 
 
 def _named_rows(tables: DataFrame, header_test, last: bool) -> DataFrame:

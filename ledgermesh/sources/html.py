@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ledgermesh.functions.text import clean_text, exploded, header_label, let, normalize_ticker
+from ledgermesh.functions.text import clean_text, exploded, header_label, normalize_ticker
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>"
 #: A tag; a quoted attribute value may hold ">".
 TAG = r"""(?s)<(?:[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 #: Named entities by the code point they stand for, the standard set of Python's library.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
-_TABLE_TAG = r"(?i)^(</?)(table|tr|t[hd])\b"
 _REST_OF_TAG = r"""\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
 
 
@@ -49,115 +53,140 @@ def cell_lines(cell: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r\n|[\r\n]"), clean_text), lambda line: line != "")
 
 
+#: An opening tag as a whole, and the level that a tag carries in levelled markup.
+_WHOLE_TAG = re.compile(r"<[^#>]*#\d+" + _REST_OF_TAG, re.ASCII)
+_STRUCTURE_TAG = re.compile(r"(</?)(table|tr|t[hd])\b", re.ASCII | re.IGNORECASE)
+_TABLE_END = re.compile(r"</table#\d+\s*>", re.ASCII | re.IGNORECASE)
+TABLE = StructType([
+    StructField("start", IntegerType()), StructField("markup", StringType()), StructField("rows", ArrayType(ArrayType(StringType()))),
+])
+_TABLE_ARROW = pa.struct([("start", pa.int32()), ("markup", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))])
+
+
+def _levelled(visible: str) -> tuple[str, list[tuple[int, str, bool, int]]]:
+    """Markup whose table, row and cell tags tell how many tables they are in, and these tags: (place, kind, closing, level)."""
+    parts, tags, level, at, size = [], [], 0, 0, 0
+    for found in _STRUCTURE_TAG.finditer(visible):
+        closing, kind = found[1] == "</", found[2].lower()[:2]
+        if kind == "ta":
+            level = max(level + (-1 if closing else 1), 0)
+        own = level + (kind == "ta" and closing)
+        before, mark = visible[at : found.end()], f"#{own}"
+        tags.append((size + len(before) - len(found[0]), kind, closing, own))
+        parts += [before, mark]
+        size += len(before) + len(mark)
+        at = found.end()
+    return "".join([*parts, visible[at:]]), tags
+
+
+def _tables(markup: str, tags: list[tuple[int, str, bool, int]]) -> list[dict]:
+    """Every table with the cells of its rows, in one pass over the tags with the elements that are open at each level.
+
+    A table ends at its own closing tag. A row or cell ends at the next tag of a row (or
+    cell) of its own level, and with its table. Rows of nested tables are rows of the outer
+    one too, and so are cells.
+    """
+    whole: dict[str, list[list[int]]] = {"ta": [], "tr": [], "tc": []}
+    open_: dict[tuple[str, int], list[int]] = {}
+
+    def end(kind: str, level: int, at: int) -> None:
+        element = open_.pop((kind, level), None)
+        if element:
+            element[1] = at
+
+    for at, tag, closing, level in tags:
+        kind = "tc" if tag in ("td", "th") else tag
+        if kind == "ta" and closing:
+            ended = _TABLE_END.match(markup, at)
+            if ended:
+                end("ta", level, ended.end())
+        if kind != "ta" or closing:
+            end("tc", level, at)
+            if kind != "tc":
+                end("tr", level, at)
+        if not closing and (kind, level) not in open_:
+            open_[kind, level] = element = [at, len(markup)]
+            whole[kind].append(element)
+    row_starts, cell_starts = ([e[0] for e in whole[k]] for k in ("tr", "tc"))
+
+    def inside(elements: list[list[int]], starts: list[int], low: int, high: int) -> Iterator[tuple[int, int]]:
+        """Content of the elements that begin between two places; a tag that is cut off begins none."""
+        for start, stop in elements[bisect_left(starts, low) : bisect_left(starts, high)]:
+            stop = min(stop, high)
+            tag = _WHOLE_TAG.match(markup, start, stop)
+            if tag:
+                yield tag.end(), stop
+
+    return [
+        {"start": start, "markup": markup[start:stop], "rows": [
+            [markup[a:b] for a, b in inside(whole["tc"], cell_starts, low, high)]
+            for low, high in inside(whole["tr"], row_starts, start, stop)
+        ]}
+        for start, stop in whole["ta"]
+    ]
+
+
+def _visible(html: Column) -> Column:
+    return F.regexp_replace(html, HIDDEN, " ")
+
+
+@F.arrow_udf(StringType())
+def _marked(visible: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else _levelled(v)[0] if "<table" in v.lower() else v for v in visible.to_pylist()], pa.string())
+
+
 def with_levels(html: Column) -> Column:
     """Visible markup whose table, row and cell tags tell how many tables they are in, as in ``<tr#2>``.
 
     With the level in the tag, an element ends at its own closing tag, whatever it holds.
     """
-    pieces = F.split(F.regexp_replace(html, HIDDEN, " "), r"(?i)(?=</?(?:table|tr|t[hd])\b)")
-
-    def step(piece: Column) -> Column:
-        name = F.lower(F.regexp_extract(piece, _TABLE_TAG, 0))
-        return F.when(name == "<table", 1).when(name == "</table", -1).otherwise(0)
-
-    def levels(steps: Column) -> Column:
-        def add(acc: Column, by: Column) -> Column:
-            return F.concat(acc, F.array(F.greatest(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + by, F.lit(0))))
-
-        return F.aggregate(steps, F.array().cast("array<int>"), add)
-
-    def mark(both: Column) -> Column:
-        closing = F.when(step(both["piece"]) < 0, 1).otherwise(0)
-        to = F.concat(F.lit("$1$2#"), (both["level"] + closing).cast("string"))
-        return F.regexp_replace(both["piece"], F.lit(_TABLE_TAG), to)
+    return _marked(_visible(html))
 
-    def marked(pieces: Column) -> Column:
-        level = levels(F.transform(pieces, step))
-        both = F.zip_with(pieces, level, lambda p, n: F.struct(p.alias("piece"), n.alias("level")))
-        return F.array_join(F.transform(both, mark), "")
 
-    return F.when(html.rlike(r"(?i)<table\b"), let(pieces, marked)).otherwise(F.array_join(pieces, ""))
+def with_tables(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
+    """One row per document: (doc, visible, tables), visible as by ``with_levels``.
 
-
-def _elements(markup: Column, opening: str, content) -> Column:
-    """(start, text) of the elements of all levels that open with ``opening``, in the order of the document.
-
-    Elements of one level come in order, and their start is then left at 0.
+    ``tables`` has (start, markup, rows) of every table, nested ones after the table they
+    are in; rows hold the markup of their cells. The nesting of tags needs a stack, which
+    no built-in expression has, so the tags are read once in Arrow batches; what the cells
+    say is worked out by column expressions.
     """
-    told = F.transform(F.regexp_extract_all(markup, F.lit(rf"(?i)<(?:{opening})#(\d+)"), F.lit(1)), lambda n: n.cast("int"))
-
-    def texts(level: Column) -> Column:
-        pattern = F.concat(F.lit("("), content(level.cast("string")), F.lit(")"))
-        return F.regexp_extract_all(markup, pattern, F.lit(1))
-
-    def placed(level: Column) -> Column:
-        gaps = F.split(markup, content(level.cast("string")), -1)
-
-        def start(_: Column, k: Column) -> Column:
-            before = F.aggregate(F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda n, g: n + F.length(g))
-            return F.aggregate(F.slice(texts(level), F.lit(1), k), before, lambda n, t: n + F.length(t))
-
-        return F.transform(texts(level), lambda t, k: F.struct(start(t, k).alias("start"), t.alias("text")))
+    schema = StructType([StructField(doc, df.schema[doc].dataType), StructField("visible", StringType()), StructField("tables", ArrayType(TABLE))])
 
-    def all_levels(levels: Column) -> Column:
-        alone = F.transform(texts(levels[0]), lambda t: F.struct(F.lit(0).alias("start"), t.alias("text")))
-        return F.when(F.size(levels) == 1, alone).otherwise(F.array_sort(F.flatten(F.transform(levels, placed))))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                texts, tables = [], []
+                for visible in some.column(1).to_pylist():
+                    visible = visible or ""
+                    markup, tags = _levelled(visible) if "<table" in visible.lower() else (visible, [])
+                    texts.append(markup)
+                    tables.append(_tables(markup, tags))
+                columns = [some.column(0), pa.array(texts, pa.string()), pa.array(tables, pa.list_(_TABLE_ARROW))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return let(F.array_distinct(told), lambda levels: F.when(F.size(levels) > 0, all_levels(levels)).otherwise(
-        F.array().cast("array<struct<start:int,text:string>>")
-    ))
+    return df.select(doc, _visible(F.col(html)).alias("visible")).mapInArrow(read, schema)
 
 
-def table_spans(marked: Column) -> Column:
-    """(start, text) of every table, nested ones after the table they are in."""
-
-    def content(n: Column) -> Column:
-        return F.concat(F.lit(r"(?is)<table#"), n, F.lit(r"\b.*?(?:</table#"), n, F.lit(r"\s*>|\z)"))
-
-    def start(t: Column, k: Column) -> Column:  # the table's own place: that of its k-th opening tag
-        return F.aggregate(
-            F.slice(F.split(marked, r"(?i)(?=<table#)", -1), F.lit(1), k), F.lit(0), lambda n, g: n + F.length(g)
-        )
-
-    found = _elements(marked, "table", content)
-    # Every piece after the first begins with a table; tables are numbered in the order of their opening tags.
-    first = F.when(F.rlike(marked, F.lit(r"(?is)\A<table#")), 0).otherwise(1)
-    return F.transform(found, lambda e, k: F.struct(start(e, k + first).alias("start"), e["text"].alias("text")))
-
-
-def _inner(markup: Column, opening: str, ends: list[str]) -> Column:
-    def content(n: Column) -> Column:
-        stops = [part for end in ends for part in (F.lit(f"{end}#"), n, F.lit(r"\b|"))]
-        return F.concat(F.lit(rf"(?is)<(?:{opening})#"), n, F.lit(_REST_OF_TAG + ".*?(?="), *stops, F.lit(r"\z)"))
-
-    return F.transform(
-        _elements(markup, opening, content), lambda e: F.regexp_replace(e["text"], r"(?s)\A<[^#>]*#\d+" + _REST_OF_TAG, "")
-    )
-
-
-def row_markup(table: Column) -> Column:
-    """Content of all rows of a table, rows of nested tables included."""
-    return _inner(table, "tr", ["</?tr", "</table"])
-
-
-def cell_markup(row: Column) -> Column:
-    """Content of all cells of a row, cells of nested tables included."""
-    return _inner(row, "t[hd]", ["</?t[hd]", "</?tr", "</table"])
+def html_tables(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
+    """One row per table: (doc, table_no, start, markup, rows); comments are dropped."""
+    spans = exploded(with_tables(df, doc, html), [doc], F.col("tables"), "table_no", "_table")
+    return spans.select(doc, "table_no", *[F.col(f"_table.{f}").alias(f) for f in TABLE.names])
 
 
-def html_tables(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
-    """One row per table: (doc, table_no, start, markup); comments are dropped."""
-    marked = df.select(doc, with_levels(F.col(html)).alias("_html"))
-    spans = exploded(marked, [doc], table_spans(F.col("_html")), "table_no", "_span")
-    return spans.select(doc, "table_no", F.col("_span.start").alias("start"), F.col("_span.text").alias("markup"))
+def text_cells(row: Column) -> Column:
+    """Cleaned, non-empty cells of a row."""
+    return F.filter(F.transform(row, cell_text), lambda c: c != "")
 
 
-def _cells(markup: Column, each) -> Column:
-    return F.transform(cell_markup(markup), each)
+def line_cells(row: Column) -> Column:
+    """Cells of a row as arrays of lines, empty cells left out."""
+    return F.filter(F.transform(row, cell_lines), lambda c: F.size(c) > 0)
 
 
-def _markup_rows(tables: DataFrame, doc: str) -> DataFrame:
-    return exploded(tables, [doc, "table_no"], row_markup(F.col("markup")), "row_no", "_row")
+def _rows(tables: DataFrame, doc: str) -> DataFrame:
+    return exploded(tables, [doc, "table_no"], F.col("rows"), "row_no", "_row")
 
 
 def _filled(rows: DataFrame, doc: str, cells: Column) -> DataFrame:
@@ -168,8 +197,7 @@ def _filled(rows: DataFrame, doc: str, cells: Column) -> DataFrame:
 
 def table_rows(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows of cleaned, non-empty cells; rows without any are left out."""
-    cells = F.filter(_cells(F.col("_row"), cell_text), lambda c: c != "")
-    return _filled(_markup_rows(tables, doc), doc, cells)
+    return _filled(_rows(tables, doc), doc, text_cells(F.col("_row")))
 
 
 def html_table_rows(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
@@ -178,8 +206,7 @@ def html_table_rows(df: DataFrame, doc: str = "doc_id", html: str = "html") -> D
 
 def table_cell_lines(tables: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Rows whose cells are arrays of lines; empty cells and rows are left out."""
-    cells = F.filter(_cells(F.col("_row"), cell_lines), lambda c: F.size(c) > 0)
-    return _filled(_markup_rows(tables, doc), doc, cells)
+    return _filled(_rows(tables, doc), doc, line_cells(F.col("_row")))
 
 
 def html_table_cell_lines(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
@@ -188,8 +215,7 @@ def html_table_cell_lines(df: DataFrame, doc: str = "doc_id", html: str = "html"
 
 def all_table_rows(df: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
     """Rows with every cell in place, empty ones included."""
-    rows = _markup_rows(html_tables(df, doc, html), doc)
-    return rows.select(doc, "table_no", "row_no", _cells(F.col("_row"), cell_text).alias("cells"))
+    return _rows(html_tables(df, doc, html), doc).select(doc, "table_no", "row_no", F.transform("_row", cell_text).alias("cells"))
 
 
 def constituents_from_html(
