@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.operators import market as m
 from ledgermesh.schemas import FAILURES, MARKET_PRICES, MARKET_SNAPSHOT
+from ledgermesh.streaming import prices
 from ledgermesh.streaming.prices import run_incremental
 
 DAY = dt.date(2024, 1, 1)
@@ -101,3 +102,66 @@ def test_stream_matches_batch_and_replay(spark, tmp_path):
     late.write.mode("append").parquet(source)  # the same bars arrive again
     run_incremental(spark, source, state, buckets=4)
     assert rows(spark.read.parquet(f"{state}/prices")) == rows(expected)
+
+
+def test_log_is_read_before_and_after_compaction(spark, tmp_path):
+    """A batch writes its own rows only; readers see it at once, compaction changes nothing that they see, and neither does a replay."""
+    state, seq = str(tmp_path / "state"), F.lit(1).cast("long")
+    batches = [bars(spark, "HOT", 260), bars(spark, "AAA", 40).unionByName(bars(spark, "BBB", 5)), bars(spark, "HOT", 7, base=300.0, first=258)]
+    batches = [b.withColumn("seq", seq) for b in batches]
+    batches[1] = batches[1].unionByName(bars(spark, "AAA", 1, base=500.0, first=39).withColumn("seq", F.lit(2).cast("long")))
+
+    def rows(df):
+        return sorted((r.ticker, r.trade_date, r.close) for r in df.collect())
+
+    def shown(df):
+        return sorted((r.ticker, r.as_of_date, r.close, r.return_30d) for r in df.collect())
+
+    expected = None
+    for number, batch in enumerate(batches):
+        prices.append_bars(batch, state, number, buckets=4)
+        assert spark.read.parquet(f"{state}/log/batch={number}").count() == [260, 45, 7][number]
+        expected = m.upsert_prices(batch.drop("seq").limit(0) if expected is None else expected, batch)
+        seen, seen_snapshot = rows(prices.current_prices(spark, state)), shown(prices.current_snapshot(spark, state, at("2024-06-01")))
+        assert seen == rows(m.prune_prices(expected)) and seen_snapshot == shown(m.snapshot(expected))
+        if number == 1:
+            prices.compact(spark, state, at("2024-06-01"), buckets=4)
+            assert prices.logged_batches(spark, state) == []
+            assert rows(prices.current_prices(spark, state)) == seen and shown(prices.current_snapshot(spark, state, at("2024-06-01"))) == seen_snapshot
+    prices.append_bars(batches[2], state, 2, buckets=4)  # the batch is replayed
+    assert prices.logged_batches(spark, state) == [2]
+    for _ in range(2):
+        assert rows(prices.current_prices(spark, state)) == seen
+        prices.compact(spark, state, at("2024-06-01"), buckets=4)
+    prices.append_bars(batches[2], state, 2, buckets=4)  # and once more, after its compaction
+    prices.compact(spark, state, at("2024-06-01"), buckets=4)
+    assert rows(spark.read.parquet(f"{state}/prices")) == seen and shown(spark.read.parquet(f"{state}/snapshot")) == seen_snapshot
+
+
+def test_a_broken_compaction_is_made_good(spark, tmp_path, monkeypatch):
+    state, seq = str(tmp_path / "state"), F.lit(1).cast("long")
+    prices.append_bars(bars(spark, "AAA", 40).withColumn("seq", seq), state, 0, buckets=4)
+    prices.append_bars(bars(spark, "AAA", 3, base=700.0, first=38).withColumn("seq", seq), state, 1, buckets=4)
+    before = sorted(map(tuple, prices.current_prices(spark, state).collect()))
+    with monkeypatch.context() as broken:
+        broken.setattr(prices, "merge_snapshot", lambda *_: 1 / 0)  # prices are written, the snapshot is not
+        with pytest.raises(ZeroDivisionError):
+            prices.compact(spark, state, at("2024-06-01"), buckets=4)
+    assert prices.logged_batches(spark, state) == [0, 1]
+    assert sorted(map(tuple, prices.current_prices(spark, state).collect())) == before
+    prices.compact(spark, state, at("2024-06-01"), buckets=4)
+    assert sorted(map(tuple, prices.current_prices(spark, state).collect())) == before
+    assert spark.read.parquet(f"{state}/snapshot").first().close == 740.0
+
+
+@pytest.mark.parametrize("every", [None, 1, 2])
+def test_stream_of_several_batches(spark, tmp_path, every):
+    source, state, expected = str(tmp_path / "in"), str(tmp_path / "state"), None
+    for k in range(3):
+        batch = bars(spark, "AAA", 20, base=100.0 * (k + 1), first=10 * k).withColumn("seq", F.lit(1).cast("long"))
+        batch.coalesce(1).write.mode("append").parquet(source)
+        expected = m.upsert_prices(batch.drop("seq").limit(0) if expected is None else expected, batch)
+        if k != 1:
+            run_incremental(spark, source, state, buckets=4, files_per_batch=1, compact_every=every)
+    got = sorted((r.trade_date, r.close) for r in spark.read.parquet(f"{state}/prices").collect())
+    assert got == sorted((r.trade_date, r.close) for r in expected.collect()) and prices.logged_batches(spark, state) == []
