@@ -23,6 +23,7 @@ LED_ARROW = STRETCH_ARROW.append(pa.field("lead", pa.int32()))
 LED = f"{STRETCH}, lead int"
 #: Distinct stretches of an anchor in one task. By measured memory: 1,024 near copies of one passage are what one task may hold, see the README.
 BUCKET = 1024
+_CUTS = 8  # ranges that the windows of a hot anchor are dealt into, and each of them again
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BATCH = 1 << 20  # bytes hashed at once
@@ -191,8 +192,8 @@ REPEAT_ARROW = pa.schema([
     ("inner", pa.int64()), ("length", pa.int32()), ("repeat_id", pa.int64()),
 ])
 REPEAT = "anchor long, content long, n long, doc_id long, row long, at long, inner long, length int, repeat_id long"
-WINDOW_ARROW = pa.schema([*[f for f in CUT_ARROW if f.name != "bytes"], ("inner", pa.int64()), ("window", pa.binary())])
-WINDOW = "anchor long, content long, n long, doc_id long, row long, at long, inner long, window binary"
+PIECE_ARROW = CUT_ARROW.append(pa.field("pin", pa.int32()))
+PIECE = f"{CUT}, pin int"
 
 
 def _repeats_of(group: list[tuple], window: int) -> Iterator[tuple]:
@@ -264,15 +265,37 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches_of_rows(each(), CUT_ARROW, 4096)
 
 
-def _windows(window: int):
+def _pin(data: bytes, window: int, gram: int) -> int:
+    """Place of the anchor in a stretch: that of its first window, and so of all."""
+    hashes = _gram_hashes(np.frombuffer(data, np.uint8, window), gram)
+    return int((hashes >> np.uint64(32)).argmin())
+
+
+def _pieces(window: int, gram: int, width: int):
+    """Stretches cut at the same distances from their anchors: pieces that can share a window stay together.
+
+    A window begins some bytes before the anchor, fewer than ``window - gram + 1``. Windows
+    are dealt by that distance into ranges of ``width``; all windows of a range have the
+    bytes in their middle in common, so equal windows lie in pieces of one range with equal
+    middles, which become the new key.
+    ``pin`` is the place of the anchor in a piece, null in a whole stretch.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
+            digest = xxhash.xxh3_64_intdigest
             for batch in batches:
-                for anchor, content, data, *place in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    for k in range(len(data) - window + 1):
-                        yield anchor, content, *place, k, xxhash.xxh3_128_digest(data[k : k + window])
-
-        yield from batches_of_rows(each(), WINDOW_ARROW, 65_536)
+                for anchor, _, data, n, doc, row, at, pin in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    pin = _pin(data, window, gram) if pin is None else pin
+                    least, most = max(0, pin - (len(data) - window)), pin  # distances of the last and the first window
+                    for k in range(least // width, most // width + 1):
+                        start, stop = pin - min(most, (k + 1) * width - 1), pin - max(least, k * width) + window
+                        middle = data[pin - k * width : pin - (k + 1) * width + 1 + window]
+                        piece = data[start:stop]
+                        key = digest(b"%d %d %d " % (anchor, width, k) + middle)
+                        yield _signed(key), _signed(digest(piece)), piece, n, doc, row, at + start, pin - start
+
+        yield from batches_of_rows(each(), PIECE_ARROW, 4096)
 
     return rows
 
@@ -508,22 +531,32 @@ def _repeats(docs: DataFrame, window: int, gram: int, bucket: int) -> tuple[Data
     )
     one = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")))
     cut = stage(one.select("doc_id", "row", "bytes", "cuts").mapInArrow(_cut, CUT), "stretch-bytes")
-    few = anchors.filter(F.col("kinds") <= bucket).select("anchor")
+    copies = stage(kinds.filter("n > 1").select("anchor", "content"), "stretch-copies")
+    trees, hot = _grouped(cut.withColumn("pin", F.lit(None).cast("int")), anchors, window, bucket)
+    width = window - gram + 1
+    while width > 1 and not hot.isEmpty():
+        width = -(-width // _CUTS)
+        pieces = stage(hot.select(*PIECE_ARROW.names).mapInArrow(_pieces(window, gram, width), PIECE), "pieces")
+        first = F.min(F.struct("doc_id", "row", "at", "pin")).alias("first")
+        kinds = stage(pieces.groupBy("anchor", "content").agg(F.sum("n").alias("n"), first, F.first("bytes").alias("bytes")), "piece-kinds")
+        twice = kinds.filter("n > 1").select("anchor", "content")
+        whole = pieces.filter("n = 1").join(twice, ["anchor", "content"], "left_semi").select(
+            *REPEAT_ARROW.names[:6], F.lit(0).cast("long").alias("inner"), F.octet_length("bytes").alias("length"), F.col("content").alias("repeat_id")
+        )
+        anchors = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "piece-anchors")
+        inside, hot = _grouped(kinds.select("anchor", "content", "bytes", "n", "first.*"), anchors, window, bucket)
+        trees = trees.unionByName(whole).unionByName(inside)
+    return live, copies, trees
+
+
+def _grouped(cut: DataFrame, anchors: DataFrame, window: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Repeats inside the distinct pieces of each anchor that one task holds, and the pieces of the other anchors."""
+    few, many = (anchors.filter(c).select("anchor") for c in (F.col("kinds") <= bucket, F.col("kinds") > bucket))
     trees = (
         cut.join(few, "anchor", "left_semi").select(*CUT_ARROW.names).repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(_tree(window), REPEAT)
     )
-    many = anchors.filter(F.col("kinds") > bucket).select("anchor")
-    spread = stage(
-        cut.join(many, "anchor", "left_semi").select(*CUT_ARROW.names).mapInArrow(_windows(window), WINDOW), "windows"
-    )
-    repeated = stage(spread.groupBy("window").agg(F.count("*").alias("m")).filter("m > 1").select("window"), "windows-twice")
-    asked = spread.filter("n = 1")
-    single = asked.join(repeated, "window", "left_semi").select(
-        *[n for n in REPEAT_ARROW.names[:7]], F.lit(window).alias("length"), F.xxhash64("window").alias("repeat_id")
-    )
-    copies = stage(kinds.filter("n > 1").select("anchor", "content"), "stretch-copies")
-    return live, copies, trees.unionByName(single)
+    return trees, stage(cut.join(many, "anchor", "left_semi"), "hot-pieces")
 
 
 KEPT_ARROW = pa.schema([
@@ -570,8 +603,10 @@ def without_repeats(docs: DataFrame, window: int = 400, gram: int = 64, bucket:
     Windows meet under their anchors as in ``repeats``. A stretch found twice is removed as
     a whole; among distinct stretches of one anchor, one copy of each is brought together
     and the repeats are cut off at the ends of the stretches, which covers the same bytes.
-    The windows of an anchor with more than ``bucket`` distinct stretches are spread by
-    content instead, and those found twice are removed.
+    Where an anchor has more than ``bucket`` distinct stretches, all are cut at the same
+    distances from the anchor, and pieces meet that agree in their middle; equal pieces are
+    folded, and groups that are still too large are cut again, down to single windows. So
+    rows grow with distinct pieces, and every group is searched in the same way.
 
     A null text is empty; texts shorter than ``window`` keep all their bytes. Repeated rows
     are other places, so long texts that occur in two rows go entirely. Null doc_ids are
