@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.common import WORD, running_totals, stage, text_of
@@ -21,23 +21,23 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
     ``share`` times all sizes; a target stops at ``cap`` times its source's size and the
     excess goes to the others by weight. Sorted by the level at which each is full, the
     common level is the first that leaves its own source and all later ones below the cap.
+    Turns and the sums of all earlier sources are running totals over a range partitioning,
+    so sources may be as many as documents.
     """
-    turn = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    full = sources.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
-    full = full.withColumn("full_at", F.col("most") / F.col("weight"))
-    order = [F.asc("full_at"), F.asc_nulls_last("source")]
-    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(earlier), F.lit(0.0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
-    )
-    full = full.withColumn("level", level)
-    common = F.min_by(F.when(F.col("level") <= F.col("full_at"), F.col("level")),
-                      F.when(F.col("level") <= F.col("full_at"), F.col("full_at"))).over(every)
-    return full.withColumn("common", common).select(
-        "source", "source_size", F.least(F.col("most"), F.coalesce(F.col("common") * F.col("weight"), F.col("most"))).alias("target")
-    )
+    first = F.asc_nulls_last("source")
+    turn = running_totals(sources.withColumn("_one", F.lit(1)), [first], {"_turn": "_one"}, "mix-turns").drop("_one")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_turn") % len(weights) + 1).cast("int"))
+    full = turn.withColumn("weight", weight.cast(EXACT)).withColumn("most", (cap * F.col("source_size")).cast(EXACT)).drop("_turn")
+    full = stage(full.withColumn("full_at", F.col("most").cast("double") / F.col("weight").cast("double")), "mix-levels")
+    every = full.agg(F.sum("source_size").alias("size"), F.sum("weight").cast("double").alias("weight")).first()  # one row
+    placed = running_totals(full, [F.asc("full_at"), first], {"_most": "most", "_weight": "weight"}, "mix-filling")
+    left = F.lit(float(share * (every["size"] or 0))) - F.col("_most").cast("double")
+    level = left / (F.lit(float(every["weight"] or 0)) - F.col("_weight").cast("double"))
+    fits = placed.withColumn("level", level).filter(F.col("level") <= F.col("full_at"))
+    common = fits.agg(F.max("level")).first()[0]  # from the first source that fits on, levels only fall; null where all are full
+    goal = F.col("most").cast("double")
+    goal = goal if common is None else F.least(goal, F.lit(common) * F.col("weight").cast("double"))
+    return full.select("source", "source_size", goal.alias("target"))
 
 
 def _rate(cap: float) -> Column:
@@ -46,19 +46,21 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("target") >= F.col("most"), F.lit(cap)).when(F.col("size") == 0, F.lit(cap / 2)).otherwise(tilted)
 
 
-def solve_dual(bins: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
+def solve_dual(bins: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-7, rounds: int = 100) -> DataFrame:
     """One multiplier per source, by Newton's method on the convex dual.
 
     Each round is one pass over the (source, size, n) bins: the tokens a multiplier gives
-    and their derivative. A step that leaves the bracket known so far is halved, so the
-    rounds always close in. Each round is written to the shared folder.
+    and their derivative. A step that leaves the bracket known so far is halved, and so is
+    the bracket in every fourth round, so the rounds always close in. A source is done when
+    its tokens are near the target, or its multiplier can change no more. An error where
+    ``rounds`` do not suffice. Each round is written to the shared folder.
     """
     state = stage(
         sources.withColumns({
             "most": cap * F.col("source_size"), "dual": F.lit(0.0), "low": F.lit(-1e4), "high": F.lit(1e4),
             "mean_size": F.greatest(F.lit(1.0), F.col("source_size") / F.col("n_docs")),
         }), "mix-dual")
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         known = bins.join(state, bins["source"].eqNullSafe(state["source"])).drop(bins["source"])
         rate = _rate(cap)
         slope = F.col("size") / F.col("mean_size") * rate * (1 - rate / cap)
@@ -71,8 +73,11 @@ def solve_dual(bins: DataFrame, sources: DataFrame, cap: float, tolerance: float
         low = F.when(off < 0, F.col("dual")).otherwise(F.col("low"))
         high = F.when(off > 0, F.col("dual")).otherwise(F.col("high"))
         newton = F.col("dual") - off / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
-        done = (F.col("target") >= F.col("most")) | (F.abs(off) <= tolerance * F.greatest(F.lit(1.0), F.col("target")))
+        inside = (F.col("slope") > 0) & (newton > low) & (newton < high) & F.lit(turn % 4 > 0)
+        done = (
+            (F.col("target") >= F.col("most")) | (F.abs(off) <= tolerance * F.greatest(F.lit(1.0), F.col("target")))
+            | (high - low <= 1e-12 * (1 + F.abs("dual")))
+        )
         state = stage(both.select(
             "source", "source_size", "n_docs", "target", "most", "mean_size",
             F.when(done, F.col("dual")).when(inside, newton).otherwise((low + high) / 2).alias("dual"),
@@ -81,6 +86,8 @@ def solve_dual(bins: DataFrame, sources: DataFrame, cap: float, tolerance: float
         if state.filter("not done").isEmpty():
             break
         state = state.drop("done")
+    else:
+        raise ValueError(f"the multipliers of some sources are not found in {rounds} rounds")
     return state.select("source", "source_size", "target", "most", "mean_size", "dual")
 
 

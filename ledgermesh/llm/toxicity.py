@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -90,8 +92,10 @@ def matches(lexicon: Lexicon, folded: str) -> list[tuple[int, int, float, str]]:
         elif start not in at or weight > at[start][2]:
             at[start] = (start, end, weight, term)
     found = list(at.values())
-    if excused:
-        found = [m for m in found if not any(s <= m[0] and m[1] <= e for s, e in excused)]
+    if excused:  # the farthest end of the phrases that begin up to a match tells whether one of them holds it
+        excused.sort()
+        starts, ends = [s for s, _ in excused], list(accumulate((e for _, e in excused), max))
+        found = [m for m in found if not (k := bisect_right(starts, m[0])) or ends[k - 1] < m[1]]
     return found
 
 
@@ -182,14 +186,20 @@ def _count_terms(shortest: int, longest: int):
 
 
 def _phrases_of(lexicon: Lexicon, text: str) -> set[str]:
+    """Two-word phrases around the matches of a text; only the words next to a match are looked at."""
     folded, found = fold(text), set()
     for start, end, _, _ in matches(lexicon, folded):
         end = folded.index(" ", max(end, start + 1))
-        before, after = folded[:start].rstrip(), folded[end:].lstrip()
-        if before.strip():
-            found.add(f" {before.split(' ')[-1]}{folded[start:end + 1]}")
-        if after.strip():
-            found.add(f"{folded[start:end + 1]}{after.split(' ', 1)[0]} ")
+        low, high = start, end
+        while low and folded[low - 1].isspace():
+            low -= 1
+        while high < len(folded) and folded[high].isspace():
+            high += 1
+        if low:
+            found.add(f" {folded[folded.rfind(' ', 0, low) + 1 : low]}{folded[start : end + 1]}")
+        if high < len(folded):
+            stop = folded.find(" ", high)
+            found.add(f"{folded[start : end + 1]}{folded[high : stop if stop >= 0 else len(folded)]} ")
     return found
 
 

@@ -17,7 +17,9 @@ from ledgermesh.llm.common import batches_of_rows, stage, text_of
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/\d\.\d+\r?\n")
+_VERSION_LINE = re.compile(rb"(?<=\n)WARC/\d\.\d+\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
+_INFLATED = 1 << 16  # compressed bytes taken at once
 READ = (
     "path string, offset long, length long, kind string, reason string, warc_type string, record_id string, target_uri string, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -36,7 +38,10 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", file_records: int = 2000) -> None:
+def write_archives(
+    pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", file_records: int = 2000,
+    file_bytes: int = 1 << 27,
+) -> None:
     """Writes one WARC/1.1 record per row of ``pages`` (page_id, url, html) to files under ``path``.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the largest
@@ -76,7 +81,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         )).otherwise(F.lit("")),
         F.lit(f"{END}Content-Length: "), F.octet_length("body").cast("string"), F.lit(END + END), F.col("body"),
     )
-    joined.select(record.alias("value")).write.option("lineSep", END * 2).option("maxRecordsPerFile", file_records).text(path)
+    size = F.octet_length("html")
+    short, longest = file_bytes // file_records, rows.agg(F.max(size)).first()[0] or 0
+    parts = [(joined.filter(size <= short), file_records)]
+    if longest > short:
+        parts.append((joined.filter(size > short), max(1, file_bytes // longest)))
+    for some, most in parts:
+        written = some.select(record.alias("value")).write.mode("append").option("lineSep", END * 2)
+        written.option("maxRecordsPerFile", most).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -93,13 +105,36 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _plain_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+class _Places:
+    """Next places of what the reader looks for, each byte searched once per pattern as the reader moves on."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.known: dict[object, int] = {}
+
+    def after(self, pattern: bytes | re.Pattern, at: int) -> int:
+        """First place from ``at`` on, the length of the data if there is none."""
+        found = self.known.get(pattern, -1)
+        if found < at:
+            if isinstance(pattern, bytes):
+                found = self.data.find(pattern, at)
+            else:
+                match = pattern.search(self.data, at)
+                found = match.start() if match else -1
+            self.known[pattern] = found = found if found >= 0 else len(self.data)
+        return found
+
+
+def _plain_record(places: _Places, at: int) -> tuple[dict[str, str], bytes, int]:
     """Fields, block and end of the record at ``at``; ValueError says which check failed."""
+    data = places.data
     if not _VERSION.match(data, at):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    end = places.after(b"\r\n\r\n", at)
+    if end == len(data):
         raise ValueError("header without end")
+    if places.after(_VERSION_LINE, at + 1) < end:
+        raise ValueError("header of more than one record")
     fields = _fields(data[at:end])
     names = [line.partition(b":")[0].strip().lower() for line in data[at:end].split(b"\n")[1:] if line[:1] not in b" \t"]
     if len(names) != len(fields):  # a line without a colon, or a field told twice: the header runs into another
@@ -119,20 +154,24 @@ def _plain_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, min(stop + 4, len(data))
 
 
-def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def _record(places: _Places, at: int) -> tuple[dict[str, str], bytes, int]:
+    data = places.data
     if data[at : at + 3] != _MEMBER:
-        return _plain_record(data, at)
-    member = zlib.decompressobj(31)
+        return _plain_record(places, at)
+    member, parts, stop = zlib.decompressobj(31), [], at
     try:
-        plain = member.decompress(memoryview(data)[at:])
+        while not member.eof and stop < len(data):
+            parts.append(member.decompress(data[stop : stop + _INFLATED]))
+            stop += _INFLATED
     except zlib.error as error:
         raise ValueError(f"member: {error}") from None
     if not member.eof:
         raise ValueError("member without end")
-    fields, block, end = _plain_record(plain, 0)
+    plain = b"".join(parts)
+    fields, block, end = _plain_record(_Places(plain), 0)
     if end != len(plain):
         raise ValueError("member holds more than a record")
-    return fields, block, len(data) - len(member.unused_data)
+    return fields, block, min(stop, len(data)) - len(member.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str, str, dict[str, str], bytes]]:
@@ -140,17 +179,17 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, str, dict[str, str], b
 
     Where a record fails its checks, the bytes from there are quarantined up to the next
     version line or compressed member at which a record passes them all; the gap tells
-    the first failure. Every byte of the file lies in exactly one record or gap.
+    the first failure. Every byte of the file lies in exactly one record or gap. Places to
+    resume at are remembered, so damage costs no more than the bytes it spans.
     """
-    at, gap, why = 0, -1, ""
+    at, gap, why, places = 0, -1, "", _Places(data)
     while at < len(data):
         try:
-            fields, block, end = _record(data, at)
+            fields, block, end = _record(places, at)
         except ValueError as error:
             if gap < 0:
                 gap, why = at, str(error)
-            version, member = _VERSION.search(data, at + 1), data.find(_MEMBER, at + 1)
-            at = min(version.start() if version else len(data), member if member >= 0 else len(data))
+            at = min(places.after(_VERSION, at + 1), places.after(_MEMBER, at + 1))
             continue
         if gap >= 0:
             yield gap, at - gap, "gap", why, {}, b""
