@@ -168,7 +168,8 @@ def unwrap_fence(c: Column) -> Column:
     text = py_strip(c)
     lines = F.regexp_replace(text, _LINE_BREAK, "\n")
     fence = r"(?s)\A```[^\S\n]*(?i:json)?[^\S\n]*\n(.*)\n[^\S\n]*```\z"
-    return F.when(lines.rlike(fence), py_strip(F.regexp_extract(lines, fence, 1))).otherwise(text)
+    fenced = text.startswith("```") & lines.rlike(fence)  # the rest needs no pattern
+    return F.when(fenced, py_strip(F.regexp_extract(lines, fence, 1))).otherwise(text)
 
 
 def edge_id(person_id: Column, ticker: Column, kind: Column, role: Column, category: Column) -> Column:

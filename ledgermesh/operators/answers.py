@@ -21,32 +21,42 @@ RESPONSE = (
 
 
 def _payload(df: DataFrame) -> DataFrame:
-    """Answers with their parsed payload and the shapes of the parts that are read."""
+    """Answers with their text parsed once, and the payload read from the parsed text."""
     body = df.withColumn("_body", unwrap_fence(text_or_empty(F.col("raw_response"))))
     json = body.withColumn("_json", F.try_parse_json("_body"))
-    typed = json.withColumns({
-        "_shape": F.schema_of_variant("_json"),
-        "_companies_shape": F.schema_of_variant(F.try_variant_get("_json", "$.companies", "variant")),
-        "_relationship_shapes": F.transform(
-            F.try_variant_get("_json", "$.companies", "array<variant>"),
-            lambda c: F.schema_of_variant(F.try_variant_get(c, "$.relationships", "variant")),
-        ),
-    }).drop("_json")
-    return typed.withColumn("_payload", F.from_json("_body", ANSWER_PAYLOAD))
+    return json.withColumn("_payload", F.try_variant_get("_json", "$", ANSWER_PAYLOAD))
 
 
-def _outcome() -> Column:
-    """Why an answer cannot be read, or null."""
+def _wrong_shape() -> Column:
+    """Whether the payload is no object, or its companies or relationships are there but no lists of objects.
+
+    A part of the wrong kind reads as null, so only answers with a null in them are looked at again.
+    """
     rows = "^ARRAY<(?:OBJECT<|VOID>)"
-    wrong_shape = (
-        ~F.col("_shape").startswith("OBJECT<")
-        | F.coalesce(~F.col("_companies_shape").rlike(rows), F.lit(False))
-        | F.coalesce(F.exists("_relationship_shapes", lambda s: s.isNotNull() & ~s.rlike(rows)), F.lit(False))
+    companies = F.try_variant_get("_json", "$.companies", "variant")
+    related = F.transform(
+        F.try_variant_get("_json", "$.companies", "array<variant>"),
+        lambda c: F.schema_of_variant(F.try_variant_get(c, "$.relationships", "variant")),
+    )
+    wrong = (
+        F.col("_payload").isNull() | F.coalesce(~F.schema_of_variant(companies).rlike(rows), F.lit(False))
+        | F.coalesce(F.exists(related, lambda shape: shape.isNotNull() & ~shape.rlike(rows)), F.lit(False))
     )
+
+    def doubtful(company: Column) -> Column:
+        people = company["relationships"]
+        return company.isNull() | people.isNull() | F.exists(people, lambda person: person.isNull())
+
+    listed = F.col("_payload.companies")
+    return F.when(listed.isNull() | F.exists(listed, doubtful), wrong).otherwise(False)
+
+
+def _outcome() -> Column:
+    """Why an answer cannot be read, or null."""
     return (
         F.when(py_strip(text_or_empty(F.col("raw_response"))) == "", "no_final_text")
-        .when(F.col("_shape").isNull(), "invalid_json")
-        .when(wrong_shape, "parse_exception")
+        .when(F.col("_json").isNull(), "invalid_json")
+        .when(_wrong_shape(), "parse_exception")
     )
 
 
