@@ -156,6 +156,14 @@ VIEWS = {
           ||', Chief Financial Officer since 2001; and '||n2||', Director; the directors are '||n2||' and '||n3||'.</p><p>'
           ||repeat('filler words stand here and there. ',20)||'</p><p>Item 11. Pay</p><p>'||n3||', Chief Financial Officer</p>' as html
         from v_signers""",
+    # Filings with a governance item, a signature page, or both.
+    "v_filings": """
+        select k as doc_id, '<html><body>'||case when k%3=2 then '' else '<p>Item 10. Directors and Officers</p><p>In charge is '||n1
+            ||', Chief Financial Officer since 2001; and '||n2||', Director; the directors are '||n2||' and '||n3||'.</p><p>'
+            ||repeat('filler words stand here and there. ',20)||'</p><p>Item 11. Remuneration follows.</p>' end
+          ||case when k%3=1 then '' else '<h1>SIGNATURES</h1><p>Pursuant to the requirements of the Securities Exchange Act of 1934, this report has been signed.</p>'
+            ||'<table><tr><td>/s/ '||n1||'</td><td>Chief Financial Officer since 2001</td></tr><tr><td>'||n3||'</td><td>Director</td></tr></table>' end||'</body></html>' as html
+        from v_signers""",
     # Name candidates of sixteen kinds.
     "v_candidates": """
         select k, k%16 as kind, case k%16 when 0 then n1 when 1 then 'Dr. '||n1||', Jr.' when 2 then n1||', Age 55'

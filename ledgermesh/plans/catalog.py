@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermesh.plans import (  # noqa: F401
-    answer_queries, company_queries, filing_queries, graph_queries, market_queries, people_queries, projection_queries,
+    answer_queries, company_queries, filing_queries, graph_queries, market_queries, people_queries, projection_queries, sink_queries,
 )
 from ledgermesh.plans.registry import CHECKS, QUERIES
 

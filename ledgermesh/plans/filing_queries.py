@@ -64,6 +64,20 @@ def _(i):
     return w.html_tables(i.table("pages"), "page_id").groupBy("page_id").agg(F.count("*").alias("tables"))
 
 
+@query("nested_tables", """
+    select page_id, cast(2*m+case when r.nth=3 then 1 else 0 end as int) as table_no, cast(r.nth%3 as int) as row_no, replace(r.cells,'#',cast(page_id as varchar)) as cells
+    from (select page_id, unnest(range(0,1+page_id%3)) as m from pages)
+      cross join (values (0,'outer|#'),(1,'inner a & b|inner|a & b'),(2,'inner|a & b'),(3,'inner|a & b')) r(nth,cells)""")
+def _(i):
+    table = F.concat(
+        F.lit("<table class='a>b'><tr><td>outer</td><td>"), F.col("page_id").cast("string"),
+        F.lit("<!-- <table> --></td></tr><tr><td><TABLE><tr><th>inner<td>a &amp; b</TABLE></td></tr></table><br>"),
+    )
+    html = F.concat("html", F.repeat(table, (F.col("page_id") % 3 + 1).cast("int")))
+    rows = w.html_table_rows(i.table("pages").select("page_id", html.alias("html")), "page_id")
+    return rows.select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
 @query("constituents_from_html", "select k as doc_id, 'BRK-'||cast(k as varchar) as ticker from v_signers union all select k, 'Q'||cast(k as varchar) from v_signers where k%2=0")
 def _(i):
     key = F.col("k").cast("string")
@@ -385,11 +399,42 @@ def _(i):
     return x.item10_edges(texts(i, "v_item10_docs")).drop("pos")
 
 
-@query("extracted_filings")
+@query("extracted_filings")  # combined_filings checks the same function
 def _(i):
     return x.extract_filings(documents(i)).drop("pos")
 
 
+@query("combined_filings", """
+    select k as doc_id, n1 as name, 'CFO_OF' as relationship_type, case when k%3=1 then 'item_10' else 'signature_table' end as source from v_signers
+    union all select k, n3, 'BOARD_OF', case when k%3=1 then 'item_10' else 'signature_table' end from v_signers
+    union all select k, n2, 'BOARD_OF', 'item_10' from v_signers where k%3<>2""")
+def _(i):
+    return x.extract_filings(documents(i, "v_filings")).drop("pos")
+
+
+@query("executives_from_text", """
+    select k as doc_id, n1 as name, 'CFO_OF' as relationship_type from v_signers union all select k, n1, 'EXECUTIVE_OFFICER_OF' from v_signers
+    union all select k, n2, 'EXECUTIVE_OFFICER_OF' from v_signers where k%2=0""")
+def _(i):
+    text = F.concat(
+        F.lit("These executive officers serve. "), "n1", F.lit(", Chief Financial Officer since May. "), "n2",
+        F.when(F.col("k") % 2 == 0, " (Senior Vice President of sales); ").otherwise(" (head of sales); "), "n3", F.lit(", clerk."),
+    )
+    docs = i.view("v_signers").select(F.col("k").alias("doc_id"), text.alias("text"))
+    return x.dedupe_relationships(x.executives_from_text(docs)).select("doc_id", "name", "relationship_type")
+
+
+@query("board_tables", "select k as doc_id, n1 as name from v_signers where k%4<>0 union all select k, n2 from v_signers where k%4<>0")
+def _(i):
+    head = F.when(F.col("k") % 4 == 0, "<tr><th>Item</th><th>Year</th></tr>").otherwise("<tr><th>Age</th><th>Nominee</th><th>Director since</th></tr>")
+    html = F.concat(
+        F.lit("<table>"), head, F.lit("<tr><td>50</td><td>"), "n1", F.lit("</td><td>2001</td></tr><tr><td>61</td><td>Dr. "), "n2",
+        F.lit("</td><td>1999</td></tr><tr><td>Total</td></tr></table>"),
+    )
+    docs = i.view("v_signers").select(F.col("k").alias("doc_id"), html.alias("html"))
+    return x.dedupe_relationships(x.board_from_tables(docs)).select("doc_id", "name")
+
+
 @query("merged_sources", """
     select doc_id, name, relationship_type, source from o_signed union all
     select k, n1, 'CFO_OF', 'item_10' from v_signers where k not in (select doc_id from o_signed where relationship_type='CFO_OF' and name=n1)
@@ -433,7 +478,7 @@ def relationships(i: Inputs) -> DataFrame:
     return signed.withColumn("doc_id", F.concat(F.lit("P-"), F.col("doc_id").cast("string")))
 
 
-_EDGE_SQL = """
+EDGE_SQL = """
     select 'person:'||lower(replace(name,' ','_'))||':'||substr(sha1(lower(replace(name,' ',''))),1,10) as source_node_id, 'company:'||ticker as target_node_id,
       relationship_type, name as source_person, company_name as target_company, ticker, filing_date, 'https://filings.example.com/data/'||cik as filing_url, source as relationship_source
     from o_signed join o_filed on doc_id=k where filing_date is not null"""
@@ -443,7 +488,7 @@ def edges(i: Inputs) -> DataFrame:
     return fl.unique_edges(x.gate_edges(fl.filing_edges(filed(i), relationships(i))))
 
 
-@query("filing_edges", _EDGE_SQL)
+@query("filing_edges", EDGE_SQL)
 def _(i):
     return edges(i)
 
@@ -453,7 +498,7 @@ def _(i):
     return fl.filing_company_nodes(companies(i))
 
 
-@query("filing_person_nodes", f"select source_node_id as node_id, 'Person' as node_type, max(source_person) as name, lower(replace(max(source_person),' ','')) as normalized_name from ({_EDGE_SQL}) group by 1")
+@query("filing_person_nodes", f"select source_node_id as node_id, 'Person' as node_type, max(source_person) as name, lower(replace(max(source_person),' ','')) as normalized_name from ({EDGE_SQL}) group by 1")
 def _(i):
     return fl.filing_person_nodes(edges(i))
 
@@ -498,7 +543,7 @@ _COVER = f"""
       case when coalesce(total,0)<5 then 'yes' else 'no' end as low_coverage, case when coalesce(ceo,0)=0 then 'yes' else 'no' end as ceo_missing,
       case when coalesce(cfo,0)=0 then 'yes' else 'no' end as cfo_missing, case when coalesce(board,0)<5 then 'yes' else 'no' end as board_count_below_5
     from o_filed o left join (select ticker, count(*) as total, count(*) filter (relationship_type='CEO_OF') as ceo,
-      count(*) filter (relationship_type='CFO_OF') as cfo, count(*) filter (relationship_type='BOARD_OF') as board from ({_EDGE_SQL}) group by 1) e using (ticker)"""
+      count(*) filter (relationship_type='CFO_OF') as cfo, count(*) filter (relationship_type='BOARD_OF') as board from ({EDGE_SQL}) group by 1) e using (ticker)"""
 
 
 @query("low_coverage", _COVER)
@@ -521,9 +566,9 @@ def _(i):
 @query("qa_summary", f"""
     select unnest(['total_companies','total_people','total_relationships','CEO_OF_count','CFO_OF_count','BOARD_OF_count','low_coverage_companies',
         'CEO_missing_companies','CFO_missing_companies','board_count_below_5_companies']) as metric,
-      unnest([(select cast(count(*) as varchar) from o_filed),(select cast(count(distinct source_node_id) as varchar) from ({_EDGE_SQL})),
-        (select cast(count(*) as varchar) from ({_EDGE_SQL})),(select cast(count(*) as varchar) from ({_EDGE_SQL}) where relationship_type='CEO_OF'),
-        (select cast(count(*) as varchar) from ({_EDGE_SQL}) where relationship_type='CFO_OF'),(select cast(count(*) as varchar) from ({_EDGE_SQL}) where relationship_type='BOARD_OF'),
+      unnest([(select cast(count(*) as varchar) from o_filed),(select cast(count(distinct source_node_id) as varchar) from ({EDGE_SQL})),
+        (select cast(count(*) as varchar) from ({EDGE_SQL})),(select cast(count(*) as varchar) from ({EDGE_SQL}) where relationship_type='CEO_OF'),
+        (select cast(count(*) as varchar) from ({EDGE_SQL}) where relationship_type='CFO_OF'),(select cast(count(*) as varchar) from ({EDGE_SQL}) where relationship_type='BOARD_OF'),
         (select cast(count(*) as varchar) from ({_COVER}) where low_coverage='yes'),(select cast(count(*) as varchar) from ({_COVER}) where ceo_missing='yes'),
         (select cast(count(*) as varchar) from ({_COVER}) where cfo_missing='yes'),(select cast(count(*) as varchar) from ({_COVER}) where board_count_below_5='yes')]) as value""")
 def _(i):

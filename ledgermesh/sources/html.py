@@ -84,7 +84,8 @@ def _tables(markup: str, tags: list[tuple[int, str, bool, int]]) -> list[dict]:
 
     A table ends at its own closing tag. A row or cell ends at the next tag of a row (or
     cell) of its own level, and with its table. Rows of nested tables are rows of the outer
-    one too, and so are cells.
+    one too, and so are cells: what is returned grows with the depth of nesting, as asked,
+    while the tags are read once.
     """
     whole: dict[str, list[list[int]]] = {"ta": [], "tr": [], "tc": []}
     open_: dict[tuple[str, int], list[int]] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as library
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,15 @@ def test_signature_table_inside_a_layout_table(spark):
     docs = spark.createDataFrame([(1, html), (2, inner)], "doc_id int, html string")
     found = x.signature_table_edges(x.signature_tables(docs)).select("doc_id", "name").distinct().collect()
     assert sorted((r.doc_id, r.name) for r in found) == [(1, "Hanna Berg"), (2, "Otto Lang")]
+
+
+def test_nested_rows_cost_no_more_than_flat_ones():
+    """Many rows inside a layout table, deep nesting and open tags are read in one pass."""
+    flat = "<table>" + "<tr><td>a</td><td>b</td></tr>" * 2000 + "</table>"
+    nested = f"<table><tr><td>{flat}</td></tr></table>"
+    for html, rows in ((flat, 2000), (nested, 2001), ("<table><tr><td>" * 40, 40), ("<table>" + "<tr><td>x" * 5000, 5000)):
+        began = time.perf_counter()
+        markup, tags = w._levelled(html)
+        tables = w._tables(markup, tags)
+        assert len(tables[0]["rows"]) == rows and time.perf_counter() - began < 1
+    assert [len(t["rows"]) for t in w._tables(*w._levelled(nested))] == [2001, 2000]
