@@ -232,6 +232,15 @@ def _(i):
     return g.graph_document(nodes.filter("type = 'Person'"), edges)
 
 
+@query("graph_document_companies", f"""
+    select 'node' as element, id, '{{"data":{{"id":'||to_json(id)||',"type":"Company","ticker":'||to_json(ticker)||',"company_name":'||to_json(company_name)
+      ||',"universe":'||to_json(coalesce(universe,''))||',"sector":'||to_json(sector)||',"industry":'||to_json(industry)
+      ||',"description_short":'||to_json(description_short)||',"label":'||to_json(label)||'}}}}' as document from ({_NODES}) where type='Company'""")
+def _(i):
+    nodes, edges = g.full_graph(graph(i))
+    return g.graph_document(nodes.filter("type = 'Company'"), edges.limit(0))
+
+
 @query("person_ids", "select person_name, person_id from o_pid")
 def _(i):
     names = i.view("v_raw").select("person_name").distinct()
