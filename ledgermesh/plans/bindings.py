@@ -157,7 +157,7 @@ VIEWS = {
           ||repeat('filler words stand here and there. ',20)||'</p><p>Item 11. Pay</p><p>'||n3||', Chief Financial Officer</p>' as html
         from v_signers""",
     # Filings with a governance item, a signature page, or both.
-    "v_filings": """
+    "v_reports": """
         select k as doc_id, '<html><body>'||case when k%3=2 then '' else '<p>Item 10. Directors and Officers</p><p>In charge is '||n1
             ||', Chief Financial Officer since 2001; and '||n2||', Director; the directors are '||n2||' and '||n3||'.</p><p>'
             ||repeat('filler words stand here and there. ',20)||'</p><p>Item 11. Remuneration follows.</p>' end

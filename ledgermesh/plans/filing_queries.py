@@ -409,7 +409,7 @@ def _(i):
     union all select k, n3, 'BOARD_OF', case when k%3=1 then 'item_10' else 'signature_table' end from v_signers
     union all select k, n2, 'BOARD_OF', 'item_10' from v_signers where k%3<>2""")
 def _(i):
-    return x.extract_filings(documents(i, "v_filings")).drop("pos")
+    return x.extract_filings(documents(i, "v_reports")).drop("pos")
 
 
 @query("executives_from_text", """
