@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     both = edges.unionByName(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
     low = stage(both.groupBy(*keys, "src").agg(F.least(F.min("dst"), F.col("src")).alias("low")), "links-low")
     linked = both.filter("dst > src").join(low, [*keys, "src"])
-    return linked.select(*keys, F.col("dst").alias("src"), F.col("low").alias("dst"))
+    return stage(linked.select(*keys, F.col("dst").alias("src"), F.col("low").alias("dst")).distinct(), "links-large")
 
 
 def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +39,9 @@ def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     small neighbours to local minima, which only ever aggregates a minimum per
     node, combined before the shuffle. The minima are written before they are
     joined back, so that the links of a hot node are split over tasks by
-    adaptive skew handling. Each round is written to the shared folder, and
+    adaptive skew handling. Links that have become equal are folded before they
+    are written, so a dense graph shrinks towards its number of nodes in the
+    first round. Each half of a round is written to the shared folder, and
     nothing is recomputed when an executor is lost; the rounds end when one
     leaves the links as they were.
     """

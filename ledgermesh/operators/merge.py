@@ -18,9 +18,11 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return ranked.filter("_rank = 1").drop("_rank")
 
 
-def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= k).drop("_rank")
+def top_per_key(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str | None = None) -> DataFrame:
+    """First ``k`` rows per key, with their rank from 1 where ``rank`` names a column for it."""
+    ranked = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = ranked.filter(F.col(rank or "_rank") <= k)
+    return kept if rank else kept.drop("_rank")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -74,3 +76,25 @@ def numbered(df: DataFrame, order: list[str], column: str) -> DataFrame:
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     placed = split.join(F.broadcast(offsets), "_part")
     return placed.withColumn(column, F.col("_offset") + F.col("_pos")).drop("_slot", "_part", "_pos", "_offset", "_size")
+
+
+def chunked(df: DataFrame, keys: list[str], order: str, size: int, item: Column, column: str) -> DataFrame:
+    """Long lists as rows: (keys, chunk, ``column``), with at most ``size`` items to a chunk.
+
+    Items stand in the order of the column ``order``, ties in any order; chunks count from 0. The
+    rows of one key are numbered over range partitions, so a key of any
+    length is spread over tasks and no list is longer than ``size``.
+    """
+    rows = numbered(df.select(*keys, order, item.alias("_item")), [*keys, order], "_row")
+    first = rows.groupBy(*keys).agg(F.min("_row").alias("_first"))
+    placed = rows.join(first, keys).withColumn("chunk", F.floor((F.col("_row") - F.col("_first")) / size))
+    lists = placed.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("_row", "_item"))).alias("_items"))
+    return lists.select(*keys, "chunk", F.col("_items._item").alias(column))
+
+
+def joined_chunks(chunks: DataFrame, keys: list[str], text: Column, separator: str, column: str) -> DataFrame:
+    """The texts of all chunks of a key in one cell, for exports that ask for it."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col("chunk"), text.alias("text"))))
+    return chunks.groupBy(*keys).agg(parts.alias("_parts")).select(
+        *keys, F.array_join(F.col("_parts.text"), separator).alias(column)
+    )

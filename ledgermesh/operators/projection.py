@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +12,16 @@ from ledgermesh.functions.numbers import pair_count, pct, percentile_of_counts
 from ledgermesh.functions.text import blank_to_null
 from ledgermesh.operators.canonical import beside
 from ledgermesh.operators.components import component_edges, component_sizes, components
-from ledgermesh.operators.merge import top_per_key
+from ledgermesh.operators.merge import chunked, joined_chunks, top_per_key
+from ledgermesh.session import stage
 
 # Companies of one person that meet in one join group; a person with more is
 # split into blocks of about this size.
 BLOCK = 512
 
+# Items of one row where the list of a person or an edge is cut into rows.
+CHUNK = 1000
+
 SHARED_BUCKETS = ["=1", "=2", "=3", "=4", "=5", ">=6", ">=2", ">=3", ">=5", ">=10"]
 DEGREE_BUCKETS = ["=1", "=2", "=3", "=4", "=5", "6-10", "11-20", ">20"]
 THRESHOLDS = [1, 2, 3, 5, 10]
@@ -172,14 +179,23 @@ def concentration(degrees: DataFrame) -> DataFrame:
     )
 
 
+def most_connected(degrees: DataFrame, k: int = 50) -> DataFrame:
+    return degrees.orderBy(F.desc("degree"), "person_id").limit(k)
+
+
+def company_chunks(kept: DataFrame, pairs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Companies of the kept people: (person_id, chunk, tickers), ``size`` tickers to a row."""
+    listed = pairs.join(F.broadcast(kept.select("person_id")), "person_id", "left_semi")  # k rows
+    return chunked(listed, ["person_id"], "ticker", size, F.col("ticker"), "tickers")
+
+
 def top_people(degrees: DataFrame, pairs: DataFrame, rel: DataFrame, k: int = 50) -> DataFrame:
-    """People with the most companies; lists are built for the ``k`` kept only."""
-    kept = degrees.orderBy(F.desc("degree"), "person_id").limit(k)
-    listed = pairs.join(F.broadcast(kept), "person_id").groupBy("person_id", "degree").agg(
-        F.array_join(F.sort_array(F.collect_list("ticker")), ";").alias("company_tickers")
-    )
+    """People with the most companies; the list of each of the ``k`` kept is put together from its chunks."""
+    kept = stage(most_connected(degrees, k), "most-connected")
+    chunks = company_chunks(kept, pairs)
+    listed = joined_chunks(chunks, ["person_id"], F.array_join("tickers", ";"), ";", "company_tickers")
     named = person_names(rel.join(F.broadcast(kept.select("person_id")), "person_id", "left_semi"))
-    return listed.join(named, "person_id").select(
+    return kept.join(listed, "person_id").join(named, "person_id").select(
         "person_id", "person_name", F.col("degree").alias("person_company_degree"), "company_tickers"
     )
 
@@ -221,32 +237,40 @@ def edge_evidence(kept: DataFrame, rel: DataFrame) -> DataFrame:
     )
 
 
-def evidence_json(c: Column) -> Column:
-    """Compact JSON of an evidence array, keys in alphabetical order."""
-    return F.to_json(c)
+EDGE = ["source_ticker", "target_ticker"]
 
 
-def top_edges(edges: DataFrame, rel: DataFrame, k: int = 100) -> DataFrame:
-    """Strongest edges with company names and the evidence behind each."""
-    kept = strongest_edges(edges, k)
+def evidence_chunks(kept: DataFrame, rel: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Evidence of the kept edges in order of person_id: (source, target, chunk, people), ``size`` people to a row."""
     fields = [
         "person_id", "person_name", "source_role_categories", "source_roles",
         "target_role_categories", "target_roles",
     ]
-    evidence = edge_evidence(kept, rel).groupBy("source_ticker", "target_ticker").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("people")
+    return chunked(edge_evidence(kept, rel), EDGE, "person_id", size, F.struct(*fields), "people")
+
+
+def top_edges(edges: DataFrame, rel: DataFrame, k: int = 100) -> DataFrame:
+    """Strongest edges with company names and the evidence behind each.
+
+    The evidence is compact JSON with keys in alphabetical order, put together
+    from its chunks.
+    """
+    kept = stage(strongest_edges(edges, k), "strongest-edges")
+    inner = F.to_json("people")
+    evidence = joined_chunks(
+        evidence_chunks(kept, rel), EDGE, inner.substr(F.lit(2), F.length(inner) - 2), ",", "_people"
     )
     names = company_names(rel)
     source = names.select(F.col("ticker").alias("source_ticker"), F.col("company_name").alias("source_company_name"))
     target = names.select(F.col("ticker").alias("target_ticker"), F.col("company_name").alias("target_company_name"))
     return (
-        kept.join(evidence, ["source_ticker", "target_ticker"])
+        kept.join(evidence, EDGE)
         .join(source, "source_ticker", "left")
         .join(target, "target_ticker", "left")
         .select(
             "source_ticker", F.coalesce("source_company_name", F.lit("")).alias("source_company_name"),
             "target_ticker", F.coalesce("target_company_name", F.lit("")).alias("target_company_name"),
-            "shared_person_count", evidence_json(F.col("people")).alias("shared_people_evidence"),
+            "shared_person_count", F.concat(F.lit("["), "_people", F.lit("]")).alias("shared_people_evidence"),
         )
     )
 
@@ -257,42 +281,61 @@ def topk_edges(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _retention(kept: DataFrame, edges: DataFrame, names: DataFrame, variant: str, values: list[int], kept_name: str) -> DataFrame:
-    """Kept-edge metrics per variant; components of all variants in one run."""
-    links = kept.select(variant, F.col("source_ticker").alias("a"), F.col("target_ticker").alias("b"))
-    sizes = component_sizes(components(links, [variant]), [variant])
-    shape = sizes.groupBy(variant).agg(
-        F.sum("company_count").alias("nodes"), F.count("*").alias("parts"), F.max("company_count").alias("largest")
-    )
-    counts = kept.groupBy(variant).agg(F.count("*").alias("kept"))
-    totals = beside([edges.agg(F.count("*").alias("edges")), names.agg(F.count("*").alias("companies"))])
-    settings = totals.withColumn(variant, F.explode(F.array(*[F.lit(v) for v in values])))
-    zero = F.lit(0)
-    joined = settings.join(counts, variant, "left").join(shape, variant, "left")
-    return joined.select(
+    """Kept-edge metrics per variant, each of which keeps what the one before it in ``values`` does.
+
+    ``kept`` holds each edge once with its ``level``, the first variant (from
+    0) that keeps it. Components are found level by level: those of the
+    stricter variant stand in for its edges, as links of its nodes to their
+    component, beside the edges that the next one adds.
+    """
+    stored = stage(kept.select("level", F.col("source_ticker").alias("a"), F.col("target_ticker").alias("b")), "kept-edges")
+    added = {r["level"]: r["count"] for r in stored.groupBy("level").count().collect()}  # one row per variant
+    n_edges, n_companies = F.lit(edges.count()), F.lit(names.count())
+    nothing = F.lit(0).cast("long")
+    shape = edges.sparkSession.range(1).select(nothing.alias("nodes"), nothing.alias("parts"), nothing.alias("largest"))
+    forest, rows, held = None, [], 0
+    for level, value in enumerate(values):
+        if added.get(level):
+            links = stored.filter(F.col("level") == level).select("a", "b")
+            labels = components(links if forest is None else links.unionByName(forest))
+            forest = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            shape = component_sizes(labels).agg(
+                F.sum("company_count").alias("nodes"), F.count("*").alias("parts"), F.max("company_count").alias("largest")
+            )
+            held += added[level]
+        rows.append(shape.select(F.lit(value).alias(variant), F.lit(held).cast("long").alias("kept"), "nodes", "parts", "largest"))
+    return reduce(DataFrame.unionByName, rows).select(
         variant,
-        F.coalesce("kept", zero).alias(kept_name),
-        pct(F.coalesce("kept", zero), F.col("edges")).alias("retained_edge_percentage"),
-        F.coalesce("nodes", zero).alias("companies_with_at_least_one_retained_edge"),
-        (F.col("companies") - F.coalesce("nodes", zero)).alias("companies_with_zero_retained_edges"),
-        F.coalesce("parts", zero).alias("connected_component_count"),
-        F.coalesce("largest", zero).alias("largest_connected_component_size"),
+        F.col("kept").alias(kept_name),
+        pct(F.col("kept"), n_edges).alias("retained_edge_percentage"),
+        F.col("nodes").alias("companies_with_at_least_one_retained_edge"),
+        (n_companies - F.col("nodes")).alias("companies_with_zero_retained_edges"),
+        F.col("parts").alias("connected_component_count"),
+        F.col("largest").alias("largest_connected_component_size"),
     )
 
 
+def _level(values: list[int], keeps: Callable[[int], Column]) -> Column:
+    """Place of the first of some nested variants that keeps a row; null where none does."""
+    return F.coalesce(*[F.when(keeps(value), F.lit(level)) for level, value in enumerate(values)])
+
+
 def threshold_report(edges: DataFrame, names: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFrame:
-    """What stays when only edges of a minimum weight are kept."""
-    variants = F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("shared_person_count"))
-    kept = edges.withColumn("threshold", F.explode(variants))
-    return _retention(kept, edges, names, "threshold", thresholds, "retained_edge_count")
+    """What stays when only edges of a minimum weight are kept; an edge enters once, at its highest threshold."""
+    strict = sorted(thresholds, reverse=True)
+    kept = edges.withColumn("level", _level(strict, lambda t: F.col("shared_person_count") >= t)).filter("level is not null")
+    return _retention(kept, edges, names, "threshold", strict, "retained_edge_count")
 
 
 def topk_report(edges: DataFrame, names: DataFrame, ks: list[int] = TOP_KS) -> DataFrame:
     """What stays when each company keeps its strongest edges; one ranking serves every k."""
-    order = Window.partitionBy("ticker").orderBy(F.desc("shared_person_count"), F.asc("neighbour"))
-    ranked = both_ends(edges).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(ks))
-    variants = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))
-    kept = ranked.withColumn("top_k", F.explode(variants)).select("top_k", "source_ticker", "target_ticker").distinct()
-    return _retention(kept, edges, names, "top_k", ks, "retained_unique_edge_count")
+    ranked = top_per_key(
+        both_ends(edges), ["ticker"], max(ks), F.desc("shared_person_count"), F.asc("neighbour"), rank="rank"
+    )
+    best = ranked.groupBy(*EDGE).agg(F.min("rank").alias("rank"))
+    strict = sorted(ks)
+    kept = best.withColumn("level", _level(strict, lambda k: F.col("rank") <= k))
+    return _retention(kept, edges, names, "top_k", strict, "retained_unique_edge_count")
 
 
 def component_report(edges: DataFrame, labels: DataFrame, k: int = 20, preview: int = 100) -> DataFrame:

@@ -123,6 +123,16 @@ CHECK_VIEWS = {
         select distinct a as node, a as root from o_rag_ends
         union select e.b, r.root from o_rag_reach r join o_rag_ends e on e.a=r.node""",
     "o_rag_label": "select node, min(root) as component from o_rag_reach group by node",
+    "o_rag_thr": """
+        select threshold, source_ticker, target_ticker from o_rag
+          join (values (1),(2),(3),(5),(10)) t(threshold) on shared_person_count>=threshold""",
+    "o_rag_thr_ends": """
+        select threshold as v, source_ticker as a, target_ticker as b from o_rag_thr
+        union all select threshold, target_ticker, source_ticker from o_rag_thr""",
+    "o_rag_thr_reach": """
+        select distinct v, a as node, a as root from o_rag_thr_ends
+        union select r.v, e.b, r.root from o_rag_thr_reach r join o_rag_thr_ends e on e.v=r.v and e.a=r.node""",
+    "o_rag_thr_label": "select v, node, min(root) as component from o_rag_thr_reach group by v, node",
     "o_proj_ends": """
         select source_ticker as a, target_ticker as b from o_proj
         union all select target_ticker, source_ticker from o_proj""",

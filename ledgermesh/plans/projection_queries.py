@@ -162,6 +162,39 @@ def _(i):
     )
 
 
+@query(
+    "top_edge_evidence_chunks",
+    """select source_ticker, target_ticker, chunk, '['||string_agg('{"person_id":"'||person_id||'","person_name":"'||person_name
+           ||'","source_role_categories":'||sc||',"source_roles":'||sr||',"target_role_categories":'||tc
+           ||',"target_roles":'||tr||'}', ',' order by person_id)||']' as people
+       from (select *, (row_number() over (partition by source_ticker, target_ticker order by person_id)-1)//2 as chunk from (
+         select e.source_ticker, e.target_ticker, s.person_id, nm.person_name, s.c as sc, s.r as sr, t.c as tc, t.r as tr
+         from (select * from o_proj order by shared_person_count desc, 1, 2 limit 100) e
+         join o_sets s on s.ticker=e.source_ticker join o_sets t on t.ticker=e.target_ticker and t.person_id=s.person_id
+         join (select person_id, arg_min(nullif(person_name,''),
+           (ticker, company_name, person_name, role, role_category, extraction_time)) as person_name
+           from o_canon group by 1) nm on nm.person_id=s.person_id))
+       group by 1,2,3""",
+)
+def _(i):
+    rel = stored_relationships(i)
+    kept = stage(p.strongest_edges(p.projection(p.person_companies(rel))), "strongest-edges")
+    return p.evidence_chunks(kept, rel, size=2).select("source_ticker", "target_ticker", "chunk", F.to_json("people").alias("people"))
+
+
+@query(
+    "top_people_company_chunks",
+    """select person_id, chunk, string_agg(ticker,';' order by ticker) as tickers from (
+         select person_id, ticker, (row_number() over (partition by person_id order by ticker)-1)//3 as chunk
+         from (select * from o_deg order by degree desc, person_id limit 50) join o_pt using (person_id))
+       group by 1,2""",
+)
+def _(i):
+    held = stage(pairs(i), "person-companies")
+    kept = p.most_connected(p.person_degrees(held))
+    return p.company_chunks(kept, held, size=3).withColumn("tickers", F.array_join("tickers", ";"))
+
+
 @query(
     "shared_person_distribution",
     f"""select label as shared_person_count, edge_count, {_BUCKET_SHARE} as edge_percentage from (
@@ -268,12 +301,12 @@ def islands(i: Inputs) -> DataFrame:
     return stage(p.projection(i.view("v_islands")), "edges")
 
 
-def _retention(kept: str, label: str, variant: str, values: str, column: str) -> str:
+def _retention(kept: str, label: str, variant: str, values: str, column: str, edges: str = "o_isl", view: str = "v_islands") -> str:
     return f"""
         select s.v as {variant}, coalesce(n,0) as {column},
-          coalesce(round(100.0*coalesce(n,0)/nullif((select count(*) from o_isl),0),6),0.0) as retained_edge_percentage,
+          coalesce(round(100.0*coalesce(n,0)/nullif((select count(*) from {edges}),0),6),0.0) as retained_edge_percentage,
           coalesce(nodes,0) as companies_with_at_least_one_retained_edge,
-          (select count(distinct ticker) from v_islands)-coalesce(nodes,0) as companies_with_zero_retained_edges,
+          (select count(distinct ticker) from {view})-coalesce(nodes,0) as companies_with_zero_retained_edges,
           coalesce(parts,0) as connected_component_count, coalesce(largest,0) as largest_connected_component_size
         from (values {values}) s(v)
         left join (select {variant} as v, count(*) as n from {kept} group by 1) c on c.v=s.v
@@ -289,6 +322,14 @@ def _(i):
     return p.threshold_report(islands(i), i.view("v_islands").select("ticker").distinct())
 
 
+@query(
+    "threshold_retention_of_ragged_links",
+    _retention("o_rag_thr", "o_rag_thr_label", "threshold", "(1),(2),(3),(5),(10)", "retained_edge_count", "o_rag", "v_ragged"),
+)
+def _(i):
+    return p.threshold_report(stage(p.projection(i.view("v_ragged")), "edges"), i.view("v_ragged").select("ticker").distinct())
+
+
 @query(
     "topk_retention",
     _retention("o_topk", "o_topk_label", "top_k", "(3),(5),(10)", "retained_unique_edge_count"),
@@ -329,8 +370,8 @@ def _(i):
        where component_rank<=20""",
 )
 def _(i):
-    edges = stage(p.projection(i.view("v_ragged")), "edges")
-    return p.component_report(edges, k.components(links(edges)))
+    held = stage(i.view("v_ragged"), "person-companies")
+    return p.component_report(stage(p.projection(held), "edges"), p.projection_components(held))
 
 
 @query(

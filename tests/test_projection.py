@@ -5,6 +5,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from ledgermesh.operators import merge
 from ledgermesh.operators import projection as p
 from ledgermesh.operators.components import components
 from ledgermesh.schemas import RELATIONSHIPS
@@ -55,6 +58,51 @@ def test_threshold_and_topk(spark):
     assert row.retained_unique_edge_count == 3
 
 
+def test_retention_is_nested_whatever_the_levels(spark):
+    """Thresholds in any order, some that add no edge, against components of each variant by itself."""
+    rng = random.Random(5)
+    graph = {}
+    for _ in range(60):
+        a, b = sorted(rng.sample([f"T{n:02d}" for n in range(40)], 2))
+        graph[a, b] = rng.choice([1, 2, 3, 3, 5, 8])
+    rows = spark.createDataFrame([(a, b, n) for (a, b), n in graph.items()], "source_ticker string, target_ticker string, shared_person_count long")
+    names = spark.createDataFrame([(f"T{n:02d}", "x") for n in range(45)], "ticker string, company_name string")
+
+    def expected(kept):
+        label = _brute(kept)
+        parts = [list(label.values()).count(root) for root in set(label.values())]
+        return len(kept), len(label), 45 - len(label), len(parts), max(parts, default=0)
+
+    def figures(r, kept):
+        return (
+            r[kept], r.companies_with_at_least_one_retained_edge, r.companies_with_zero_retained_edges,
+            r.connected_component_count, r.largest_connected_component_size,
+        )
+
+    found = {r.threshold: figures(r, "retained_edge_count") for r in p.threshold_report(rows, names, [3, 9, 1, 4, 5]).collect()}
+    assert found == {t: expected([e for e, n in graph.items() if n >= t]) for t in (1, 3, 4, 5, 9)}
+    found = {r.top_k: figures(r, "retained_unique_edge_count") for r in p.topk_report(rows, names, [3, 1, 2]).collect()}
+    ends = {}
+    for (a, b), n in graph.items():
+        ends.setdefault(a, []).append((-n, b, (a, b)))
+        ends.setdefault(b, []).append((-n, a, (a, b)))
+    assert found == {k: expected(sorted({e for own in ends.values() for *_, e in sorted(own)[:k]})) for k in (1, 2, 3)}
+    assert [figures(r, "retained_edge_count") for r in p.threshold_report(rows.limit(0), names, [2, 1]).collect()] == [(0, 0, 45, 0, 0)] * 2
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_lists_in_chunks(spark, size):
+    """A key with most rows, a key with one: chunks are full, in order, and join to the whole list."""
+    rows = [("hot", n) for n in range(50)] + [("cold", 7)]
+    random.Random(1).shuffle(rows)
+    chunks = merge.chunked(spark.createDataFrame(rows, "k string, n long"), ["k"], "n", size, F.col("n"), "items")
+    for key, items in (("hot", list(range(50))), ("cold", [7])):
+        own = {r.chunk: r["items"] for r in chunks.filter(F.col("k") == key).collect()}
+        assert own == {c: items[c * size : (c + 1) * size] for c in range(-(-len(items) // size))}
+    cells = merge.joined_chunks(chunks, ["k"], F.array_join(F.col("items").cast("array<string>"), ","), ",", "text").collect()
+    assert {r.k: r.text for r in cells} == {"hot": ",".join(map(str, range(50))), "cold": "7"}
+
+
 def test_concentration(spark):
     data = rel(spark, ("A", "p1"), ("B", "p1"), ("C", "p1"), ("A", "p2"))
     row = p.concentration(p.person_degrees(p.person_companies(data))).first()
