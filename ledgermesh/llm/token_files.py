@@ -51,11 +51,13 @@ def unpack(packed: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = 65536) -> None:
     """Writes the ids of all documents to ``path`` in ascending order of doc_id.
 
-    Documents are range-partitioned by doc_id; each partition is a shard of blocks. A
-    block holds whole documents, at least ``block_ids`` ids of them (the last of a shard
-    may hold fewer, and one long document makes one long block), as packed bits, with
-    ``first`` (ids before it in its shard), doc_ids and where each document begins. Blocks
-    are rows of a columnar table, so a reader fetches single blocks by shard and first.
+    Documents are range-partitioned by doc_id (rows of one doc_id by a hash of their text,
+    then the text, so that they have a fixed order and may be spread over partitions); each
+    partition is a shard of blocks. A block holds whole documents, at least ``block_ids``
+    ids of them (the last of a shard may hold fewer, and one long document makes one long
+    block), as packed bits, with ``first`` (ids before it in its shard), doc_ids and where
+    each document begins. Blocks are rows of a columnar table, so a reader fetches single
+    blocks by shard and first.
 
     A null text is empty and has its end id only; null doc_ids come first; repeated rows
     are stored again. An empty table writes a table of no blocks. Other columns are ignored.
@@ -90,7 +92,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         yield from batches_of_rows(blocks(), BLOCK_ARROW, 16)
 
-    ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(shard, BLOCK).write.parquet(path)
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
@@ -48,6 +49,20 @@ def expected_ids(rows, path, end):
     return [[*e.library.encode(r[1] or "", add_special_tokens=False).ids, end] for r in rows]
 
 
+def test_token_files_order_rows_of_one_id(spark, tmp_path):
+    """Different texts under one doc_id, or under none, stand in one order whatever that of the input."""
+    rows = [(d, f"text {n} " * (n % 5 + 1), "en", "web", 0) for d in (None, 3) for n in range(40)] + [(5, "text 1 ", "en", "web", 0)] * 3
+    random.Random(2).shuffle(rows)
+    found = []
+    for n, order in enumerate((rows, rows[::-1])):
+        path = str(tmp_path / f"ids{n}")
+        token_files.write_token_files(table(spark, order).repartition(n + 1), path, BYTES, block_ids=16)
+        read = token_files.read_token_files(token_files.token_blocks(spark, path)).collect()
+        found.append(sorted((r.start, -1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in read))
+    assert found[0] == found[1]
+    assert [d for _, d, _ in found[0]] == [-1] * 40 + [3] * 40 + [5] * 3
+
+
 def test_token_files(spark, tmp_path):
     rows = hard_rows()
     path = str(tmp_path / "ids")
