@@ -51,7 +51,7 @@ def unpack(packed: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = 65536) -> None:
     """Writes the ids of all documents to ``path`` in ascending order of doc_id.
 
-    Documents are range-partitioned by doc_id (rows of one doc_id by a hash of their text,
+    Documents are range-partitioned by doc_id (rows of one doc_id by the bytes of their text,
     then the text, so that they have a fixed order and may be spread over partitions); each
     partition is a shard of blocks. A block holds whole documents, at least ``block_ids``
     ids of them (the last of a shard may hold fewer, and one long document makes one long
@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         yield from batches_of_rows(blocks(), BLOCK_ARROW, 16)
 
-    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    order = [F.col("doc_id"), F.octet_length("text"), F.col("text")]
     ordered = docs.select("doc_id", text_of().alias("text")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(shard, BLOCK).write.parquet(path)
 
