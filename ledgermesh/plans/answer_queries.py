@@ -114,7 +114,7 @@ def _(i):
     case when k%2=0 then '2023' else '2024-01-01' end as created_at from o_status""")
 def _(i):
     asked = answers(i)
-    status = a.answer_status(asked).join(asked.select("batch_id", "k"), "batch_id")
+    status = stage(a.answer_status(asked).join(asked.select("batch_id", "k"), "batch_id"), "answer-status")
     old = status.filter("k % 2 = 0").select("batch_id", F.lit("running").alias("status"), F.lit("2023").alias("created_at"))
     first = status.select("batch_id", F.lit("failed").alias("status"), F.lit(STAMP).alias("created_at"), F.lit(1).alias("seq"))
     final = F.when(F.col("status") == "failed", "failed").otherwise("success")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgermesh.functions import text as t
 from ledgermesh.operators import answers as a
 from ledgermesh.operators import companies as co
+from ledgermesh.plans import catalog
 from ledgermesh.schemas import RELATIONSHIPS_RAW
 from ledgermesh.sources import holdings as h
 from ledgermesh.sources import tables
@@ -159,3 +160,19 @@ def test_usage_keeps_the_whole_object(spark):
         "response_status": "done", "zeta": {"b": [1, None]},
     }
     assert json.loads(got["b"]) == json.loads(got["c"]) == {"output_item_types": []}
+
+
+def test_batches_of_a_union_of_joins(spark, tmp_path):
+    """Both sides of a union are joined by the key alike, with joins that shuffle: every batch stands once."""
+    orders = [(n, n % 7, "F" if n % 2 else "O", None, None, "1-URGENT") for n in range(44)]
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, kinds).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = catalog.queries()["upsert_batches"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    failed = {n for n in range(44) if n % 11 in (0, 1, 4, 5)}
+    assert sorted(tuple(r) for r in rows) == sorted(
+        (f"b{n}", "failed" if n in failed else "success", "2024-01-01" if n % 2 else "2023") for n in range(44)
+    )
