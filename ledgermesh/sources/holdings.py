@@ -76,6 +76,8 @@ def promote_header(
 
     The best header has the most accepted labels; the first one wins a tie.
     All-empty rows are dropped. Columns: (file, idx, header, header_idx, cells).
+    Headers are as many as files, and sizes that Spark estimates from compressed
+    input are far too small for them, so the join is kept from sending them to every task.
     """
     wanted = F.array(*[F.lit(label) for label in labels])
     score = F.size(F.array_intersect(wanted, F.transform("cells", header_label)))
@@ -88,7 +90,7 @@ def promote_header(
         file, F.col("_best.at").alias("header_idx"), F.transform("_best.names", collapse_spaces).alias("header")
     )
     filled = F.exists("cells", lambda c: py_strip(F.coalesce(c, F.lit(""))) != "")
-    return rows.join(header, file).filter((F.col(idx) > F.col("header_idx")) & filled).select(
+    return rows.join(header.hint("merge"), file).filter((F.col(idx) > F.col("header_idx")) & filled).select(
         file, idx, "header_idx", "header", "cells"
     )
 

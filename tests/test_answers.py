@@ -176,3 +176,11 @@ def test_batches_of_a_union_of_joins(spark, tmp_path):
     assert sorted(tuple(r) for r in rows) == sorted(
         (f"b{n}", "failed" if n in failed else "success", "2024-01-01" if n % 2 else "2023") for n in range(44)
     )
+
+
+def test_headers_are_not_sent_to_every_task(spark):
+    """There is a header for every file, so their number grows with the input."""
+    rows = spark.createDataFrame([("f", 0, ["Ticker", "Name"]), ("f", 1, ["AB", "A"])], "file string, idx int, cells array<string>")
+    found = h.promote_header(rows, ["ticker"])
+    assert [r.cells for r in found.collect()] == [["AB", "A"]]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
