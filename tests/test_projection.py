@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from ledgermesh.operators import components as components_of
 from ledgermesh.operators import merge
 from ledgermesh.operators import projection as p
 from ledgermesh.operators.components import components
@@ -158,3 +159,38 @@ def test_summary_of_nothing(spark):
     graph = p.projection(pairs)
     row = p.projection_summary(data, pairs, graph, p.company_distribution(graph, p.company_names(data)), p.projection_components(pairs)).first()
     assert (row.maximum_shared_person_count, row.mean_shared_person_count, row.companies_without_cross_company_connections) == (0, 0.0, 1)
+
+
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_companies_with_many_pairs_are_spread(spark, monkeypatch, block):
+    """With few pairs to a task, companies have several slots; repeated links count as often as they stand."""
+    monkeypatch.setattr(p, "TASK_PAIRS", 5)
+    rng = random.Random(11)
+    rows = [(f"p{n}", f"T{rng.randrange(25):02d}") for n in range(6) for _ in range(14)] + [(None, "T01"), ("p1", None), ("one", "T02")]
+    expected: dict[tuple[str, str], int] = {}
+    for n in range(6):
+        for a, b in itertools.combinations(sorted(t for q, t in rows if q == f"p{n}" and t), 2):
+            if a != b:
+                expected[a, b] = expected.get((a, b), 0) + 1
+    found = p.projection(spark.createDataFrame(rows, "person_id string, ticker string"), block)
+    assert {(r.source_ticker, r.target_ticker): r.shared_person_count for r in found.collect()} == expected
+    assert found.count() == len(expected)
+
+
+def test_pairs_are_counted_where_they_are_made(spark):
+    graph = p.projection(p.person_companies(rel(spark, ("A", "p1"), ("B", "p1"), ("C", "p1"))))
+    assert "hashpartitioning(source_ticker#" in (plan := graph._jdf.queryExecution().executedPlan().toString())
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(source_ticker" in line and "target" in line]
+
+
+@pytest.mark.parametrize("fold", [8, 1 << 21])
+def test_spanning_links_keep_components_of_each_level(spark, monkeypatch, fold):
+    monkeypatch.setattr(components_of, "FOLD", fold)
+    rng = random.Random(2)
+    links = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.randrange(3)) for _ in range(200)] + [(None, "n1", 0)]
+    kept = [tuple(r) for r in components_of.spanning_links(spark.createDataFrame(links, "a string, b string, level int").coalesce(1)).collect()]
+    assert set(kept) <= set(links) and len(kept) < 30 * (1 if fold > 200 else 3)
+    for level in range(3):
+        assert _brute([e[:2] for e in kept if e[2] <= level]) == _brute([e[:2] for e in links if e[2] <= level and e[0] and e[0] != e[1]])
+    bare = components_of.spanning_links(spark.createDataFrame([e[:2] for e in links], "a string, b string"))
+    assert _brute([tuple(r) for r in bare.collect()]) == _brute([e[:2] for e in links if e[0] and e[0] != e[1]])
