@@ -12,7 +12,7 @@ from ledgermesh.operators import filings as fl
 from ledgermesh.plans.bindings import Inputs
 from ledgermesh.plans.people_queries import stored_relationships
 from ledgermesh.plans.registry import query
-from ledgermesh.session import stage
+from ledgermesh.session import spread, stage
 from ledgermesh.sources import holdings as h
 from ledgermesh.sources import html as w
 from ledgermesh.sources import submissions as s
@@ -20,6 +20,11 @@ from ledgermesh.sources import submissions as s
 BASE = "https://filings.example.com/data/"
 
 
+def signers(i: Inputs) -> DataFrame:
+    """Signers over all tasks: the table is small, parsing the documents made from it is not."""
+    return spread(i.view("v_signers"))
+
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -86,7 +91,7 @@ def _(i):
         F.lit("<table><tr><th>Other</th></tr><tr><td>X</td></tr></table><table><tr><th>Symbol</th><th>Company Name</th></tr><tr><td></td></tr></table>"),
         F.lit("<TABLE class=a><tr><th> Symbol </th><th>Company&nbsp;Name</th></tr><tr><td>brk."), key, F.lit("</td><td>B</td></tr>"), second, F.lit("</TABLE>"),
     )
-    return w.constituents_from_html(i.view("v_signers").select(F.col("k").alias("doc_id"), html.alias("html")), "symbol", ["company name"])
+    return w.constituents_from_html(signers(i).select(F.col("k").alias("doc_id"), html.alias("html")), "symbol", ["company name"])
 
 
 def file_lines(i: Inputs) -> DataFrame:
@@ -130,7 +135,7 @@ def _(i):
     union all select k, 2, 'last||' from v_signers where k%3=0 or k%2=1
     union all select k, 0, 'Ticker' from v_signers where k%3<>0 and k%2=0""")
 def _(i):
-    return h.read_sheet_rows(i.view("v_workbooks")).withColumn("cells", F.array_join("cells", "|"))
+    return h.read_sheet_rows(spread(i.view("v_workbooks"))).withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("filing_rows", """
@@ -388,7 +393,7 @@ def _(i):
     )
     html = F.concat(F.lit("<table><tr><td>Our executive officers</td></tr></table>"), F.replace(rows, F.lit("<th>Age"), F.lit("<th>Age of executive staff officers")))
     tagged = F.replace(html, F.lit("Head of sales"), F.lit("Head of sales, executive officer"))
-    docs = i.view("v_signers").select(F.col("k").alias("doc_id"), tagged.alias("html"))
+    docs = signers(i).select(F.col("k").alias("doc_id"), tagged.alias("html"))
     return x.dedupe_relationships(x.executives_from_tables(docs)).select("doc_id", "name", "relationship_type")
 
 
@@ -420,7 +425,7 @@ def _(i):
         F.lit("These executive officers serve. "), "n1", F.lit(", Chief Financial Officer since May. "), "n2",
         F.when(F.col("k") % 2 == 0, " (Senior Vice President of sales); ").otherwise(" (head of sales); "), "n3", F.lit(", clerk."),
     )
-    docs = i.view("v_signers").select(F.col("k").alias("doc_id"), text.alias("text"))
+    docs = signers(i).select(F.col("k").alias("doc_id"), text.alias("text"))
     return x.dedupe_relationships(x.executives_from_text(docs)).select("doc_id", "name", "relationship_type")
 
 
@@ -431,7 +436,7 @@ def _(i):
         F.lit("<table>"), head, F.lit("<tr><td>50</td><td>"), "n1", F.lit("</td><td>2001</td></tr><tr><td>61</td><td>Dr. "), "n2",
         F.lit("</td><td>1999</td></tr><tr><td>Total</td></tr></table>"),
     )
-    docs = i.view("v_signers").select(F.col("k").alias("doc_id"), html.alias("html"))
+    docs = signers(i).select(F.col("k").alias("doc_id"), html.alias("html"))
     return x.dedupe_relationships(x.board_from_tables(docs)).select("doc_id", "name")
 
 
