@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
 from ledgermesh.functions.text import any_word, collapse_spaces, exploded, header_label, normalize_ticker, py_strip
+from ledgermesh.session import stage
 from ledgermesh.sources.html import decode_entities
 
 HEADER_ROWS = 20
@@ -132,7 +133,8 @@ def read_sheet_rows(df: DataFrame, file: str = "file", xml: str = "xml") -> Data
     """Rows of the holdings sheet of spreadsheet XML: (file, idx, cells).
 
     The sheet named "holdings" is taken, else the first with a ticker header.
-    A cell index leaves blank cells before it; short rows are padded.
+    A cell index leaves blank cells before it; short rows are padded. Rows are written once,
+    as they are read twice: to find the sheet, and to return its rows.
     """
     sheet = r"(?s)<(?:\w+:)?Worksheet\b.*?(?:</(?:\w+:)?Worksheet>|\z)"
     row = r"(?s)(<(?:\w+:)?Row\b(?:[^>]*/>|.*?</(?:\w+:)?Row>))"
@@ -151,6 +153,7 @@ def read_sheet_rows(df: DataFrame, file: str = "file", xml: str = "xml") -> Data
     rows = exploded(named, [file, "sheet_no", "_name"], markup, "idx", "_row").withColumn(
         "cells", F.aggregate(F.regexp_extract_all("_row", F.lit(cell), F.lit(1)), F.array().cast("array<string>"), add)
     )
+    rows = stage(rows.select(file, "sheet_no", "_name", "idx", "cells"), "sheet-rows")
     has_ticker = F.exists("cells", lambda c: header_label(c) == "ticker") & (F.col("idx") < HEADER_ROWS)
     sheets_found = rows.groupBy(file, "sheet_no", "_name").agg(
         F.max(F.size("cells")).alias("width"), F.max(has_ticker).alias("has_ticker")

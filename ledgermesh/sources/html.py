@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ledgermesh.functions.text import clean_text, exploded, header_label, normalize_ticker
+from ledgermesh.session import stage
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!doctype[^>]*>"
 #: A tag; a quoted attribute value may hold ">".
@@ -224,14 +225,16 @@ def constituents_from_html(
 ) -> DataFrame:
     """Tickers of the first table whose first row has the wanted headers.
 
-    A table without any ticker does not count; the next one is taken.
+    A table without any ticker does not count; the next one is taken. Rows and tickers are
+    written once each, as both are read twice and parsing the tables is the costly part.
     """
-    rows = all_table_rows(df, doc, html)
+    rows = stage(all_table_rows(df, doc, html), "table-rows")
     headers = rows.filter("row_no = 0").select(doc, "table_no", F.transform("cells", header_label).alias("labels"))
     wanted = [label, *(also or [])]
     fits = headers.filter(F.size(F.array_intersect("labels", F.array(*[F.lit(w) for w in wanted]))) == len(wanted))
     placed = fits.select(doc, "table_no", (F.array_position("labels", label) - 1).cast("int").alias("at"))
     cells = rows.filter("row_no > 0").join(placed, [doc, "table_no"])
     tickers = cells.select(doc, "table_no", normalize_ticker(F.get("cells", F.col("at"))).alias("ticker")).filter("ticker <> ''")
+    tickers = stage(tickers, "table-tickers")
     first = tickers.groupBy(doc).agg(F.min("table_no").alias("table_no"))
     return tickers.join(first, [doc, "table_no"], "left_semi").select(doc, "ticker").distinct()

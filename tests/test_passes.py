@@ -31,3 +31,18 @@ def test_documents_of_small_tables_are_parsed_in_all_tasks(spark, tmp_path, caps
         df.explain()
         assert "RoundRobinPartitioning(" in capsys.readouterr().out, name
         assert {r.doc_id for r in df.collect()} == ({1, 2, 3, 5} if name == "board_tables" else set(range(6)))
+
+
+def test_tables_of_constituents_are_parsed_once(spark):
+    page = "<table><tr><th>Symbol</th></tr><tr><td>{0}</td></tr></table>"
+    rows = [(1, page.format("a.b")), (1, page.format("c")), (2, page.format("--") + page.format("d")), (None, page.format("e"))]
+    found = w.constituents_from_html(spark.createDataFrame(rows, "doc_id int, html string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "A-B"), (1, "C"), (2, "D")]
+    assert staged(found, "table-tickers")
+
+
+def test_sheets_are_parsed_once(spark):
+    sheet = "<Workbook><Worksheet><Table><Row><Cell><Data>Ticker</Data></Cell><Cell><Data>n</Data></Cell></Row><Row><Cell><Data>x</Data></Cell></Row></Table></Worksheet></Workbook>"
+    found = h.read_sheet_rows(spark.createDataFrame([(1, sheet), (2, None)], "file int, xml string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 0, ["Ticker", "n"]), (1, 1, ["x", ""])]
+    assert staged(found, "sheet-rows")
