@@ -7,7 +7,7 @@ over documents. Positions are arrays and order like the text they come from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
@@ -342,9 +342,9 @@ def signature_text_edges(sections: DataFrame) -> DataFrame:
 def signature_edges(texts: DataFrame) -> DataFrame:
     """Signers from tables; free text only for documents whose tables name none.
 
-    ``texts`` is (doc_id, html, text).
+    ``texts`` is (doc_id, html, text). Tables are written once, as they are read twice.
     """
-    tables = signature_tables(texts)
+    tables = stage(signature_tables(texts), "signature-tables")
     from_tables = dedupe_relationships(signature_table_edges(tables))
     without = tables.filter(~F.col("has_evidence")).select("doc_id")
     sections = texts.join(without, "doc_id", "left_semi").select("doc_id", signature_section(F.col("text")).alias("section"))
@@ -367,7 +367,10 @@ def names_near_title(text: Column, title: str) -> Column:
 
 
 def officers(texts: DataFrame, source: str = "item_10") -> DataFrame:
-    """CEO and CFO by majority of mentions; one person is not both."""
+    """CEO and CFO by majority of mentions; one person is not both.
+
+    The two are compared by a window over the documents, so the text is searched once.
+    """
     kinds = F.array(
         F.struct(F.lit("CEO_OF").alias("kind"), names_near_title(F.col("text"), fixed.CEO_TITLE).alias("names")),
         F.struct(F.lit("CFO_OF").alias("kind"), names_near_title(F.col("text"), fixed.CFO_TITLE).alias("names")),
@@ -375,9 +378,9 @@ def officers(texts: DataFrame, source: str = "item_10") -> DataFrame:
     kinds = exploded(texts, ["doc_id"], kinds, "kind_no", "k")
     mentions = exploded(kinds, ["doc_id", F.col("k.kind").alias("kind")], F.col("k.names"), "pos", "name")
     best = most_common_name(mentions, ["doc_id", "kind"])
-    ceo = best.filter("kind = 'CEO_OF'").select("doc_id", "canonical")
-    cfo = best.filter("kind = 'CFO_OF'").join(ceo, ["doc_id", "canonical"], "left_anti")
-    kept = best.filter("kind = 'CEO_OF'").select("doc_id", "kind", "name").unionByName(cfo.select("doc_id", "kind", "name"))
+    ceo = F.max(F.when(F.col("kind") == "CEO_OF", F.col("canonical"))).over(Window.partitionBy("doc_id"))
+    both = F.col("doc_id").isNotNull() & (F.col("kind") == "CFO_OF") & F.col("_ceo").eqNullSafe(F.col("canonical"))
+    kept = best.withColumn("_ceo", ceo).filter(~both)
     return kept.select(
         "doc_id", "name", F.col("kind").alias("relationship_type"), F.lit(source).alias("source"),
         F.array(F.when(F.col("kind") == "CEO_OF", 0).otherwise(1)).alias("pos"),
@@ -484,12 +487,13 @@ def item10_edges(texts: DataFrame) -> DataFrame:
     """Officers, executives and directors of the governance item or the whole filing.
 
     ``texts`` is (doc_id, html, text). An item section is plain text, so board
-    tables count only without one.
+    tables count only without one. Sections are cut out and written once, as three passes read them.
     """
     texts = texts.withColumn("section", item_section(F.col("text"), "10"))
     part = F.when(F.col("section") != "", F.col("section")).otherwise(F.col("text"))
     scoped = texts.select("doc_id", F.when(F.col("section") == "", F.col("html")).otherwise("").alias("html"), part.alias("text"))
-    return dedupe_relationships(_staged([officers(scoped), executive_officers(texts), board_members(scoped)]))
+    scoped = stage(scoped, "item10-scope")
+    return dedupe_relationships(_staged([officers(scoped), executive_officers(texts.drop("section")), board_members(scoped)]))
 
 
 def extract_filings(docs: DataFrame, signature_only: bool = False) -> DataFrame:

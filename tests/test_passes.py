@@ -46,3 +46,28 @@ def test_sheets_are_parsed_once(spark):
     found = h.read_sheet_rows(spark.createDataFrame([(1, sheet), (2, None)], "file int, xml string"))
     assert sorted(map(tuple, found.collect())) == [(1, 0, ["Ticker", "n"]), (1, 1, ["x", ""])]
     assert staged(found, "sheet-rows")
+
+
+def test_officers_search_the_text_once(spark, tmp_path, capsys):
+    both = "Anna Stone, Chief Executive Officer; later Anna Stone, Chief Financial Officer."
+    two = "Anna Stone, Chief Executive Officer; later Carl Reed, Chief Financial Officer."
+    rows = [(1, both), (2, two), (3, "Carl Reed, Chief Financial Officer."), (None, both)]
+    spark.createDataFrame(rows, "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    found = x.officers(spark.read.parquet(f"{tmp_path}/texts"))
+    found.explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
+    assert sorted(((r.doc_id or 0), r.name, r.relationship_type) for r in found.collect()) == [
+        (0, "Anna Stone", "CEO_OF"), (0, "Anna Stone", "CFO_OF"), (1, "Anna Stone", "CEO_OF"),
+        (2, "Anna Stone", "CEO_OF"), (2, "Carl Reed", "CFO_OF"), (3, "Carl Reed", "CFO_OF"),
+    ]
+
+
+def test_sections_and_signature_tables_are_cut_out_once(spark, monkeypatch):
+    page = "<h1>SIGNATURES</h1><table><tr><td>Orla Finch</td><td>signature, Director</td></tr></table>"
+    texts = x.filing_texts(spark.createDataFrame([(1, page)], "doc_id int, html string"))
+    assert staged(x.item10_edges(texts), "item10-scope")
+    written = []
+    monkeypatch.setattr(x, "stage", lambda df, label: written.append(label) or stage(df, label))
+    signed = x.signature_edges(texts)
+    assert "signature-tables" in written
+    assert [(r.doc_id, r.name, r.relationship_type) for r in signed.collect()] == [(1, "Orla Finch", "BOARD_OF")]
