@@ -12,6 +12,7 @@ from ledgermesh.plans.bindings import Inputs
 from ledgermesh.plans.company_queries import master
 from ledgermesh.plans.people_queries import relationships, stored_relationships
 from ledgermesh.plans.registry import query
+from ledgermesh.session import stage
 
 EDGE = "person_id, ticker, relationship_type, role, role_category, extraction_time"
 PERSON = "CUSTOMER_1"
@@ -187,7 +188,7 @@ def _(i):
 @query("merge_edges", f"""select person_id, ticker, relationship_type, role, role_category,
     case when ticker<'S000050' then '2099' else extraction_time end as extraction_time from o_edges""")
 def _(i):
-    edges = g.build_edges(relationships(i))
+    edges = g.build_edges(stored_relationships(i))  # read three times
     late = edges.filter("ticker < 'S000050'")
     first = late.withColumn("extraction_time", F.lit("2098")).withColumn("seq", F.lit(1))
     second = late.withColumn("extraction_time", F.lit("2099")).withColumn("seq", F.lit(2))
@@ -197,7 +198,7 @@ def _(i):
 @query("merge_nodes", """select person_id, case when person_id like '%7' then 'New Name' else person_name end as person_name from o_people
     union all select 'X_'||person_id, 'New Name' from o_people where person_id like '%8'""")
 def _(i):
-    people = c.derive_people(relationships(i))
+    people = stage(c.derive_people(relationships(i)), "people")  # read three times
     renamed = people.filter("person_id like '%7'").withColumn("person_name", F.lit("New Name"))
     added = people.filter("person_id like '%8'").select(F.concat(F.lit("X_"), "person_id").alias("person_id"), F.lit("New Name").alias("person_name"))
     return g.merge_nodes(people, renamed.unionByName(added), "person_id")

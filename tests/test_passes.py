@@ -71,3 +71,9 @@ def test_sections_and_signature_tables_are_cut_out_once(spark, monkeypatch):
     signed = x.signature_edges(texts)
     assert "signature-tables" in written
     assert [(r.doc_id, r.name, r.relationship_type) for r in signed.collect()] == [(1, "Orla Finch", "BOARD_OF")]
+
+
+def test_merges_read_relationships_once(spark):
+    folder = "/root/testdata/sf0.001"
+    assert staged(catalog.queries()["merge_edges"](spark, folder), "relationships")
+    assert staged(catalog.queries()["merge_nodes"](spark, folder), "people")
