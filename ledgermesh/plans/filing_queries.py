@@ -307,8 +307,8 @@ def _(i):
 
 
 def documents(i: Inputs, view: str = "v_docs") -> DataFrame:
-    """Filing documents, spread evenly: parsing them is the costly part."""
-    return i.view(view).repartition("doc_id")
+    """Filing documents over all tasks: parsing them is the costly part."""
+    return spread(i.view(view))
 
 
 def texts(i: Inputs, view: str = "v_docs") -> DataFrame:
