@@ -106,19 +106,29 @@ def canonical_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*RELATIONSHIPS.names)
 
 
-def normalize(raw: DataFrame, master: DataFrame) -> DataFrame:
-    """Canonical relationships of the companies in the master."""
-    return canonicalize(filter_to_master(latest_snapshot(raw), master))
+def normalize(raw: DataFrame, master: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """Canonical relationships of the companies in the master.
+
+    The complete rows kept are written before names and roles are cleaned: a filter on a
+    cleaned column would else be run early by the optimizer, with its patterns, on every raw row.
+    ``snapshot`` is the latest snapshot of ``raw`` where it has been written already.
+    """
+    latest = latest_snapshot(raw) if snapshot is None else snapshot
+    return canonicalize(stage(filter_to_master(latest, master).filter(is_complete()), "kept"))
 
 
-def normalize_summary(raw: DataFrame, master: DataFrame, canonical: DataFrame) -> DataFrame:
+def normalize_summary(
+    raw: DataFrame, master: DataFrame, canonical: DataFrame, snapshot: DataFrame | None = None
+) -> DataFrame:
     """One row of counts; ``canonical`` is the written result of ``normalize``.
 
-    The snapshot is reduced to its tickers once, and the master joined to those.
+    The snapshot (``snapshot`` where it has been written already) is reduced to its
+    tickers once, and the master joined to those.
     """
     wanted = stage(master.select("ticker"), "master")
-    snapshot = latest_snapshot(raw).select(upper_key(F.col("ticker")).alias("_ticker"), is_complete().alias("_complete"))
-    tickers = snapshot.groupBy("_ticker").agg(F.count("*").alias("_rows"), F.count_if(~F.col("_complete")).alias("_incomplete"))
+    latest = latest_snapshot(raw) if snapshot is None else snapshot
+    kept = latest.select(upper_key(F.col("ticker")).alias("_ticker"), is_complete().alias("_complete"))
+    tickers = kept.groupBy("_ticker").agg(F.count("*").alias("_rows"), F.count_if(~F.col("_complete")).alias("_incomplete"))
     known = tickers.join(wanted.select(F.col("ticker").alias("_known")).distinct(), F.col("_ticker") == F.col("_known"), "left")
     row = beside([
         raw.agg(

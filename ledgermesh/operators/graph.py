@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgermesh.functions import fixed_values as fixed
 from ledgermesh.functions.text import (
-    company_node_id, edge_id, graph_person_id, person_label, py_strip, relationship_type, text_or_empty,
+    company_node_id, edge_id, graph_person_id, has_relationship_type, person_label, py_strip, relationship_type,
+    text_or_empty,
 )
 from ledgermesh.operators.canonical import beside
 from ledgermesh.operators.merge import duplicate_keys, latest_per_key
@@ -35,8 +36,9 @@ def graph_companies(df: DataFrame) -> DataFrame:
 
 def build_edges(rel: DataFrame) -> DataFrame:
     """Typed edges; rows of an unsupported category are left to ``bad_categories``."""
-    typed = rel.withColumn("relationship_type", relationship_type(F.col("role"), F.col("role_category")))
-    return typed.filter("relationship_type is not null").select(*EDGE_KEY, "extraction_time")
+    role, category = F.col("role"), F.col("role_category")
+    typed = rel.filter(has_relationship_type(role, category)).withColumn("relationship_type", relationship_type(role, category))
+    return typed.select(*EDGE_KEY, "extraction_time")
 
 
 def bad_categories(rel: DataFrame) -> DataFrame:

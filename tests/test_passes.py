@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgermesh.functions import text as t
+from ledgermesh.operators import canonical as c
 from ledgermesh.operators import extraction as x
+from ledgermesh.operators import graph as g
 from ledgermesh.plans import catalog
 from ledgermesh.session import spread, stage
 from ledgermesh.sources import holdings as h
@@ -77,3 +80,42 @@ def test_merges_read_relationships_once(spark):
     folder = "/root/testdata/sf0.001"
     assert staged(catalog.queries()["merge_edges"](spark, folder), "relationships")
     assert staged(catalog.queries()["merge_nodes"](spark, folder), "people")
+
+
+def test_only_kept_rows_are_cleaned(spark):
+    folder = "/root/testdata/sf0.001"
+    for name in ("typed_edges", "edge_counts_by_type"):
+        assert staged(catalog.queries()[name](spark, folder), "kept"), name
+
+
+def test_relationship_types_are_told_by_the_category_first(spark, capsys):
+    values = [None, "", " ", "CEO", "CFO", "Chairman", "Director", "BOARD", "EXECUTIVE", "ADVISOR"]
+    pairs = spark.createDataFrame([(r, k) for r in values for k in values], "role string, role_category string")
+    role, category = F.col("role"), F.col("role_category")
+    said, typed = t.has_relationship_type(role, category), t.relationship_type(role, category).isNotNull()
+    assert pairs.filter(F.coalesce(said, F.lit(False)) != typed).count() == 0
+    rel = pairs.withColumns({n: F.lit("x") for n in ("person_id", "ticker", "extraction_time")})
+    edges = g.build_edges(rel)
+    assert edges.count() == pairs.filter(typed).count()
+    edges.explain()
+    assert "isnotnull(CASE" not in capsys.readouterr().out
+
+
+def test_summary_reads_raw_rows_and_snapshot_once(spark):
+    files = catalog.queries()["normalize_summary"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert not [path for path in files if path.startswith("file:///root/testdata/")]
+
+
+def test_normalize_takes_a_written_snapshot(spark):
+    rows = spark.createDataFrame(
+        [(1, "A", "Ann Lee", "CEO", "EXECUTIVE", "A Inc", "2020", "2021"), (2, "A", "Old One", "CEO", "EXECUTIVE", "A Inc", "2020", None),
+         (2, "A", "Ann Lee", " CEO", "EXECUTIVE", "A Inc", "2020", "2021"), (None, "A", "Ann Lee", " ", "EXECUTIVE", None, None, "2021"),
+         (3, "B", "Bo", "Director", "BOARD", None, None, None), (4, None, "C", "Director", "BOARD", None, None, None)],
+        "id long, ticker string, person_name string, role string, role_category string, company_name string, created_at string, updated_at string",
+    )
+    master = spark.createDataFrame([("A",), ("A",), ("B",)], "ticker string")
+    snapshot = stage(c.latest_snapshot(rows), "snapshot")
+    found = c.normalize(rows, master, snapshot)
+    assert sorted((r.ticker, r.person_id, r.role) for r in found.collect()) == [("A", "ANN_LEE", "CEO"), ("B", "BO", "Director")]
+    assert sorted(found.collect()) == sorted(c.normalize(rows, master).collect())
+    assert c.normalize_summary(rows, master, found, snapshot).first() == c.normalize_summary(rows, master, found).first()
