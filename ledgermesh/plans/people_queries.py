@@ -165,8 +165,11 @@ def _(i):
          (select count(*) from o_kept where trim(role)='') as skipped_row_count""",
 )
 def _(i):
-    raw, master = i.view("v_raw"), i.view("v_master")
-    return c.normalize_summary(raw, master, stored_relationships(i))
+    # Each is read several times: without a written table the joins of the view would run for every read.
+    raw, master = stage(i.view("v_raw"), "raw"), stage(i.view("v_master"), "master")
+    snapshot = stage(c.latest_snapshot(raw), "snapshot")
+    canonical = stage(c.normalize(raw, master, snapshot), "relationships")
+    return c.normalize_summary(raw, master, canonical, snapshot)
 
 
 @query("derive_people", "select * from o_people")
