@@ -32,7 +32,10 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids side by side in ``bits`` bits each, lowest bit first."""
     if not len(ids):
         return b""
-    planes = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # the same bytes, without unfolding every bit
+        return octets[:, : bits // 8].tobytes()
+    planes = np.unpackbits(octets, axis=1, bitorder="little")
     return np.packbits(planes[:, :bits].reshape(-1), bitorder="little").tobytes()
 
 
@@ -42,6 +45,10 @@ def unpack(packed: bytes, bits: int, start: int, stop: int) -> np.ndarray:
         return np.empty(0, "<u4")
     low, high = start * bits, stop * bits
     part = np.frombuffer(packed, np.uint8)[low // 8 : -(-high // 8)]
+    if bits % 8 == 0:
+        octets = np.zeros((stop - start, 4), np.uint8)
+        octets[:, : bits // 8] = part.reshape(stop - start, -1)
+        return octets.view("<u4").reshape(-1)
     flat = np.unpackbits(part, bitorder="little")[low % 8 : low % 8 + high - low]
     planes = np.zeros((stop - start, 32), np.uint8)
     planes[:, :bits] = flat.reshape(-1, bits)

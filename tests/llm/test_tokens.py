@@ -40,6 +40,16 @@ def test_bits_round_trip(bits, data):
     assert token_files.unpack(packed, bits, a, b).tolist() == ids[a:b].tolist()
 
 
+@pytest.mark.parametrize("bits", [8, 16, 24, 32])
+def test_whole_bytes_are_not_unfolded(bits, monkeypatch):
+    ids = np.array([0, 1, 255, (1 << bits) - 1, 7], "<u4")
+    unfolded = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
+    monkeypatch.delattr(np, "unpackbits")
+    packed = token_files.pack(ids, bits)
+    assert packed == np.packbits(unfolded.reshape(-1), bitorder="little").tobytes()
+    assert [token_files.unpack(packed, bits, a, b).tolist() for a, b in ((0, 5), (1, 3), (4, 4))] == [ids.tolist(), [1, 255], []]
+
+
 def test_widths():
     assert [token_files.width(n) for n in (1, 2, 3, 32000, 49408, 50257, 65537)] == [1, 1, 2, 15, 16, 16, 17]
 
