@@ -394,7 +394,7 @@ def _(i):
     html = F.concat(F.lit("<table><tr><td>Our executive officers</td></tr></table>"), F.replace(rows, F.lit("<th>Age"), F.lit("<th>Age of executive staff officers")))
     tagged = F.replace(html, F.lit("Head of sales"), F.lit("Head of sales, executive officer"))
     docs = signers(i).select(F.col("k").alias("doc_id"), tagged.alias("html"))
-    return x.dedupe_relationships(x.executives_from_tables(docs)).select("doc_id", "name", "relationship_type")
+    return x.executive_officers(x.filing_texts(docs)).select("doc_id", "name", "relationship_type")
 
 
 @query("item10_edges", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgermesh.functions import names as n
 from ledgermesh.operators import extraction as x
 from ledgermesh.operators import filings as fl
+from ledgermesh.plans import catalog
 from ledgermesh.sources import html as w
 from ledgermesh.sources import submissions as s
 
@@ -159,3 +160,16 @@ def test_coverage_flags(spark):
     edges = spark.createDataFrame([("A", k) for k in kinds], "ticker string, relationship_type string")
     (row,) = fl.low_coverage(companies, edges).collect()
     assert (row.ticker, row.total_relationships, row.ceo_missing, row.board_count_below_5) == ("B", 0, "yes", "yes")
+
+
+def test_executive_officers_reads_tables_and_text(spark, tmp_path):
+    """The name of the second part is no name in a table cell; only the text around it tells the person and the title."""
+    names = [(1, "red blue"), (2, "x y; Anna Bell, Chief Executive Officer of all")]
+    spark.createDataFrame([(k, name, "B", "STEEL") for k, name in names], "p_partkey int, p_name string, p_brand string, p_type string").write.parquet(
+        f"{tmp_path}/part.parquet"
+    )
+    found = catalog.queries()["executive_officers"](spark, str(tmp_path))
+    rows = {tuple(row) for row in found.collect()}
+    assert rows >= {(1, "Red Blue", "CFO_OF"), (1, "Red Blue", "EXECUTIVE_OFFICER_OF"), (1, "Steel Blueson", "EXECUTIVE_OFFICER_OF")}
+    assert rows >= {(2, "Anna Bell", kind) for kind in ("CEO_OF", "CFO_OF", "EXECUTIVE_OFFICER_OF")}
+    assert len(rows) == found.count()
