@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import itertools
+import pathlib
 import random
+import time
 
 import pytest
 
@@ -11,7 +13,9 @@ from ledgermesh.operators import components as components_of
 from ledgermesh.operators import merge
 from ledgermesh.operators import projection as p
 from ledgermesh.operators.components import components
+from ledgermesh.plans import catalog
 from ledgermesh.schemas import RELATIONSHIPS
+from ledgermesh.session import run_folder, stage
 
 
 def rel(spark, *rows):
@@ -194,3 +198,42 @@ def test_spanning_links_keep_components_of_each_level(spark, monkeypatch, fold):
         assert _brute([e[:2] for e in kept if e[2] <= level]) == _brute([e[:2] for e in links if e[2] <= level and e[0] and e[0] != e[1]])
     bare = components_of.spanning_links(spark.createDataFrame([e[:2] for e in links], "a string, b string"))
     assert _brute([tuple(r) for r in bare.collect()]) == _brute([e[:2] for e in links if e[0] and e[0] != e[1]])
+
+
+def test_rounds_of_components_leave_no_tables_behind(spark):
+    links = [(f"n{n:03d}", f"n{n + 1:03d}") for n in range(40)]
+    folder = pathlib.Path(run_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found = components(spark.createDataFrame(links, "a string, b string"))
+    left = [path.name for path in set(folder.iterdir()) - before]
+    assert len(left) == 1 and left[0].startswith("links-"), left
+    assert found.count() == 41
+
+
+def test_component_edges_writes_edges_as_chunks(spark):
+    folder = "/root/testdata/sf0.001"
+    made = set(pathlib.Path(run_folder(spark).removeprefix("file:")).glob("*"))
+    found = catalog.queries()["component_edges"](spark, folder)
+    made = {path.name for path in set(pathlib.Path(run_folder(spark).removeprefix("file:")).glob("*")) - made}
+    assert not [name for name in made if name.startswith("edges-")] and any(name.startswith("edge-chunks-") for name in made)
+    assert found.columns == ["a", "b", "component"]
+    labels = {r.node: r.component for r in catalog.queries()["components_of_ragged_links"](spark, folder).collect()}
+    rows = found.collect()
+    assert rows and all(labels[r.a] == labels[r.b] == r.component and r.a < r.b for r in rows)
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    folders = [pathlib.Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {path for folder in folders for path in folder.glob("*/shuffle_*.data")}
+
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    set_before = spark.conf.get(key, None)
+    held = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(key, None) == set_before
+    assert held.count() == 7
