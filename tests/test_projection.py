@@ -222,6 +222,13 @@ def test_component_edges_writes_edges_as_chunks(spark):
     assert rows and all(labels[r.a] == labels[r.b] == r.component and r.a < r.b for r in rows)
 
 
+def test_tables_that_nothing_reads_are_not_kept(spark):
+    folder = pathlib.Path(run_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert catalog.queries()["components_of_ragged_links"](spark, "/root/testdata/sf0.001").count()
+    assert not [path for path in set(folder.iterdir()) - before if path.name.startswith("edges-")]
+
+
 def test_shuffle_files_go_with_the_write_that_made_them(spark):
     folders = [pathlib.Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
 
