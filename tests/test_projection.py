@@ -229,6 +229,17 @@ def test_tables_that_nothing_reads_are_not_kept(spark):
     assert not [path for path in set(folder.iterdir()) - before if path.name.startswith("edges-")]
 
 
+def test_component_report_counts_edges_where_they_are(spark, capsys):
+    report = catalog.queries()["component_report"](spark, "/root/testdata/sf0.001")
+    report.explain()
+    assert "hashpartitioning(range#" not in capsys.readouterr().out  # no edge meets the ticker of its target
+    pairs = spark.createDataFrame([(t, q) for q, ts in {"p1": "BCA", "p2": "CD", "p3": "XY", "p4": "Z"}.items() for t in [*ts, None]], "ticker string, person_id string")
+    found = p.component_report(p.edges_by_source(pairs), p.projection_components(pairs))
+    assert [(r.component_rank, r.company_count, r.edge_count, r.tickers) for r in found.orderBy("component_rank").collect()] == [
+        (1, 4, 4, '["A","B","C","D"]'), (2, 2, 1, '["X","Y"]'),
+    ]
+
+
 def test_shuffle_files_go_with_the_write_that_made_them(spark):
     folders = [pathlib.Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
 
