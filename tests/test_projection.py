@@ -240,6 +240,14 @@ def test_component_report_counts_edges_where_they_are(spark, capsys):
     ]
 
 
+def test_threshold_report_of_ragged_links_keeps_numbers(spark):
+    files = pathlib.Path(run_folder(spark).removeprefix("file:"))
+    before = set(files.glob("edges-*"))
+    catalog.queries()["threshold_retention_of_ragged_links"](spark, "/root/testdata/sf0.001")
+    (made,) = set(files.glob("edges-*")) - before
+    assert dict(spark.read.parquet(str(made)).dtypes) == {"source_ticker": "int", "target_ticker": "int", "shared_person_count": "bigint"}
+
+
 def test_shuffle_files_go_with_the_write_that_made_them(spark):
     folders = [pathlib.Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
 
