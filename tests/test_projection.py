@@ -240,6 +240,16 @@ def test_component_report_counts_edges_where_they_are(spark, capsys):
     ]
 
 
+def test_ranking_of_topk_edges_is_worked_out_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(p, "stage", lambda df, label: written.append(label) or stage(df, label))
+    pairs = spark.createDataFrame([("A", "p1"), ("B", "p1"), ("B", "p2"), ("C", "p2")], "ticker string, person_id string")
+    graph = p.numbered_projection(pairs)[0]
+    (row,) = p.topk_report(graph, pairs.select("ticker").distinct(), [1]).collect()
+    assert (row.retained_unique_edge_count, row.connected_component_count, row.largest_connected_component_size) == (2, 1, 3)
+    assert written.count("topk-edges") == 1
+
+
 def test_threshold_report_of_ragged_links_keeps_numbers(spark):
     files = pathlib.Path(run_folder(spark).removeprefix("file:"))
     before = set(files.glob("edges-*"))
