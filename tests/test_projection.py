@@ -200,6 +200,34 @@ def test_spanning_links_keep_components_of_each_level(spark, monkeypatch, fold):
     assert _brute([tuple(r) for r in bare.collect()]) == _brute([e[:2] for e in links if e[0] and e[0] != e[1]])
 
 
+def test_edges_are_not_shuffled_one_by_one(spark, monkeypatch):
+    """Tickers meet chunks of edges, range by range, however many companies there are and however few a task takes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(p, "TASK_PAIRS", 40)
+    monkeypatch.setattr(p, "GROUP", 4)
+    rng = random.Random(5)
+    rows = {(f"T{rng.randrange(60):02d}", f"p{n}") for n in range(12) for _ in range(9)} | {(f"T{n:02d}", "hot") for n in range(0, 60, 2)}
+    expected: dict[tuple[str, str], int] = {}
+    for person in {person for _, person in rows}:
+        for pair in itertools.combinations(sorted(ticker for ticker, q in rows if q == person), 2):
+            expected[pair] = expected.get(pair, 0) + 1
+    try:
+        pairs = spark.createDataFrame(sorted(rows), "ticker string, person_id string")
+        graph = p.projection(pairs, 8)
+        plan = graph._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(range#" in plan and "hashpartitioning(target#" not in plan
+        found = graph.collect()
+        numbered, companies = p.numbered_projection(pairs, 8)
+        tickers = {r.number: r.ticker for r in companies.collect()}
+        counted = numbered.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.source_ticker, r.target_ticker): r.shared_person_count for r in found} == expected and len(found) == len(expected)
+    assert {(tickers[r.source_ticker], tickers[r.target_ticker]): r.shared_person_count for r in counted} == expected
+    assert sorted(tickers.values()) == [tickers[n] for n in sorted(tickers)]
+
+
 def test_rounds_of_components_leave_no_tables_behind(spark):
     links = [(f"n{n:03d}", f"n{n + 1:03d}") for n in range(40)]
     folder = pathlib.Path(run_folder(spark).removeprefix("file:"))
