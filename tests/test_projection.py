@@ -14,6 +14,7 @@ from ledgermesh.operators import merge
 from ledgermesh.operators import projection as p
 from ledgermesh.operators.components import components
 from ledgermesh.plans import catalog
+from ledgermesh.plans.bindings import Inputs
 from ledgermesh.schemas import RELATIONSHIPS
 from ledgermesh.session import run_folder, stage
 
@@ -301,3 +302,11 @@ def test_shuffle_files_go_with_the_write_that_made_them(spark):
     assert not files() - before
     assert spark.conf.get(key, None) == set_before
     assert held.count() == 7
+
+
+def test_retention_reports_read_their_view_once(spark, monkeypatch):
+    views, view = [], Inputs.view
+    monkeypatch.setattr(Inputs, "view", lambda self, name: views.append(name) or view(self, name))
+    for name, rows in (("topk_retention", 3), ("threshold_retention", 5)):
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() == rows
+    assert views == ["v_islands", "v_islands"]
